@@ -14,16 +14,28 @@ from delayfold.functions.text import base64_bytes, base64_problem, utf8
 NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
 
 
-def _field(name: str, kind: str) -> Column:
-    return F.try_variant_get(F.col("_doc"), f"$[0].{name}", kind)
+_FIELDS = ("time", "topic", "key", "value", "headers")
+
+
+def _kind(name: str) -> Column:
+    """Type of a field's value; VOID when it is null or not there."""
+    return F.coalesce(F.col(f"_{name}_kind"), F.lit("VOID"))
+
+
+def _text(name: str) -> Column:
+    return F.try_variant_get(F.col(f"_nodes.{name}"), "$", "string")
 
 
 def _time() -> Column:
-    kind, text, exact = F.col("_time_kind"), _field("time", "string"), F.col("_time_exact")
-    whole = F.when(exact == F.floor(exact), F.floor(exact).try_cast("bigint"))
+    """The due time: a whole number within BIGINT, as a number or as text."""
+    node, kind = F.col("_nodes.time"), _kind("time")
+    exact = F.try_variant_get(node, "$", "decimal(38,18)")
     numeric = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-    number_text = (kind == "STRING") & text.rlike(NUMBER)
-    return F.when(kind == "BIGINT", _field("time", "bigint")).when(numeric | number_text, whole)
+    number_text = (kind == "STRING") & _text("time").rlike(NUMBER)
+    return F.when(kind == "BIGINT", F.try_variant_get(node, "$", "bigint")).when(
+        numeric | number_text,
+        F.when(exact == F.floor(exact), F.floor(exact).try_cast("bigint")),
+    )
 
 
 def parse(raw: DataFrame) -> DataFrame:
@@ -37,59 +49,60 @@ def parse(raw: DataFrame) -> DataFrame:
     closed = F.when(
         text.contains("]"), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
     ).otherwise(F.lit(True))
+    element = lambda i: F.try_variant_get(F.col("_doc"), f"$[{i}]", "variant")
     parsed = raw.withColumn("_text", utf8(F.col("value"))).withColumn(
         "_doc", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     )
-    kinds = {
-        f"_{name}_kind": F.schema_of_variant(_field(name, "variant"))
-        for name in ("time", "topic", "key", "value")
-    }
-    typed = parsed.withColumns(
+    nodes = parsed.withColumns(
         {
-            "_json": F.col("_doc").isNotNull()
-            & F.try_variant_get(F.col("_doc"), "$[0]", "variant").isNotNull()
-            & F.try_variant_get(F.col("_doc"), "$[1]", "variant").isNull()
-            & closed,
-            **kinds,
-            "_headers_node": _field("headers", "variant"),
-            "_time_exact": _field("time", "decimal(38,18)"),
+            "_json": element(0).isNotNull() & element(1).isNull() & closed,
+            "_nodes": F.try_variant_get(
+                F.col("_doc"),
+                "$[0]",
+                "struct<" + ",".join(f"{name}:variant" for name in _FIELDS) + ">",
+            ),
         }
     )
-    absent = F.col("_headers_node").isNull() | F.is_variant_null(F.col("_headers_node"))
-    fields = typed.withColumns(
+    typed = nodes.withColumns(
         {
-            "_time": _time(),
-            "_topic": _field("topic", "string"),
-            "_key64": _field("key", "string"),
-            "_value64": _field("value", "string"),
-            "_headers_absent": absent,
-            "_headers_map": F.try_variant_get(F.col("_headers_node"), "$", "map<string,variant>"),
+            **{
+                f"_{name}_kind": F.schema_of_variant(F.col(f"_nodes.{name}"))
+                for name in ("time", "topic", "key", "value")
+            },
+            "_headers_map": F.try_variant_get(F.col("_nodes.headers"), "$", "map<string,variant>"),
+            "_no_headers": F.col("_nodes.headers").isNull()
+            | F.is_variant_null(F.col("_nodes.headers")),
         }
     )
-    texts_only = F.forall(
-        F.map_values("_headers_map"), lambda v: F.schema_of_variant(v) == F.lit("STRING")
-    )
-    shape = (
-        F.col("_time").isNotNull()
-        & (F.coalesce(F.col("_topic_kind"), F.lit("")) == "STRING")
-        & (F.coalesce(F.col("_key_kind"), F.lit("")) == "STRING")
-        & F.coalesce(F.col("_value_kind"), F.lit("VOID")).isin("VOID", "STRING")
-        & (F.col("_headers_absent") | F.coalesce(texts_only, F.lit(False)))
-    )
-    header_entries = F.transform(
+    header_texts = F.transform(
         F.map_entries("_headers_map"),
         lambda e: F.struct(
-            e["key"].alias("key"), F.try_variant_get(e["value"], "$", "string").alias("text")
+            e["key"].alias("key"),
+            F.when(
+                F.schema_of_variant(e["value"]) == "STRING",
+                F.try_variant_get(e["value"], "$", "string"),
+            ).alias("text"),
         ),
     )
-    return fields.withColumns(
+    no_entries = F.array().cast("array<struct<key:string,text:string>>")
+    fields = typed.withColumns(
         {
-            "_shape": shape,
-            "_headers64": F.when(F.col("_headers_absent"), F.array().cast(
-                "array<struct<key:string,text:string>>"
-            )).otherwise(header_entries),
+            "_time": _time(),
+            "_topic": _text("topic"),
+            "_key64": _text("key"),
+            "_value64": _text("value"),
+            "_headers64": F.when(F.col("_no_headers"), no_entries).otherwise(header_texts),
         }
     )
+    shape = (
+        F.col("_time").isNotNull()
+        & (_kind("topic") == "STRING")
+        & (_kind("key") == "STRING")
+        & _kind("value").isin("VOID", "STRING")
+        & F.col("_headers64").isNotNull()
+        & ~F.coalesce(F.exists("_headers64", lambda h: h["text"].isNull()), F.lit(False))
+    )
+    return fields.withColumn("_shape", shape)
 
 
 def transform(parsed: DataFrame) -> DataFrame:

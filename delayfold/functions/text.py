@@ -14,17 +14,23 @@ def to_utf8(column: Column) -> Column:
     return F.encode(column, "UTF-8")
 
 
-def base64_problem(column: Column) -> Column:
-    """Why a text is not strict Base64, or null. Padding may be left out, line breaks may not occur.
-
-    Spark's own decoder skips white space, so the alphabet and the lengths are checked first.
-    """
+def is_base64(column: Column) -> Column:
+    """Strict Base64: no stray characters or line breaks; padding may be left out, but not be wrong."""
     length = F.length(column)
-    padding = length - F.length(F.rtrim(column, F.lit("=")))
+    whole_units = length % 4 == 0
+    unpadded = ~column.endswith("=") & (length % 4 != 1)
+    return column.rlike(r"\A[A-Za-z0-9+/]*={0,2}\z") & (whole_units | unpadded)
+
+
+def base64_problem(column: Column) -> Column:
+    """Why a text is not strict Base64, or null."""
     stray = F.regexp_extract(column, r"[^A-Za-z0-9+/=]", 0)
-    return (
-        F.when(column.isNull(), F.lit(None).cast("string"))
-        .when(length == 1, F.lit("Input byte[] should at least have 2 bytes for base64 bytes"))
+    return F.when(
+        ~is_base64(column),
+        F.when(
+            F.length(column) == 1,
+            "Input byte[] should at least have 2 bytes for base64 bytes",
+        )
         .when(
             stray != "",
             F.concat(
@@ -32,20 +38,14 @@ def base64_problem(column: Column) -> Column:
             ),
         )
         .when(
-            (padding > 2) | F.rtrim(column, F.lit("=")).contains("="),
-            F.lit("Input byte array has incorrect ending byte"),
-        )
-        .when(
-            (padding > 0) & (length % 4 != 0),
-            F.lit("Input byte array has wrong 4-byte ending unit"),
-        )
-        .when(
-            (padding == 0) & (length % 4 == 1),
-            F.lit("Last unit does not have enough valid bits"),
+            F.rtrim(column, F.lit("=")).contains("=") | column.endswith("==="),
+            "Input byte array has incorrect ending byte",
         )
+        .when(column.endswith("="), "Input byte array has wrong 4-byte ending unit")
+        .otherwise("Last unit does not have enough valid bits"),
     )
 
 
 def base64_bytes(column: Column) -> Column:
-    """Decoded bytes; null where `base64_problem` reports something."""
-    return F.try_to_binary(column, F.lit("base64"))
+    """Decoded bytes, null where the text is not Base64. Spark's decoder alone would skip white space."""
+    return F.when(is_base64(column), F.unbase64(column))
