@@ -23,6 +23,7 @@ def delay_ms(due: Column, now: Column) -> Column:
 
 
 def fire_ms(arrival: Column, due: Column, gate_ms: int = 0) -> Column:
-    """When an update fires if no later command of its ID comes first."""
+    """When an update fires if no later command of its ID comes first; null without a due time."""
     latest = F.coalesce(F.try_add(arrival, F.lit(MAX_DELAY_MS).cast("bigint")), due)
-    return F.greatest(arrival, F.least(due, latest), F.lit(gate_ms).cast("bigint"))
+    fires = F.greatest(arrival, F.least(due, latest), F.lit(gate_ms).cast("bigint"))
+    return F.when(due.isNotNull(), fires)

@@ -105,8 +105,12 @@ def parse(raw: DataFrame) -> DataFrame:
     return fields.withColumn("_shape", shape)
 
 
-def transform(parsed: DataFrame) -> DataFrame:
-    """Base64 fields to bytes; `_paths` lists the fields that are not Base64."""
+def check(parsed: DataFrame) -> DataFrame:
+    """Adds `_read`, whether and how the payload is readable, and the bad Base64 fields.
+
+    The verdict comes out of a generator of exactly one row. A filter on it then stays above, and does
+    not drag a second copy of the whole parse down to the scan.
+    """
 
     def problem(path: Column, column: Column) -> Column:
         return F.struct(path.alias("path"), base64_problem(column).alias("message"))
@@ -121,18 +125,22 @@ def transform(parsed: DataFrame) -> DataFrame:
             lambda h: problem(F.concat(F.lit("headers("), h["key"], F.lit(")")), h["text"]),
         ),
     )
-    return parsed.withColumns(
-        {
-            "_paths": F.filter(candidates, lambda c: c["message"].isNotNull()),
-            "_out_key": base64_bytes(F.col("_key64")),
-            "_out_value": base64_bytes(F.col("_value64")),
-            "_out_headers": F.map_from_entries(
-                F.transform(
-                    "_headers64",
-                    lambda h: F.struct(h["key"].alias("key"), base64_bytes(h["text"]).alias("value")),
-                )
-            ),
-        }
+    verdict = F.struct(
+        F.coalesce(F.col("_json"), F.lit(False)).alias("json"),
+        F.coalesce(F.col("_json") & F.col("_shape"), F.lit(False)).alias("shape"),
+        F.filter(candidates, lambda c: c["message"].isNotNull()).alias("paths"),
+        F.col("_time").alias("time"),
+        F.col("_topic").alias("topic"),
+    )
+    return parsed.withColumn("_read", F.explode(F.array(verdict)))
+
+
+def out_headers() -> Column:
+    return F.map_from_entries(
+        F.transform(
+            "_headers64",
+            lambda h: F.struct(h["key"].alias("key"), base64_bytes(h["text"]).alias("value")),
+        )
     )
 
 

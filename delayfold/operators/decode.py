@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from delayfold.functions import avro_payload, errors, json_payload, metadata
-from delayfold.functions.text import utf8
+from delayfold.functions.text import base64_bytes, utf8
 from delayfold.model import COMMANDS
 from delayfold.session import prepare
 
@@ -40,25 +40,25 @@ def _commands(decoded: DataFrame, is_update: Column, error: Column, fields: dict
 
 
 def decode_json(raw: DataFrame) -> DataFrame:
-    parsed = json_payload.transform(json_payload.parse(_envelope(raw)))
-    readable = F.col("_json") & F.col("_shape")
-    cause = F.when(F.col("_json"), "invalid-json").otherwise("not-json")
+    parsed = json_payload.check(json_payload.parse(_envelope(raw)))
+    cause = F.when(F.col("_read.json"), "invalid-json").otherwise("not-json")
     cause_message = F.when(
-        F.col("_json"),
+        F.col("_read.json"),
         F.concat(F.lit("JSON '"), F.col("_text"), F.lit("' did not conform to Schema")),
     ).otherwise(F.concat(F.lit("'"), F.col("_text"), F.lit("' was not valid JSON")))
     return _commands(
         parsed,
-        readable & (F.size("_paths") == 0),
-        F.when(readable, errors.untransformable(F.col("schedule_id"), F.col("_paths"))).otherwise(
-            errors.undecodable(F.col("schedule_id"), cause, cause_message)
-        ),
+        F.col("_read.shape") & (F.size("_read.paths") == 0),
+        F.when(
+            F.col("_read.shape"),
+            errors.untransformable(F.col("schedule_id"), F.col("_read.paths")),
+        ).otherwise(errors.undecodable(F.col("schedule_id"), cause, cause_message)),
         {
-            "due_ms": F.col("_time"),
-            "target_topic": F.col("_topic"),
-            "out_key": F.col("_out_key"),
-            "out_value": F.col("_out_value"),
-            "out_headers": F.col("_out_headers"),
+            "due_ms": F.col("_read.time"),
+            "target_topic": F.col("_read.topic"),
+            "out_key": base64_bytes(F.col("_key64")),
+            "out_value": base64_bytes(F.col("_value64")),
+            "out_headers": json_payload.out_headers(),
         },
     )
 

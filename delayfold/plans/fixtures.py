@@ -4,23 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from delayfold.functions import avro_payload, errors, json_payload, metadata
+from delayfold.functions import avro_payload, errors, metadata
 from delayfold.functions.text import to_utf8
 from delayfold.model import COMMANDS, HEADERS, RAW_LOG
 from delayfold.session import prepare
 
 AS_OF_MS = 1_706_000_000_000
 GATE_MS = 1_704_672_000_000
+EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Base columns of every record: identity, position, due time and command class."""
     prepare(spark)
+    if stream:  # a file stream reads a folder or a pattern, not the path of one file
+        source = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
+    else:
+        source = spark.read.parquet(f"{sf_dir}/events.parquet")
     arrival = F.unix_millis(F.col("ts").cast("timestamp"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .withColumns({"arrival_ms": arrival, "class": F.col("event_id") % 20})
+        source.withColumns({"arrival_ms": arrival, "class": F.col("event_id") % 20})
         .select(
             F.concat(F.lit("u"), F.col("user_id")).alias("schedule_id"),
             F.when(F.col("event_id") % 3 == 0, "schedules-b")
@@ -68,33 +74,31 @@ def _as_log(table: DataFrame, payload: Column) -> DataFrame:
 def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records with JSON payloads, good and bad ones by class."""
     table = events(spark, sf_dir)
-    fields = [F.col(c) for c in ("due_ms", "target_topic", "out_key", "out_value", "out_headers")]
-    good = json_payload.write(*fields)
-    bare = F.struct(
-        F.col("due_ms").alias("time"),
-        F.col("target_topic").alias("topic"),
-        F.base64("out_key").alias("key"),
-        F.base64("out_value").alias("value"),
-    )
-    null_headers = F.concat(
-        F.regexp_replace(F.to_json(bare), r"\}$", ""), F.lit(',"headers":null}')
-    )
-    bad_key = F.to_json(
-        F.struct(
-            F.col("due_ms").alias("time"),
-            F.col("target_topic").alias("topic"),
-            F.lit("invalid-base64").alias("key"),
-            F.base64("out_value").alias("value"),
-        )
+    quoted = lambda column: F.concat(F.lit('"'), column, F.lit('"'))
+    no_headers = F.when(F.col("user_id") % 2 == 0, "").otherwise(',"headers":null')
+    schedule = F.concat(
+        F.lit('{"time":'),
+        F.col("due_ms"),
+        F.lit(',"topic":'),
+        quoted(F.col("target_topic")),
+        F.lit(',"key":'),
+        quoted(F.when(F.col("class") == 18, "invalid-base64").otherwise(F.base64("out_key"))),
+        F.lit(',"value":'),
+        F.coalesce(quoted(F.base64("out_value")), F.lit("null")),
+        F.when(F.col("class") == 12, no_headers).otherwise(
+            F.concat(
+                F.lit(',"headers":{"etype":'),
+                quoted(F.base64(to_utf8(F.col("event_type")))),
+                F.lit("}"),
+            )
+        ),
+        F.lit("}"),
     )
     payload = (
         F.when(F.col("class").isin(14, 15), F.lit(None).cast("string"))
         .when(F.col("class") == 16, "foobar")
         .when(F.col("class") == 17, '{"foo":"bar"}')
-        .when(F.col("class") == 18, bad_key)
-        .when((F.col("class") == 12) & (F.col("user_id") % 2 == 0), F.to_json(bare))
-        .when(F.col("class") == 12, null_headers)
-        .otherwise(good)
+        .otherwise(schedule)
     )
     return _as_log(table, to_utf8(payload))
 
@@ -112,9 +116,9 @@ def avro_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_log(table, payload)
 
 
-def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def command_log(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """The decoded commands, built from the base columns without going through a payload."""
-    table = events(spark, sf_dir)
+    table = events(spark, sf_dir, stream)
     kind = F.col("class")
     is_update = ~kind.isin(14, 15, 16, 17, 18)
     expired = kind == 15

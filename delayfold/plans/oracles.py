@@ -259,4 +259,8 @@ SELECT target_topic, count(*) AS messages, count(*) FILTER (lag <= 100) AS withi
        quantile_disc(lag, 0.5) AS p50_ms, quantile_disc(lag, 0.99) AS p99_ms,
        max(lag) AS max_ms, CAST(sum(lag) AS BIGINT) AS total_ms
 FROM late GROUP BY target_topic""",
+    "stream_fire_equals_batch": f"""WITH {_history(as_of=None)}
+SELECT {_ENVELOPE}, due_ms, fire_ms, {_PUBLISH} FROM life WHERE outcome = 'fired'""",
+    "stream_fire_gated": f"""WITH {_history(GATE_MS, as_of=None)}
+SELECT {_ENVELOPE}, due_ms, fire_ms, {_PUBLISH} FROM life WHERE outcome = 'fired'""",
 }
