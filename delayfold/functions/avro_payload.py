@@ -175,8 +175,10 @@ def _varint(number: Column, longest: int) -> Column:
     pieces = []
     for i in range(longest):
         rest = F.shiftrightunsigned(zigzag, 7 * i)
-        more = F.when(F.shiftrightunsigned(zigzag, 7 * (i + 1)) != 0, 128).otherwise(0)
-        byte = F.unhex(F.lpad(F.hex(rest.bitwiseAND(127) + more), 2, "0"))
+        bits = rest.bitwiseAND(127)
+        if i < longest - 1:
+            bits += F.when(F.shiftrightunsigned(zigzag, 7 * (i + 1)) != 0, 128).otherwise(0)
+        byte = F.unhex(F.lpad(F.hex(bits), 2, "0"))
         pieces.append(byte if i == 0 else F.when(rest != 0, byte).otherwise(F.lit(b"")))
     return F.concat(*pieces)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from delayfold.functions.text import base64_bytes, base64_problem, utf8
+from delayfold.functions.text import base64_bytes, base64_problem, is_base64, utf8
 
 # Grammar of a JSON number; a `time` given as text must match it.
 NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
@@ -125,10 +125,19 @@ def check(parsed: DataFrame) -> DataFrame:
             lambda h: problem(F.concat(F.lit("headers("), h["key"], F.lit(")")), h["text"]),
         ),
     )
+    clean = (
+        F.coalesce(is_base64(F.col("_key64")), F.lit(True))
+        & F.coalesce(is_base64(F.col("_value64")), F.lit(True))
+        & F.forall("_headers64", lambda h: is_base64(h["text"]))
+    )
+    no_paths = F.array().cast("array<struct<path:string,message:string>>")
+    paths = F.when(clean, no_paths).otherwise(
+        F.filter(candidates, lambda c: c["message"].isNotNull())
+    )
     verdict = F.struct(
         F.coalesce(F.col("_json"), F.lit(False)).alias("json"),
         F.coalesce(F.col("_json") & F.col("_shape"), F.lit(False)).alias("shape"),
-        F.filter(candidates, lambda c: c["message"].isNotNull()).alias("paths"),
+        paths.alias("paths"),
         F.col("_time").alias("time"),
         F.col("_topic").alias("topic"),
     )

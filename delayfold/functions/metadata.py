@@ -20,28 +20,14 @@ def header_entries(headers: Column) -> Column:
     )
 
 
-def last_of_name(entries: Column) -> Column:
-    """Of entries with equal `key` keeps the last one, so that a map can be built from them.
-
-    Give it a stored column, not a computed expression: each entry looks at the ones after it.
-    """
-    return F.filter(
-        entries,
-        lambda e, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
-        ),
-    )
-
-
 def from_entries(entries: Column) -> Column:
-    """Map of stored `header_entries`."""
-    return F.coalesce(F.map_from_entries(last_of_name(entries)), empty())
+    """Map of header entries; of equal names the last one counts (a session setting, see `prepare`)."""
+    return F.coalesce(F.map_from_entries(entries), empty())
 
 
 def combine(left: Column, right: Column) -> Column:
     """Union of two maps; the right one wins. The empty map changes nothing."""
-    kept = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
-    return F.map_concat(kept, right)
+    return F.map_concat(left, right)
 
 
 def expire(metadata: Column) -> Column:

@@ -65,16 +65,10 @@ def decode_json(raw: DataFrame) -> DataFrame:
 
 def decode_avro(raw: DataFrame) -> DataFrame:
     """Current layout first, then the one without headers."""
-    parsed = (
-        _envelope(raw)
-        .withColumn("_avro", avro_payload.read(F.col("value")))
-        .withColumn(
-            "_out_entries",
-            F.transform(
-                "_avro.headers",
-                lambda h: F.struct(utf8(h["key"]).alias("key"), h["value"].alias("value")),
-            ),
-        )
+    parsed = _envelope(raw).withColumn("_avro", avro_payload.read(F.col("value")))
+    headers = F.transform(
+        "_avro.headers",
+        lambda h: F.struct(utf8(h["key"]).alias("key"), h["value"].alias("value")),
     )
     return _commands(
         parsed,
@@ -89,7 +83,7 @@ def decode_avro(raw: DataFrame) -> DataFrame:
             "target_topic": utf8(F.col("_avro.topic")),
             "out_key": F.col("_avro.key"),
             "out_value": F.col("_avro.value"),
-            "out_headers": F.map_from_entries(metadata.last_of_name(F.col("_out_entries"))),
+            "out_headers": F.map_from_entries(headers),
         },
     )
 

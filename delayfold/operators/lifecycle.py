@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from delayfold.functions import clock
-from delayfold.model import POSITION
 from delayfold.operators.decode import effective
 from delayfold.operators.ordered import ID, Ordered, Slicing, cut_points
 
@@ -32,8 +31,8 @@ def lifecycle(
     (by a delete), canceled_by_error, pending, and with the `complete` policy completed.
 
     expired_policy: `ignore` takes no notice of the deletes that report a fired schedule. `complete`
-    lets such a delete close the pending update too, if that was due by then; a replay from behind
-    the gate then does not fire again what the log shows as done.
+    lets such a delete close the pending update too, if that was due by then; a replay with a gate
+    then does not fire again what the log shows as done. It counts as the next command (`next_ms`).
     """
     if expired_policy not in (IGNORE, COMPLETE):
         raise ValueError(f"unknown expired policy: {expired_policy}")
@@ -41,30 +40,44 @@ def lifecycle(
     seen = as_of(commands, as_of_ms).withColumn(
         "fire_ms", clock.fire_ms(F.col("arrival_ms"), F.col("due_ms"), gate_ms)
     )
-    ordered = Ordered(effective(seen), cuts).add_next("_next", F.struct("arrival_ms", "command"))
-    updates = ordered.done().where(F.col("command") == "update")
     if expired_policy == COMPLETE:
-        updates = updates.join(_completions(seen, cuts), [ID, *POSITION], "left")
+        ordered = _with_closing_reports(Ordered(seen, cuts, slicing))
     else:
-        updates = updates.withColumn("completed_ms", F.lit(None).cast("bigint"))
-    return _outcomes(updates, as_of_ms)
+        ordered = Ordered(effective(seen), cuts, slicing)
+    history = ordered.add_next("_next", F.struct("arrival_ms", "command", "is_expired")).done()
+    return _outcomes(history.where(F.col("command") == "update"), as_of_ms)
+
+
+def _with_closing_reports(ordered: Ordered) -> Ordered:
+    """Keeps the effective commands and those fired-reports that close the update before them.
+
+    A report looks at the latest effective command; reports in between do not matter.
+    """
+    is_report = (F.col("command") == "delete") & F.col("is_expired")
+    current = F.when(~is_report, F.struct("command", "due_ms", "fire_ms"))
+    closes = (
+        (F.col("_current.command") == "update")
+        & (F.col("_current.due_ms") <= F.col("arrival_ms"))
+        & (F.col("arrival_ms") <= F.col("_current.fire_ms"))
+    )
+    return ordered.add_last_before("_current", current).where(
+        ~is_report | F.coalesce(closes, F.lit(False))
+    )
 
 
 def _outcomes(updates: DataFrame, as_of_ms: int | None) -> DataFrame:
     fires = F.col("_next").isNull() | (F.col("fire_ms") < F.col("_next.arrival_ms"))
     reached = F.lit(True) if as_of_ms is None else F.col("fire_ms") <= as_of_ms
     outcome = (
-        F.when(F.col("completed_ms").isNotNull(), "completed")
-        .when(fires & reached, "fired")
+        F.when(fires & reached, "fired")
         .when(fires, "pending")
         .when(F.col("_next.command") == "update", "superseded")
-        .when(F.col("_next.command") == "delete", "canceled")
-        .otherwise("canceled_by_error")
+        .when(F.col("_next.command") == "error", "canceled_by_error")
+        .when(F.col("_next.is_expired"), "completed")
+        .otherwise("canceled")
     )
-    closed = (
-        F.when(F.col("outcome") == "completed", F.col("completed_ms"))
-        .when(F.col("outcome") == "fired", F.col("fire_ms"))
-        .when(F.col("outcome") != "pending", F.col("_next.arrival_ms"))
+    closed = F.when(F.col("outcome") == "fired", F.col("fire_ms")).when(
+        F.col("outcome") != "pending", F.col("_next.arrival_ms")
     )
     return (
         updates.withColumns(
@@ -75,23 +88,8 @@ def _outcomes(updates: DataFrame, as_of_ms: int | None) -> DataFrame:
             }
         )
         .withColumn("closed_ms", closed)
-        .drop("_next", "completed_ms")
-    )
-
-
-def _completions(seen: DataFrame, cuts: DataFrame | None) -> DataFrame:
-    """Updates that a fired-report closed: position and time of the first report that did."""
-    is_report = (F.col("command") == "delete") & F.col("is_expired")
-    narrow = seen.select(ID, *POSITION, "command", "is_expired", "due_ms", "fire_ms")
-    current = F.when(~is_report, F.struct(*POSITION, "command", "due_ms", "fire_ms"))
-    reports = Ordered(narrow, cuts).add_last_before("_current", current).done().where(is_report)
-    done = reports.where(
-        (F.col("_current.command") == "update")
-        & (F.col("_current.due_ms") <= F.col("arrival_ms"))
-        & (F.col("arrival_ms") <= F.col("_current.fire_ms"))
+        .drop("_next", "_current")
     )
-    closed = done.groupBy(ID, *[F.col(f"_current.{p}").alias(p) for p in POSITION])
-    return closed.agg(F.min(done["arrival_ms"]).alias("completed_ms"))
 
 
 def fired(history: DataFrame, after_ms: int | None = None, until_ms: int | None = None) -> DataFrame:

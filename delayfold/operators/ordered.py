@@ -59,10 +59,27 @@ def cut_points(
     )
 
 
+def _cuts_passed(slices: int) -> Column:
+    """How many of the sorted `_cuts` are at or before `_at`, found by halving steps."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(slices.bit_length() + 2))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda passed, step: F.when(
+            F.get("_cuts", passed + step - 1) <= F.col("_at"), passed + step
+        ).otherwise(passed),
+    )
+
+
 class Ordered:
     """A command table with the slice of each row, ready for neighbour columns."""
 
-    def __init__(self, commands: DataFrame, cuts: DataFrame | None = None):
+    def __init__(
+        self,
+        commands: DataFrame,
+        cuts: DataFrame | None = None,
+        slicing: Slicing = Slicing(),
+    ):
         self.cuts = cuts
         if cuts is None:
             self.rows = commands.withColumn("_slice", F.lit(0))
@@ -72,7 +89,7 @@ class Ordered:
                 .withColumn("_at", position())
                 .withColumn(
                     "_slice",
-                    F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col("_at"))), F.lit(0)),
+                    F.when(F.col("_cuts").isNotNull(), _cuts_passed(slicing.slices)).otherwise(0),
                 )
                 .drop("_cuts", "_at")
             )
@@ -83,6 +100,10 @@ class Ordered:
         other.cuts, other.rows, other._window = self.cuts, rows, self._window
         return other
 
+    def where(self, condition: Column) -> Ordered:
+        """Leaves rows out; the others keep their slices, so no new shuffle is needed."""
+        return self._derived(self.rows.where(condition))
+
     def _edges(self, value: Column) -> DataFrame:
         """Per (hot ID, slice) one value; the table has at most as many rows as there are slices."""
         hot = self.rows.join(F.broadcast(self.cuts.select(ID)), ID, "left_semi")

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from delayfold.functions import clock
+from delayfold.model import POSITION
 from delayfold.operators.decode import effective
 from delayfold.operators.lifecycle import as_of
-from delayfold.operators.ordered import ID, position
+from delayfold.operators.ordered import ID
 
 
 def latest(commands: DataFrame, keys: list[str]) -> DataFrame:
-    """Last command per key. An aggregate, so that each map task sends one row per key at most."""
-    others = [c for c in commands.columns if c not in keys]
-    last = F.max_by(F.struct(*others), position())
-    return commands.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+    """Last command per key. Spark applies the rank limit before the shuffle too, so each map task
+    sends one row per key at most, however hot the key."""
+    newest_first = [F.col(name).desc() for name in POSITION]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))
+    return commands.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
 def pending_at(commands: DataFrame, as_of_ms: int, gate_ms: int = 0) -> DataFrame:

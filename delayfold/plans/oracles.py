@@ -88,8 +88,9 @@ judged AS (
                  ELSE 'canceled_by_error' END AS outcome
   FROM ended),
 life AS (
-  SELECT *, CASE outcome WHEN 'completed' THEN completed_ms WHEN 'fired' THEN fire_ms
-                         WHEN 'pending' THEN NULL ELSE next_ms END AS closed_ms
+  SELECT * REPLACE (coalesce(completed_ms, next_ms) AS next_ms),
+         CASE outcome WHEN 'completed' THEN completed_ms WHEN 'fired' THEN fire_ms
+                      WHEN 'pending' THEN NULL ELSE next_ms END AS closed_ms
   FROM judged)"""
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 # Settings that change results or state handling; all can be set on a running session.
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
-    # Repeated names in a JSON object: the last one counts.
+    # Repeated names in a map or a JSON object: the last one counts.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Pending schedules and their timers live in RocksDB, not on the heap.
     "spark.sql.streaming.stateStore.providerClass": (
