@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from delayfold.model import RAW_LOG, Broker, Settings, Topics
 from delayfold.sources.logs import merge
@@ -57,14 +58,12 @@ def _client_options(properties: Mapping[str, str]) -> dict[str, str]:
     return {f"kafka.{k}": str(v) for k, v in properties.items() if k not in _SPARK_OWNED}
 
 
-def source_options(
-    broker: Broker, topics: tuple[str, ...], starting: str = "earliest", **more: str
-) -> dict[str, str]:
+def source_options(broker: Broker, topics: tuple[str, ...], **more: str) -> dict[str, str]:
     return {
         "kafka.bootstrap.servers": broker.bootstrap_servers,
         "subscribe": ",".join(topics),
         "includeHeaders": "true",
-        "startingOffsets": starting,
+        "startingOffsets": "earliest",
         **_client_options(broker.properties),
         **more,
     }
@@ -84,7 +83,13 @@ def _read(reader, settings: Settings, **more: str) -> DataFrame:
     """Decodes each topic group that is configured and merges them."""
     groups = {
         kind: reader.format("kafka")
-        .options(**source_options(settings.consumer, topics, **more))
+        .options(
+            **source_options(
+                settings.consumer,
+                topics,
+                **{n: _group(v, topics) if n.endswith("Offsets") else v for n, v in more.items()},
+            )
+        )
         .load()
         .select(*RAW_LOG.fieldNames())
         for kind, topics in (("avro", settings.topics.avro), ("json", settings.topics.json))
@@ -93,15 +98,62 @@ def _read(reader, settings: Settings, **more: str) -> DataFrame:
     return merge(**groups)
 
 
+def hand_over(log: DataFrame, partitions: Mapping[str, int]) -> tuple[str, str]:
+    """Offsets where the initial load ends and where the stream begins, as option values.
+
+    log: records of one load (topic, partition, offset). partitions: partition count of each topic,
+    which the offset options must list in full. One row per partition comes to the driver. A partition
+    without records is read by the stream from its start; what the load may still see of it is then
+    seen twice, which changes nothing, because the same command replaces itself.
+    """
+    ends = log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end"))
+    known = {(r.topic, r.partition): r.end for r in ends.collect()}
+    latest, earliest = -1, -2
+
+    def option(missing: int) -> str:
+        return json.dumps(
+            {
+                topic: {str(p): known.get((topic, p), missing) for p in range(count)}
+                for topic, count in partitions.items()
+            }
+        )
+
+    return option(latest), option(earliest)
+
+
+def _group(offsets: str, topics: tuple[str, ...]) -> str:
+    """The part of an offset option that belongs to one topic group."""
+    if not offsets.startswith("{"):
+        return offsets
+    return json.dumps({t: parts for t, parts in json.loads(offsets).items() if t in topics})
+
+
+def raw_log(spark: SparkSession, settings: Settings) -> DataFrame:
+    """Everything that is on the configured topics now, undecoded."""
+    topics = settings.topics.avro + settings.topics.json
+    return (
+        spark.read.format("kafka")
+        .options(**source_options(settings.consumer, topics))
+        .load()
+        .select(*RAW_LOG.fieldNames())
+    )
+
+
 def load(spark: SparkSession, settings: Settings, ending: str = "latest") -> DataFrame:
-    """Bounded load of everything up to `ending` (offsets as JSON, or latest)."""
+    """Bounded load of all commands up to `ending`: latest, or offsets of `hand_over`."""
     return _read(spark.read, settings, endingOffsets=ending)
 
 
 def follow(
     spark: SparkSession, settings: Settings, starting: str = "earliest", max_offsets: int = 10_000_000
 ) -> DataFrame:
-    """Commands from `starting` on. `max_offsets` bounds a micro-batch, also when catching up."""
+    """Commands from `starting` on: earliest, or offsets of `hand_over`.
+
+    `max_offsets` bounds a micro-batch, also when the stream has to catch up.
+    """
     return _read(
-        spark.readStream, settings, starting=starting, maxOffsetsPerTrigger=str(max_offsets)
+        spark.readStream,
+        settings,
+        startingOffsets=starting,
+        maxOffsetsPerTrigger=str(max_offsets),
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import io
 import json
 from datetime import datetime, timezone
 
@@ -70,3 +72,10 @@ def payload(**change) -> str:
         **change,
     }
     return json.dumps({k: v for k, v in fields.items() if v is not ...})
+
+
+def formatted_plan(frame) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        frame.explain("formatted")
+    return out.getvalue()
