@@ -25,6 +25,19 @@ def event_counts(commands: DataFrame) -> DataFrame:
     )
 
 
+def observed(commands: DataFrame, name: str = "commands") -> DataFrame:
+    """The same commands; their counts by type show up in the progress of each batch of a stream."""
+    is_delete = F.col("command") == "delete"
+    return commands.observe(
+        name,
+        F.count_if(F.col("command") == "update").alias("update"),
+        F.count_if(is_delete & ~F.col("is_expired")).alias("delete_canceled"),
+        F.count_if(is_delete & F.col("is_expired")).alias("delete_expired"),
+        F.count_if(F.col("error.class") == "decode").alias("error_decode"),
+        F.count_if(F.col("error.class") == "transformation").alias("error_transformation"),
+    )
+
+
 def state_size(commands: DataFrame, as_of_ms: int, gate_ms: int = 0, **replay) -> DataFrame:
     """One row: schedules waiting now, and how often one was overwritten or removed on the way."""
     history = lifecycle(commands, as_of_ms, gate_ms, **replay)

@@ -29,11 +29,12 @@ def pending_at(commands: DataFrame, as_of_ms: int, gate_ms: int = 0) -> DataFram
     )
 
 
-def waiting_at_gate(commands: DataFrame, gate_ms: int) -> DataFrame:
-    """The schedules held back at the gate: the log up to there is read, nothing has fired yet."""
-    last = latest(effective(as_of(commands, gate_ms)), [ID])
-    return last.where(F.col("command") == "update").withColumn(
-        "fire_ms", clock.fire_ms(F.col("arrival_ms"), F.col("due_ms"), gate_ms)
+def waiting_at_gate(loaded: DataFrame, gate_ms: int) -> DataFrame:
+    """The schedules held back while the log was `loaded`: nothing of it has fired yet."""
+    return (
+        latest(effective(loaded), [ID])
+        .where(F.col("command") == "update")
+        .withColumn("fire_ms", clock.fire_ms(F.col("arrival_ms"), F.col("due_ms"), gate_ms))
     )
 
 

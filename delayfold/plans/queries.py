@@ -327,7 +327,8 @@ def stream_fire_equals_batch(spark, sf_dir):
 
 def stream_fire_gated(spark, sf_dir):
     """The log up to the gate is folded in batch and handed over; the stream takes the rest."""
-    waiting = state.waiting_at_gate(command_log(spark, sf_dir), GATE_MS)
+    loaded = life.as_of(command_log(spark, sf_dir), GATE_MS)
+    waiting = state.waiting_at_gate(loaded, GATE_MS)
     rest = command_log(spark, sf_dir, stream=True).where(F.col("arrival_ms") > GATE_MS)
     return _fired_by_stream(spark, rest, waiting)
 

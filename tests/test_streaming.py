@@ -103,7 +103,7 @@ def test_follow_replace_cancel_restart(spark, tmp_path):
         frame.write.mode("append").parquet(log)
 
     def begin():
-        stream = decode_json(logs.follow_table(spark, log))
+        stream = metrics.observed(decode_json(logs.follow_table(spark, log)))
         return start_outbox(fire_stream(stream), f"{folder}/outbox", f"{folder}/checkpoint")
 
     append(start, 0, payload(time=start + 10**10), "far")
@@ -113,7 +113,9 @@ def test_follow_replace_cancel_restart(spark, tmp_path):
     append(start, 4, payload(time=start + 25_000), "soon")
     query = begin()
     rows = wait_for(spark, folder, 1)
+    counted = [p["observedMetrics"].get("commands") for p in query.recentProgress]
     query.stop()
+    assert sum(c["update"] for c in counted if c is not None) == 5
     assert set(rows) == {1} and bytes(rows[1].value) == b"past"
 
     append(now_ms(), 5, None, "gone")
@@ -162,7 +164,7 @@ def test_hot_id_in_one_batch_equals_the_replay(spark, tmp_path, gate):
 
     stream, waiting = file_stream(spark, frame, str(tmp_path / "log")), None
     if gate is not None:
-        waiting = state.waiting_at_gate(frame, gate)
+        waiting = state.waiting_at_gate(life.as_of(frame, gate), gate)
         stream = stream.where(F.col("arrival_ms") > gate)
     query = start_outbox(
         fire_stream(stream, waiting), str(tmp_path / "outbox"), str(tmp_path / "checkpoint")
@@ -173,6 +175,27 @@ def test_hot_id_in_one_batch_equals_the_replay(spark, tmp_path, gate):
     assert all(r.headers == [("h", bytearray(b"x"))] for r in got.values())
 
 
+def test_restart_goes_on_without_the_initial_load(spark, tmp_path):
+    soon = now_ms() + 12_000
+    frame, _ = commands(spark, [{"due_ms": soon}, {"arrival_ms": 1, "schedule_id": "b"}])
+    waiting = state.waiting_at_gate(frame, 1)
+    first, second = str(tmp_path / "log" / "1"), str(tmp_path / "log" / "2")
+    later, _ = commands(spark, [{"schedule_id": "z", "offset": 7, "arrival_ms": 9}])
+    later.drop("error").write.parquet(first)
+    source = lambda: spark.readStream.schema(later.drop("error").schema).parquet(
+        str(tmp_path / "log" / "*")
+    )
+    places = str(tmp_path / "outbox"), str(tmp_path / "checkpoint")
+    query = start_outbox(fire_stream(source(), waiting), *places)
+    wait_for(spark, tmp_path, 2)
+    query.stop()
+    later.withColumn("offset", F.lit(8).cast("bigint")).drop("error").write.parquet(second)
+    query = start_outbox(fire_stream(source()), *places)
+    rows = wait_for(spark, tmp_path, 4)
+    query.stop()
+    assert set(rows) == {0, 1, 7, 8} and rows[0].fired_ms >= soon
+
+
 def test_failed_stream_is_reported(spark, tmp_path):
     frame, _ = commands(spark, [{}])
     stream = file_stream(spark, frame, str(tmp_path / "log")).withColumn(
