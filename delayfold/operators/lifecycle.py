@@ -103,13 +103,30 @@ def fired(history: DataFrame, after_ms: int | None = None, until_ms: int | None
 
 
 def transitions(history: DataFrame) -> DataFrame:
-    """Queue audit: one row per step of a schedule (scheduled, then how it ended)."""
+    """Queue audit: one row per step of a schedule (scheduled, then how it ended), with its log line."""
     steps = F.array(
         F.struct(F.lit("scheduled").alias("step"), F.col("arrival_ms").alias("at_ms")),
         F.struct(F.col("outcome").alias("step"), F.col("closed_ms").alias("at_ms")),
     )
+    named = F.concat(F.lit("["), F.col(ID), F.lit("]"))
+    line = (
+        F.when(F.col("step") == "scheduled", F.concat(F.lit("Scheduled "), named))
+        .when(F.col("step").startswith("canceled"), F.concat(F.lit("Canceled Schedule "), named))
+        .when(
+            F.col("step") == "fired",
+            F.concat(
+                F.lit("Scheduled "),
+                named,
+                F.lit(" to "),
+                F.col("target_topic"),
+                F.lit(" due at "),
+                F.col("due_ms"),
+            ),
+        )
+    )
     return (
         history.withColumn("_step", F.explode(steps))
         .where(F.col("_step.step") != "pending")
         .select(ID, "source_topic", "partition", "offset", "target_topic", "due_ms", "_step.*")
+        .withColumn("line", line)
     )

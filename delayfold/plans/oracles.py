@@ -249,9 +249,15 @@ SELECT {_ENVELOPE}, error_class, error_cause, error_message, error_paths
 FROM cmd WHERE command = 'error'""",
     "transition_audit": f"""WITH {_history()}
 SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms,
-       'scheduled' AS step, arrival_ms AS at_ms FROM life
+       'scheduled' AS step, arrival_ms AS at_ms, 'Scheduled [' || schedule_id || ']' AS line
+FROM life
 UNION ALL
-SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms, outcome, closed_ms
+SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms, outcome, closed_ms,
+       CASE WHEN outcome IN ('canceled', 'canceled_by_error')
+              THEN 'Canceled Schedule [' || schedule_id || ']'
+            WHEN outcome = 'fired'
+              THEN 'Scheduled [' || schedule_id || '] to ' || target_topic || ' due at ' || due_ms
+            END
 FROM life WHERE outcome <> 'pending'""",
     "delivery_lag": f"""WITH {_history(GATE_MS)}, late AS (
   SELECT target_topic, fire_ms - greatest(due_ms, arrival_ms) AS lag

@@ -24,7 +24,7 @@ from delayfold.plans.fixtures import (
 )
 from delayfold.session import work_dir
 from delayfold.sources import logs
-from delayfold.streaming.run import drain, read_outbox, start_outbox
+from delayfold.streaming.run import drain, read_outbox, start_outbox, state_partitions
 from delayfold.streaming.timers import fire_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,26 +311,29 @@ def delivery_lag(spark, sf_dir):
     return metrics.delivery_lag(fired)
 
 
-def _fired_by_stream(spark, commands: DataFrame, waiting: DataFrame | None) -> DataFrame:
-    """Runs the firing query over all of a log and reads back the messages of its outbox."""
+def _fired_by_stream(spark, sf_dir, gate_ms: int | None) -> DataFrame:
+    """Runs the firing query over all of the log and reads back the messages of its outbox."""
     folder = work_dir(spark, "fire")
-    fired = fire_stream(commands, waiting)
-    drain(start_outbox(fired, f"{folder}/outbox", f"{folder}/checkpoint"))
+    log, commands = command_log(spark, sf_dir), command_log(spark, sf_dir, stream=True)
+    waiting = None
+    if gate_ms is not None:
+        waiting = state.waiting_at_gate(life.as_of(log, gate_ms), gate_ms)
+        commands = commands.where(F.col("arrival_ms") > gate_ms)
+    with state_partitions(spark, log.count()):
+        fired = fire_stream(commands, waiting)
+        drain(start_outbox(fired, f"{folder}/outbox", f"{folder}/checkpoint"))
     sent = read_outbox(spark, f"{folder}/outbox").where(F.col("seq") == publish.PUBLISH)
     return sent.select(*_ENVELOPE, "due_ms", "fire_ms", *_record_columns())
 
 
 def stream_fire_equals_batch(spark, sf_dir):
     """The whole log through the stream; every due time is long past, so all that can fire does."""
-    return _fired_by_stream(spark, command_log(spark, sf_dir, stream=True), None)
+    return _fired_by_stream(spark, sf_dir, None)
 
 
 def stream_fire_gated(spark, sf_dir):
     """The log up to the gate is folded in batch and handed over; the stream takes the rest."""
-    loaded = life.as_of(command_log(spark, sf_dir), GATE_MS)
-    waiting = state.waiting_at_gate(loaded, GATE_MS)
-    rest = command_log(spark, sf_dir, stream=True).where(F.col("arrival_ms") > GATE_MS)
-    return _fired_by_stream(spark, rest, waiting)
+    return _fired_by_stream(spark, sf_dir, GATE_MS)
 
 
 QUERIES: dict[str, Query] = {

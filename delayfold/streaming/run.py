@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,21 @@ from delayfold.streaming.timers import FIRED
 ORIGIN = tuple(n for n in FIRED.fieldNames() if not n.startswith("out_"))
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, rows: int, rows_each: int = 10_000):
+    """Inside, a stream starts with no more state partitions than a log of `rows` has use for.
+
+    The number is fixed for the life of a checkpoint, so give the size the stream shall grow to.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), max(8, rows // rows_each))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def start_outbox(
     fired: DataFrame, path: str, checkpoint: str, every: str = "1 second"
 ) -> StreamingQuery:
