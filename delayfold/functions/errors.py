@@ -1,4 +1,7 @@
-"""The error value carried by a command that could not be read."""
+"""The error value carried by a command that could not be read.
+
+Fixed values: the class names and the message texts.
+"""
 
 from __future__ import annotations
 

@@ -23,7 +23,10 @@ def is_base64(column: Column) -> Column:
 
 
 def base64_problem(column: Column) -> Column:
-    """Why a text is not strict Base64, or null."""
+    """Why a text is not strict Base64, or null.
+
+    Fixed values: the messages are those of the JDK's strict decoder, without byte positions.
+    """
     stray = F.regexp_extract(column, r"[^A-Za-z0-9+/=]", 0)
     return F.when(
         ~is_base64(column),
