@@ -56,7 +56,7 @@ class RangeHash:
     def windows(self, length: int) -> np.ndarray:
         """Hashes of all ranges of one length, by start."""
         raw = (self._sums[length:] - self._sums[:-length]) * self._inverse[: len(self._sums) - length]
-        return mix(raw + np.uint64(length) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(raw + np.uint64(length * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 @dataclass

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from delayfold.llm import ngram_join
+from delayfold.llm import ngram_join, repeats
 from delayfold.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,18 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op9_suffix_array_dedup(spark, sf_dir):
+    """Every copy counts as removed here, the first one too."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return repeats.repeat_digests(repeats.with_repeats(docs, length=400, keep_first=False))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op9_suffix_array_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {}
