@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from delayfold.llm import ngram_join, repeats
+from delayfold.llm import byte_bpe, ngram_join, repeats, token_files
 from delayfold.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,17 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     )
 
 
+def op3_token_files(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_files.write_tokens(documents(spark, sf_dir), vocabulary, end_id=2)
+    return token_files.read_tokens(manifest, token_files.checksum, "ids_crc32 long")
+
+
+def op6_byte_level_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(documents(spark, sf_dir), ranks)
+
+
 def op9_suffix_array_dedup(spark, sf_dir):
     """Every copy counts as removed here, the first one too."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -32,6 +44,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op3_token_files,
+        op6_byte_level_bpe,
         op9_suffix_array_dedup,
     )
 }
