@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from delayfold.llm import byte_bpe, ngram_join, repeats, token_files
+from delayfold.llm import byte_bpe, language, ngram_join, quality, repeats, token_files, toxicity
 from delayfold.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,24 +29,50 @@ def op3_token_files(spark, sf_dir):
     return token_files.read_tokens(manifest, token_files.checksum, "ids_crc32 long")
 
 
+def op4_language_id(spark, sf_dir):
+    """Documents with remainder 1 are held out; the filters are learned from all others."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    filters = language.train(docs.where(F.col("doc_id").isNotNull() & ~held_out))
+    return language.predicted(docs, filters).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_byte_level_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(documents(spark, sf_dir), ranks)
 
 
+def op8_quality_rules(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judged(documents(spark, sf_dir), labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score",
+    )
+
+
 def op9_suffix_array_dedup(spark, sf_dir):
     """Every copy counts as removed here, the first one too."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return repeats.repeat_digests(repeats.with_repeats(docs, length=400, keep_first=False))
 
 
+def op10_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.scored(documents(spark, sf_dir), labels)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
         op3_token_files,
+        op4_language_id,
         op6_byte_level_bpe,
+        op8_quality_rules,
         op9_suffix_array_dedup,
+        op10_toxicity,
     )
 }
 
