@@ -1,23 +1,47 @@
-"""Cleaning and packing of a document table: quality, toxicity, near copies, repeats, packing."""
+"""Cleaning and packing of a document table, in five stages of the operators in delayfold/llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from delayfold.llm.ngram_join import deduplicated
+from delayfold.llm import ngram_join, packing, quality, repeats, toxicity
 from delayfold.llm.tables import documents, stored
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and trees keep."""
+    return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain does not find toxic."""
+    return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, a similarity of 0.8 or more."""
-    return deduplicated(docs)
+    """One document of each group stays: n-grams of five words, a similarity of 0.8 or more."""
+    return ngram_join.deduplicated(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without strings of 400 bytes that came before."""
+    return repeats.without_repeats(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every document goes."""
+    return packing.packed(docs)
 
 
 STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxic_documents),
     ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", best_fit_packing),
 ]
 
-# Models and packing have no SQL form; tests/llm compares the stages with brute force.
+# Models, hashes of windows and packing have no SQL form; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
