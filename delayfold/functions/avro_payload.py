@@ -9,12 +9,30 @@ and bytes), headers (map of bytes). The older layout has no headers.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from delayfold.functions.text import to_utf8
 
+# Fixed value: the layout an unreadable payload is held against last, as errors name it.
+NAME = "AvroScheduleWithoutHeaders"
+SCHEMA = json.dumps(
+    {
+        "type": "record",
+        "name": NAME,
+        "fields": [
+            {"name": "time", "type": "long"},
+            {"name": "topic", "type": "string"},
+            {"name": "key", "type": "bytes"},
+            {"name": "value", "type": ["null", "bytes"]},
+        ],
+    },
+    separators=(",", ":"),
+)
+
 DECODED = T.StructType(
     [
         T.StructField("ok", T.BooleanType()),

@@ -11,8 +11,9 @@ def now_ms() -> Column:
     return F.unix_millis(F.current_timestamp())
 
 
-def shifted_now_ms(seconds: int) -> Column:
-    return now_ms() + F.lit(seconds * 1000).cast("bigint")
+def shifted_now_ms(seconds: Column) -> Column:
+    """The same clock set ahead (or back) by a number of seconds."""
+    return now_ms() + seconds.cast("bigint") * 1000
 
 
 def delay_ms(due: Column, now: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from delayfold.functions.text import base64_bytes, base64_problem, is_base64, utf8
+from delayfold.functions.text import base64_problem, is_base64, utf8, whole_number
 
 # Grammar of a JSON number; a `time` given as text must match it.
 NUMBER = r"\A-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\z"
@@ -26,15 +26,26 @@ def _text(name: str) -> Column:
     return F.try_variant_get(F.col(f"_nodes.{name}"), "$", "string")
 
 
+def _numbers_as_text(json: Column) -> Column:
+    """JSON with every number in quotes. U+0001, which JSON text cannot hold, marks the places."""
+    mark = "\u0001"
+    pattern = r'("(?:[^"\\]|\\.)*")|(-?[0-9][0-9.eE+-]*)'
+    marked = F.regexp_replace(json, pattern, f"$1{mark}$2{mark}")
+    return F.replace(F.replace(marked, F.lit(mark * 2), F.lit("")), F.lit(mark), F.lit('"'))
+
+
 def _time() -> Column:
-    """The due time: a whole number within BIGINT, as a number or as text."""
+    """The due time: a whole number within BIGINT, as a number or as text.
+
+    A number that is not plainly a BIGINT is decided on its text as it was written.
+    """
     node, kind = F.col("_nodes.time"), _kind("time")
-    exact = F.try_variant_get(node, "$", "decimal(38,18)")
+    written = F.from_json(_numbers_as_text(F.col("_text")), "time string")["time"]
     numeric = kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
-    number_text = (kind == "STRING") & _text("time").rlike(NUMBER)
-    return F.when(kind == "BIGINT", F.try_variant_get(node, "$", "bigint")).when(
-        numeric | number_text,
-        F.when(exact == F.floor(exact), F.floor(exact).try_cast("bigint")),
+    return (
+        F.when(kind == "BIGINT", F.try_variant_get(node, "$", "bigint"))
+        .when(numeric, whole_number(written))
+        .when((kind == "STRING") & _text("time").rlike(NUMBER), whole_number(_text("time")))
     )
 
 
@@ -106,12 +117,25 @@ def parse(raw: DataFrame) -> DataFrame:
 
 
 def check(parsed: DataFrame) -> DataFrame:
-    """Adds `_read`, whether and how the payload is readable, and the bad Base64 fields.
+    """Adds `_read`: whether and how the payload is readable, its fields, and the bad Base64 fields.
 
-    The verdict hangs on a condition that is always true but that the optimizer does not see through.
-    A filter on it then stays above, and does not drag further copies of the whole parse down to the
-    scan. Where no decoded column is asked for, the parse is still pruned away.
+    Strictness is decided once for each field; messages are made for bad ones only. The verdict comes
+    from a generator of one row: filters on the envelope pass it, down to the scan, while a filter on
+    decoded columns stays above and does not drag a copy of the parse along.
     """
+    flagged = parsed.withColumns(
+        {
+            "_key_good": F.coalesce(is_base64(F.col("_key64")), F.lit(True)),
+            "_value_good": F.coalesce(is_base64(F.col("_value64")), F.lit(True)),
+            "_headers64": F.transform(
+                "_headers64",
+                lambda h: F.struct(
+                    h["key"].alias("key"), h["text"].alias("text"), is_base64(h["text"]).alias("good")
+                ),
+            ),
+        }
+    )
+    clean = F.col("_key_good") & F.col("_value_good") & F.forall("_headers64", lambda h: h["good"])
 
     def problem(path: Column, column: Column) -> Column:
         return F.struct(path.alias("path"), base64_problem(column).alias("message"))
@@ -126,30 +150,31 @@ def check(parsed: DataFrame) -> DataFrame:
             lambda h: problem(F.concat(F.lit("headers("), h["key"], F.lit(")")), h["text"]),
         ),
     )
-    clean = (
-        F.coalesce(is_base64(F.col("_key64")), F.lit(True))
-        & F.coalesce(is_base64(F.col("_value64")), F.lit(True))
-        & F.forall("_headers64", lambda h: is_base64(h["text"]))
-    )
     no_paths = F.array().cast("array<struct<path:string,message:string>>")
     paths = F.when(clean, no_paths).otherwise(
         F.filter(candidates, lambda c: c["message"].isNotNull())
     )
+    shape = F.coalesce(F.col("_json") & F.col("_shape"), F.lit(False))
+    good = shape & F.coalesce(clean, F.lit(False))
     verdict = F.struct(
         F.coalesce(F.col("_json"), F.lit(False)).alias("json"),
-        F.coalesce(F.col("_json") & F.col("_shape"), F.lit(False)).alias("shape"),
-        paths.alias("paths"),
-        F.col("_time").alias("time"),
-        F.col("_topic").alias("topic"),
+        shape.alias("shape"),
+        good.alias("good"),
+        F.when(shape, paths).alias("paths"),
+        F.when(good, F.col("_time")).alias("time"),
+        F.when(good, F.col("_topic")).alias("topic"),
+        F.when(good, F.unbase64("_key64")).alias("key"),
+        F.when(good, F.unbase64("_value64")).alias("value"),
+        F.when(good, _out_headers()).alias("headers"),
     )
-    return parsed.withColumn("_read", F.when(F.spark_partition_id() >= 0, verdict))
+    return flagged.withColumn("_read", F.explode(F.array(verdict)))
 
 
-def out_headers() -> Column:
+def _out_headers() -> Column:
     return F.map_from_entries(
         F.transform(
             "_headers64",
-            lambda h: F.struct(h["key"].alias("key"), base64_bytes(h["text"]).alias("value")),
+            lambda h: F.struct(h["key"].alias("key"), F.unbase64(h["text"]).alias("value")),
         )
     )
 

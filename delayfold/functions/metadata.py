@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from delayfold.functions.text import utf8
@@ -30,6 +32,20 @@ def combine(left: Column, right: Column) -> Column:
     return F.map_concat(left, right)
 
 
+def transform(metadata: Column, change: Callable[[Column], Column]) -> Column:
+    """Metadata after `change`, which takes and gives a map; names stay case-insensitive."""
+    lowered = F.transform(
+        F.map_entries(change(metadata)),
+        lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")),
+    )
+    return from_entries(lowered)
+
+
+def to_map(metadata: Column) -> Column:
+    """A plain map of text; an absent one is empty."""
+    return F.coalesce(metadata, empty())
+
+
 def expire(metadata: Column) -> Column:
     return combine(metadata, F.create_map(F.lit(EXPIRED_KEY), F.lit(EXPIRED_VALUE)))
 

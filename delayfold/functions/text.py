@@ -14,6 +14,23 @@ def to_utf8(column: Column) -> Column:
     return F.encode(column, "UTF-8")
 
 
+def whole_number(text: Column) -> Column:
+    """A JSON number's text as BIGINT; null unless the number is whole and in range, decided on its digits."""
+    part = lambda i: F.regexp_extract(text, r"^-?([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", i)
+    digits = F.concat(part(1), part(2))
+    no_exponent = part(3) == ""
+    point = F.length(part(1)) + F.when(no_exponent, 0).otherwise(part(3).try_cast("int"))
+    whole = F.when(point <= 0, "").otherwise(F.rpad(F.left(digits, point), F.least(point, F.lit(400)), F.lit("0")))
+    fraction = F.when(point <= 0, digits).otherwise(F.substr(digits, point + 1))
+    kept = F.ltrim(whole, F.lit("0"))
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    number = F.when(kept == "", F.lit(0).cast("bigint")).when(
+        F.length(kept) <= 19, F.concat(sign, kept).try_cast("bigint")
+    )
+    zero = digits.rlike("^0*$")
+    return F.when(zero, F.lit(0).cast("bigint")).when((point <= 400) & fraction.rlike("^0*$"), number)
+
+
 def is_base64(column: Column) -> Column:
     """Strict Base64: no stray characters or line breaks; padding may be left out, but not be wrong."""
     length = F.length(column)

@@ -13,8 +13,11 @@ EXPIRED_VALUE = "true"
 # Longest delay in ms: 2**63 - 1 nanoseconds, about 292 years.
 MAX_DELAY_MS = 9_223_372_036_854
 
-# Total order of the commands of one ID, across topics and partitions.
-POSITION = ("arrival_ms", "source_topic", "partition", "offset")
+# Where offsets count.
+LANE = ("source_topic", "partition")
+
+# Total order of the commands of one ID, across topics and partitions; see operators/ordered.
+POSITION = ("seen_ms", *LANE, "offset")
 
 HEADERS = T.ArrayType(
     T.StructType(
@@ -116,10 +119,3 @@ class Settings:
     topics: Topics
     consumer: Broker = Broker()
     producer: Broker = Broker()
-
-    def __str__(self) -> str:
-        return (
-            f"Avro topics [{','.join(self.topics.avro)}]; "
-            f"JSON topics [{','.join(self.topics.json)}]; "
-            f"broker {self.consumer.bootstrap_servers}"
-        )

@@ -5,27 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from delayfold.functions import avro_payload, errors, json_payload, metadata
-from delayfold.functions.text import base64_bytes, utf8
+from delayfold.functions.text import utf8
 from delayfold.model import COMMANDS
 from delayfold.session import prepare
 
 
-def _envelope(raw: DataFrame) -> DataFrame:
+def envelope(raw: DataFrame) -> DataFrame:
+    """A raw log with the columns by which commands are told apart and ordered."""
     prepare(raw.sparkSession)
-    return raw.select(
-        utf8(F.col("key")).alias("schedule_id"),
-        F.col("topic").alias("source_topic"),
-        "partition",
-        "offset",
-        F.unix_millis("timestamp").alias("arrival_ms"),
-        metadata.header_entries(F.col("headers")).alias("_entries"),
-        "value",
+    return raw.withColumns(
+        {
+            "schedule_id": utf8(F.col("key")),
+            "source_topic": F.col("topic"),
+            "arrival_ms": F.unix_millis("timestamp"),
+            "_entries": metadata.header_entries(F.col("headers")),
+        }
     )
 
 
-def _commands(decoded: DataFrame, is_update: Column, error: Column, fields: dict) -> DataFrame:
-    """Classifies (null payload: delete, good payload: update, else error) and shapes the row."""
-    is_delete = F.col("value").isNull()
+def is_report() -> Column:
+    """Of a raw log: the deletes that only report a fired schedule. No payload is read for it."""
+    entries = metadata.from_entries(metadata.header_entries(F.col("headers")))
+    return F.col("value").isNull() & metadata.is_expired(entries)
+
+
+def _commands(
+    decoded: DataFrame, is_update: Column, error: Column, fields: dict, keep: tuple[str, ...]
+) -> DataFrame:
+    """Classifies (null payload: delete, good payload: update, else error) and shapes the row.
+
+    A record without a key has no ID to act on: it is an error, and takes part in no fold.
+    """
+    no_key = F.col("schedule_id").isNull()
+    is_delete = F.col("value").isNull() & ~no_key
+    is_update = is_update & ~no_key
+    error = F.when(
+        no_key, errors.undecodable(F.lit(""), F.lit("no-key"), F.lit("the record has no key"))
+    ).otherwise(error)
     marked = decoded.withColumn("metadata", metadata.from_entries(F.col("_entries"))).withColumns(
         {
             "command": F.when(is_delete, "delete").when(is_update, "update").otherwise("error"),
@@ -36,11 +52,12 @@ def _commands(decoded: DataFrame, is_update: Column, error: Column, fields: dict
             },
         }
     )
-    return marked.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in COMMANDS])
+    return marked.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in COMMANDS], *keep)
 
 
-def decode_json(raw: DataFrame) -> DataFrame:
-    parsed = json_payload.check(json_payload.parse(_envelope(raw)))
+def decode_json(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Commands of a raw log with JSON payloads; columns in `keep` go along."""
+    parsed = json_payload.check(json_payload.parse(envelope(raw)))
     cause = F.when(F.col("_read.json"), "invalid-json").otherwise("not-json")
     cause_message = F.when(
         F.col("_read.json"),
@@ -48,7 +65,7 @@ def decode_json(raw: DataFrame) -> DataFrame:
     ).otherwise(F.concat(F.lit("'"), F.col("_text"), F.lit("' was not valid JSON")))
     return _commands(
         parsed,
-        F.col("_read.shape") & (F.size("_read.paths") == 0),
+        F.col("_read.good"),
         F.when(
             F.col("_read.shape"),
             errors.untransformable(F.col("schedule_id"), F.col("_read.paths")),
@@ -56,16 +73,17 @@ def decode_json(raw: DataFrame) -> DataFrame:
         {
             "due_ms": F.col("_read.time"),
             "target_topic": F.col("_read.topic"),
-            "out_key": base64_bytes(F.col("_key64")),
-            "out_value": base64_bytes(F.col("_value64")),
-            "out_headers": json_payload.out_headers(),
+            "out_key": F.col("_read.key"),
+            "out_value": F.col("_read.value"),
+            "out_headers": F.col("_read.headers"),
         },
+        keep,
     )
 
 
-def decode_avro(raw: DataFrame) -> DataFrame:
-    """Current layout first, then the one without headers."""
-    parsed = _envelope(raw).withColumn("_avro", avro_payload.read(F.col("value")))
+def decode_avro(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Commands of a raw log with Avro payloads: current layout first, then the one without headers."""
+    parsed = envelope(raw).withColumn("_avro", avro_payload.read(F.col("value")))
     headers = F.transform(
         "_avro.headers",
         lambda h: F.struct(utf8(h["key"]).alias("key"), h["value"].alias("value")),
@@ -76,7 +94,7 @@ def decode_avro(raw: DataFrame) -> DataFrame:
         errors.undecodable(
             F.col("schedule_id"),
             F.lit("invalid-avro"),
-            F.lit("Avro message did not conform to Schema"),
+            F.lit(f"Avro message did not conform to Schema: {avro_payload.NAME}: {avro_payload.SCHEMA}"),
         ),
         {
             "due_ms": F.col("_avro.time"),
@@ -85,6 +103,7 @@ def decode_avro(raw: DataFrame) -> DataFrame:
             "out_value": F.col("_avro.value"),
             "out_headers": F.map_from_entries(headers),
         },
+        keep,
     )
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from delayfold.functions import clock
 from delayfold.operators.decode import effective
-from delayfold.operators.ordered import ID, Ordered, Slicing, cut_points
+from delayfold.operators.ordered import ID, Ordered, Slicing, split
 
 IGNORE, COMPLETE = "ignore", "complete"
 
 
 def as_of(commands: DataFrame, as_of_ms: int | None) -> DataFrame:
-    """Cuts the log at a time. This must come before the neighbours are looked up."""
+    """Cuts the log at a record time. This must come before the neighbours are looked up."""
     return commands if as_of_ms is None else commands.where(F.col("arrival_ms") <= as_of_ms)
 
 
@@ -26,8 +28,8 @@ def lifecycle(
 ) -> DataFrame:
     """Every update with its `outcome`, `fire_ms` and `closed_ms`.
 
-    An update fires at the latest of its arrival, its due time and the gate, unless a later command of
-    the same ID arrives first or at the same ms. Outcomes: fired, superseded (by an update), canceled
+    An update fires at the latest of the time it was seen (`seen_ms`, see operators/ordered), its due
+    time and the gate, unless a later command of the same ID is seen first or at the same ms. Outcomes: fired, superseded (by an update), canceled
     (by a delete), canceled_by_error, pending, and with the `complete` policy completed.
 
     expired_policy: `ignore` takes no notice of the deletes that report a fired schedule. `complete`
@@ -36,16 +38,16 @@ def lifecycle(
     """
     if expired_policy not in (IGNORE, COMPLETE):
         raise ValueError(f"unknown expired policy: {expired_policy}")
-    cuts = cut_points(commands, rows, slicing)
-    seen = as_of(commands, as_of_ms).withColumn(
-        "fire_ms", clock.fire_ms(F.col("arrival_ms"), F.col("due_ms"), gate_ms)
-    )
-    if expired_policy == COMPLETE:
-        ordered = _with_closing_reports(Ordered(seen, cuts, slicing))
-    else:
-        ordered = Ordered(effective(seen), cuts, slicing)
-    history = ordered.add_next("_next", F.struct("arrival_ms", "command", "is_expired")).done()
-    return _outcomes(history.where(F.col("command") == "update"), as_of_ms)
+    cut = as_of(commands, as_of_ms)
+    histories = []
+    for part in split(effective(cut) if expired_policy == IGNORE else cut, rows, slicing):
+        fire_ms = clock.fire_ms(F.col("seen_ms"), F.col("due_ms"), gate_ms)
+        ordered = Ordered(part.rows.withColumn("fire_ms", fire_ms), part.cut)
+        if expired_policy == COMPLETE:
+            ordered = _with_closing_reports(ordered)
+        history = ordered.add_next("_next", F.struct("seen_ms", "command", "is_expired")).done()
+        histories.append(_outcomes(history.where(F.col("command") == "update"), as_of_ms))
+    return reduce(DataFrame.unionByName, histories)
 
 
 def _with_closing_reports(ordered: Ordered) -> Ordered:
@@ -57,8 +59,8 @@ def _with_closing_reports(ordered: Ordered) -> Ordered:
     current = F.when(~is_report, F.struct("command", "due_ms", "fire_ms"))
     closes = (
         (F.col("_current.command") == "update")
-        & (F.col("_current.due_ms") <= F.col("arrival_ms"))
-        & (F.col("arrival_ms") <= F.col("_current.fire_ms"))
+        & (F.col("_current.due_ms") <= F.col("seen_ms"))
+        & (F.col("seen_ms") <= F.col("_current.fire_ms"))
     )
     return ordered.add_last_before("_current", current).where(
         ~is_report | F.coalesce(closes, F.lit(False))
@@ -66,7 +68,7 @@ def _with_closing_reports(ordered: Ordered) -> Ordered:
 
 
 def _outcomes(updates: DataFrame, as_of_ms: int | None) -> DataFrame:
-    fires = F.col("_next").isNull() | (F.col("fire_ms") < F.col("_next.arrival_ms"))
+    fires = F.col("_next").isNull() | (F.col("fire_ms") < F.col("_next.seen_ms"))
     reached = F.lit(True) if as_of_ms is None else F.col("fire_ms") <= as_of_ms
     outcome = (
         F.when(fires & reached, "fired")
@@ -77,12 +79,12 @@ def _outcomes(updates: DataFrame, as_of_ms: int | None) -> DataFrame:
         .otherwise("canceled")
     )
     closed = F.when(F.col("outcome") == "fired", F.col("fire_ms")).when(
-        F.col("outcome") != "pending", F.col("_next.arrival_ms")
+        F.col("outcome") != "pending", F.col("_next.seen_ms")
     )
     return (
         updates.withColumns(
             {
-                "next_ms": F.col("_next.arrival_ms"),
+                "next_ms": F.col("_next.seen_ms"),
                 "next_command": F.col("_next.command"),
                 "outcome": outcome,
             }
@@ -102,31 +104,45 @@ def fired(history: DataFrame, after_ms: int | None = None, until_ms: int | None
     return rows
 
 
-def transitions(history: DataFrame) -> DataFrame:
-    """Queue audit: one row per step of a schedule (scheduled, then how it ended), with its log line."""
-    steps = F.array(
-        F.struct(F.lit("scheduled").alias("step"), F.col("arrival_ms").alias("at_ms")),
-        F.struct(F.col("outcome").alias("step"), F.col("closed_ms").alias("at_ms")),
-    )
+def transitions(commands: DataFrame, history: DataFrame) -> DataFrame:
+    """Queue audit: one row per step of a schedule, and one per cancel, with its log line.
+
+    `commands` is the log that `history` was made of, as of the same time. Every effective delete and
+    error cancels its ID and says so, also where nothing was waiting. Fixed values: the lines.
+    """
     named = F.concat(F.lit("["), F.col(ID), F.lit("]"))
-    line = (
-        F.when(F.col("step") == "scheduled", F.concat(F.lit("Scheduled "), named))
-        .when(F.col("step").startswith("canceled"), F.concat(F.lit("Canceled Schedule "), named))
-        .when(
-            F.col("step") == "fired",
-            F.concat(
-                F.lit("Scheduled "),
-                named,
-                F.lit(" to "),
-                F.col("target_topic"),
-                F.lit(" due at "),
-                F.col("due_ms"),
-            ),
-        )
+    place = (ID, "source_topic", "partition", "offset")
+    steps = F.array(
+        F.struct(
+            F.lit("scheduled").alias("step"),
+            F.col("seen_ms").alias("at_ms"),
+            F.concat(F.lit("Scheduled "), named).alias("line"),
+        ),
+        F.struct(
+            F.col("outcome").alias("step"),
+            F.col("closed_ms").alias("at_ms"),
+            F.when(
+                F.col("outcome") == "fired",
+                F.concat(
+                    F.lit("Scheduled "), named, F.lit(" to "), F.col("target_topic"),
+                    F.lit(" due at "), F.col("due_ms"),
+                ),
+            ).alias("line"),
+        ),
     )
-    return (
+    of_updates = (
         history.withColumn("_step", F.explode(steps))
         .where(F.col("_step.step") != "pending")
-        .select(ID, "source_topic", "partition", "offset", "target_topic", "due_ms", "_step.*")
-        .withColumn("line", line)
+        .select(*place, "target_topic", "due_ms", "_step.*")
+    )
+    cancels = effective(commands).where(F.col("command") != "update").where(F.col(ID).isNotNull())
+    return of_updates.unionByName(
+        cancels.select(
+            *place,
+            F.lit(None).cast("string").alias("target_topic"),
+            F.lit(None).cast("bigint").alias("due_ms"),
+            F.lit("cancel").alias("step"),
+            F.col("arrival_ms").alias("at_ms"),
+            F.concat(F.lit("Canceled Schedule "), named).alias("line"),
+        )
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from delayfold.functions import clock
 from delayfold.operators.decode import effective
 from delayfold.operators.lifecycle import as_of, lifecycle
+from delayfold.operators.ordered import Ordered, Slicing, split
 
 
 def event_counts(commands: DataFrame) -> DataFrame:
@@ -42,35 +46,37 @@ def state_size(commands: DataFrame, as_of_ms: int, gate_ms: int = 0, **replay) -
     """One row: schedules waiting now, and how often one was overwritten or removed on the way."""
     history = lifecycle(commands, as_of_ms, gate_ms, **replay)
     counted = {"active": "pending"} | {
-        name: name for name in ("superseded", "canceled", "canceled_by_error", "fired")
+        name: name for name in ("superseded", "canceled", "canceled_by_error", "completed", "fired")
     }
     return history.agg(
         *[F.count_if(F.col("outcome") == what).alias(name) for name, what in counted.items()]
     )
 
 
-def lookup_hits(commands: DataFrame, as_of_ms: int, gate_ms: int = 0, **replay) -> DataFrame:
-    """Each command looks its ID up once; a hit finds a waiting schedule.
-
-    A hit is the end of exactly one waiting update, so the hits are counted on the updates that a
-    next command closed.
-    """
-    asked = (
-        effective(as_of(commands, as_of_ms)).groupBy("command").agg(F.count("*").alias("lookups"))
-    )
-    history = lifecycle(commands, as_of_ms, gate_ms, **replay)
-    closed = history.where(~F.col("outcome").isin("fired", "pending", "completed"))
-    hits = closed.groupBy(F.col("next_command").alias("command")).agg(F.count("*").alias("hits"))
-    return (
-        asked.join(hits, "command", "left")
-        .withColumn("hits", F.coalesce("hits", F.lit(0)))
-        .withColumn("misses", F.col("lookups") - F.col("hits"))
+def lookup_hits(
+    commands: DataFrame,
+    as_of_ms: int,
+    gate_ms: int = 0,
+    rows: int | None = None,
+    slicing: Slicing = Slicing(),
+) -> DataFrame:
+    """Each effective command looks its ID up once; a hit finds a schedule that still waits."""
+    asked = []
+    for part in split(effective(as_of(commands, as_of_ms)), rows, slicing):
+        fire_ms = clock.fire_ms(F.col("seen_ms"), F.col("due_ms"), gate_ms)
+        ordered = Ordered(part.rows.withColumn("fire_ms", fire_ms), part.cut)
+        ordered = ordered.add_last_before("_last", F.struct("command", "fire_ms"))
+        asked.append(ordered.done().select("command", "_last", "seen_ms"))
+    hit = (F.col("_last.command") == "update") & (F.col("_last.fire_ms") >= F.col("seen_ms"))
+    counted = reduce(DataFrame.unionByName, asked).groupBy("command")
+    return counted.agg(F.count("*").alias("lookups"), F.count_if(hit).alias("hits")).withColumn(
+        "misses", F.col("lookups") - F.col("hits")
     )
 
 
 def command_audit(commands: DataFrame) -> DataFrame:
-    """One line per decoded command."""
-    key, source = F.col("schedule_id"), F.col("source_topic")
+    """One line per decoded command. The lines."""
+    key, source = F.coalesce("schedule_id", F.lit("")), F.col("source_topic")
     line = (
         F.when(
             F.col("command") == "update",
@@ -101,19 +107,29 @@ def command_audit(commands: DataFrame) -> DataFrame:
     )
 
 
-def delivery_lag(fired: DataFrame, fired_ms: str = "fire_ms", accuracy: int = 10_000) -> DataFrame:
+def delivery_lag(fired: DataFrame, fired_ms: str = "fire_ms") -> DataFrame:
     """How late messages left, by target topic: fired minus the later of due and arrival.
 
-    Percentiles come from a sketch of bounded size (rank error 1/accuracy), so that a target topic
-    with much of the traffic costs no more memory than a small one.
+    All numbers are exact. Messages are counted by lag before anything is shuffled; a percentile is the
+    lag at which the running count reaches its rank, so a topic's rows are never sorted themselves.
     """
-    lag = F.col(fired_ms) - F.greatest("due_ms", "arrival_ms")
-    measured = fired.withColumn("_lag", lag)
-    return measured.groupBy("target_topic").agg(
-        F.count("*").alias("messages"),
-        F.count_if(F.col("_lag") <= 100).alias("within_100_ms"),
-        F.percentile_approx("_lag", 0.5, accuracy).alias("p50_ms"),
-        F.percentile_approx("_lag", 0.99, accuracy).alias("p99_ms"),
+    arrival = "seen_ms" if "seen_ms" in fired.columns else "arrival_ms"
+    lag = F.col(fired_ms) - F.greatest("due_ms", arrival)
+    counts = fired.groupBy("target_topic", lag.alias("_lag")).agg(F.count("*").alias("_n"))
+    topic = Window.partitionBy("target_topic")
+    until_here = topic.orderBy("_lag").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns(
+        {"_upto": F.sum("_n").over(until_here), "_all": F.sum("_n").over(topic)}
+    )
+
+    def percentile(share: float) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * share), F.col("_lag")))
+
+    return ranked.groupBy("target_topic").agg(
+        F.sum("_n").alias("messages"),
+        F.coalesce(F.sum(F.when(F.col("_lag") <= 100, F.col("_n"))), F.lit(0)).alias("within_100_ms"),
+        percentile(0.5).alias("p50_ms"),
+        percentile(0.99).alias("p99_ms"),
         F.max("_lag").alias("max_ms"),
-        F.sum("_lag").alias("total_ms"),
+        F.sum(F.col("_lag") * F.col("_n")).alias("total_ms"),
     )

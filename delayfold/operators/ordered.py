@@ -1,9 +1,13 @@
 """Neighbours in the command order of each ID, also when one ID holds much of the log.
 
-A window over `schedule_id` alone would sort all commands of an ID in one task. Here a hot ID is cut
-into slices at positions taken from a sample, the window runs per (ID, slice), and what crosses a cut
-comes from a small table with one row per slice. Every command stays in; the cuts only decide which
-task sorts it.
+Within a partition the offset decides; record times, which producers set, may go backwards there. A
+command counts as *seen* at the largest record time its ID has had in that partition so far, and
+commands of an ID from several partitions are merged by that time.
+
+A window over `schedule_id` alone would sort all commands of an ID in one task. IDs that hold more rows
+than one task should sort are found in a sample of the log, whatever its size, and kept apart: their
+rows are cut into slices, the windows run per slice, and what crosses a cut comes from tables with one
+row per slice. All other IDs are shuffled once. No row is dropped; cuts only decide which task sorts it.
 """
 
 from __future__ import annotations
@@ -12,117 +16,72 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from delayfold.model import POSITION
+from delayfold.model import LANE, POSITION
 
 ID = "schedule_id"
 
 
 @dataclass(frozen=True)
 class Slicing:
-    """When and how finely hot IDs are cut.
+    """How finely hot IDs are cut.
 
-    above: logs up to this many rows are not cut, one task can sort any ID of them.
-    slices: no slice should hold much more than 1/slices of the rows.
-    samples: sampled rows per slice; slices * samples rows are sampled in all, whatever the log's size.
+    least: an ID with fewer rows, or a slice of so many, is sorted by one task.
+    slices: the most slices a log is cut into; bounds the tables that are broadcast. A log with more
+        than least * slices rows gets larger slices.
+    samples: sampled rows per slice.
     """
 
-    above: int = 1_000_000
-    slices: int = 1_000
-    samples: int = 100
+    least: int = 1_000_000
+    slices: int = 100_000
+    samples: int = 1_000
+
+    def every(self, rows: int) -> int:
+        """One in so many rows is sampled."""
+        return max(1, max(self.least, -(-rows // self.slices)) // self.samples)
 
 
 def position() -> Column:
     return F.struct(*POSITION)
 
 
-def cut_points(
-    commands: DataFrame, rows: int | None = None, slicing: Slicing = Slicing()
-) -> DataFrame | None:
-    """Hot IDs with their sorted cut positions, at most `slices` of them; None if the log is small.
-
-    `rows` is the size of the log if known; else it is counted (a footer read on parquet).
-    """
-    rows = commands.count() if rows is None else rows
-    if rows <= slicing.above:
-        return None
-    every = max(1, rows // (slicing.slices * slicing.samples))
-    sample = commands.select(ID, *POSITION).where(
-        F.pmod(F.xxhash64("source_topic", "partition", "offset"), F.lit(every)) == 0
-    )
-    numbered = sample.withColumn(
-        "_n", F.row_number().over(Window.partitionBy(ID).orderBy(*POSITION))
-    )
-    return (
-        numbered.where(F.col("_n") % slicing.samples == 0)
-        .groupBy(ID)
-        .agg(F.array_sort(F.collect_list(position())).alias("_cuts"))
-    )
-
-
-def _cuts_passed(slices: int) -> Column:
-    """How many of the sorted `_cuts` are at or before `_at`, found by halving steps."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(slices.bit_length() + 2))])
+def _passed(cuts: str, at: Column) -> Column:
+    """How many of the sorted `cuts` are at or before `at`, found by halving steps."""
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda bit: F.pow(2, bit).cast("int"))
     return F.aggregate(
         steps,
         F.lit(0),
         lambda passed, step: F.when(
-            F.get("_cuts", passed + step - 1) <= F.col("_at"), passed + step
+            F.get(cuts, passed + step - 1) <= at, passed + step
         ).otherwise(passed),
     )
 
 
 class Ordered:
-    """A command table with the slice of each row, ready for neighbour columns."""
-
-    def __init__(
-        self,
-        commands: DataFrame,
-        cuts: DataFrame | None = None,
-        slicing: Slicing = Slicing(),
-    ):
-        self.cuts = cuts
-        if cuts is None:
-            self.rows = commands.withColumn("_slice", F.lit(0))
-        else:
-            self.rows = (
-                commands.join(F.broadcast(cuts), ID, "left")
-                .withColumn("_at", position())
-                .withColumn(
-                    "_slice",
-                    F.when(F.col("_cuts").isNotNull(), _cuts_passed(slicing.slices)).otherwise(0),
-                )
-                .drop("_cuts", "_at")
-            )
-        self._window = Window.partitionBy(ID, "_slice").orderBy(*POSITION)
+    """Commands with the slice of each row, ready for neighbour columns."""
 
-    def _derived(self, rows: DataFrame) -> Ordered:
-        other = Ordered.__new__(Ordered)
-        other.cuts, other.rows, other._window = self.cuts, rows, self._window
-        return other
+    def __init__(self, rows: DataFrame, cut: bool):
+        self.rows, self.cut = rows, cut
+        self._window = Window.partitionBy(ID, "_slice").orderBy(*POSITION)
 
     def where(self, condition: Column) -> Ordered:
         """Leaves rows out; the others keep their slices, so no new shuffle is needed."""
-        return self._derived(self.rows.where(condition))
+        return Ordered(self.rows.where(condition), self.cut)
 
-    def _edges(self, value: Column) -> DataFrame:
-        """Per (hot ID, slice) one value; the table has at most as many rows as there are slices."""
-        hot = self.rows.join(F.broadcast(self.cuts.select(ID)), ID, "left_semi")
-        return hot.groupBy(ID, "_slice").agg(value.alias("_edge"))
-
-    def _fill(self, rows: DataFrame, name: str, edges: DataFrame) -> Ordered:
+    def _fill(self, name: str, rows: DataFrame, edges: DataFrame) -> Ordered:
+        # One row per slice, of which there are at most `slices` and one for each hot ID.
         filled = rows.join(F.broadcast(edges), [ID, "_slice"], "left").withColumn(
             name, F.coalesce(name, "_edge")
         )
-        return self._derived(filled.drop("_edge"))
+        return Ordered(filled.drop("_edge"), self.cut)
 
     def add_next(self, name: str, value: Column) -> Ordered:
         """Adds `value` of the next command of the ID; null on the last one. `value` is never null."""
         rows = self.rows.withColumn(name, F.lead(value).over(self._window))
-        if self.cuts is None:
-            return self._derived(rows)
-        first = self._edges(F.min_by(value, position()))
+        if not self.cut:
+            return Ordered(rows, False)
+        first = self.rows.groupBy(ID, "_slice").agg(F.min_by(value, position()).alias("_edge"))
         across = Window.partitionBy(ID).orderBy("_slice")
-        return self._fill(rows, name, first.withColumn("_edge", F.lead("_edge").over(across)))
+        return self._fill(name, rows, first.withColumn("_edge", F.lead("_edge").over(across)))
 
     def add_last_before(self, name: str, value: Column) -> Ordered:
         """Adds the latest non-null `value` among the earlier commands of the ID."""
@@ -130,23 +89,88 @@ class Ordered:
         rows = self.rows.withColumn(
             name, F.last(value, ignorenulls=True).over(self._window.rowsBetween(*before))
         )
-        if self.cuts is None:
-            return self._derived(rows)
-        last = self._edges(F.max_by(value, F.when(value.isNotNull(), position())))
+        if not self.cut:
+            return Ordered(rows, False)
+        last = self.rows.groupBy(ID, "_slice").agg(
+            F.max_by(value, F.when(value.isNotNull(), position())).alias("_edge")
+        )
         across = Window.partitionBy(ID).orderBy("_slice").rowsBetween(*before)
         return self._fill(
-            rows,
-            name,
-            last.withColumn("_edge", F.last("_edge", ignorenulls=True).over(across)),
+            name, rows, last.withColumn("_edge", F.last("_edge", ignorenulls=True).over(across))
         )
 
     def done(self) -> DataFrame:
         return self.rows.drop("_slice")
 
 
+def _cuts(sample: DataFrame, group: list[str], order: Column, samples: int) -> DataFrame:
+    """Every so many'th sampled row of each group is a cut; groups without one are left out."""
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(order))
+    return (
+        sample.withColumn("_n", number)
+        .where(F.col("_n") % samples == 0)
+        .groupBy(*group)
+        .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
+    )
+
+
+def _seen(rows: DataFrame, part: Column) -> DataFrame:
+    lane = Window.partitionBy(ID, *LANE, part).orderBy("offset")
+    until_here = lane.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("seen_ms", F.max("arrival_ms").over(until_here))
+
+
+def with_seen(commands: DataFrame) -> DataFrame:
+    """Adds `seen_ms`, with one shuffle by ID, which later windows over the ID use too."""
+    return _seen(commands.repartition(ID), F.lit(0))
+
+
+def split(commands: DataFrame, rows: int | None = None, slicing: Slicing = Slicing()) -> list[Ordered]:
+    """The commands of ordinary IDs and, cut into slices, those of hot ones. Rows without an ID go.
+
+    `rows` is the size of the log if known; else it is counted (a footer read on parquet).
+    """
+    rows = commands.count() if rows is None else rows
+    every = slicing.every(rows)
+    named = commands.where(F.col(ID).isNotNull())
+    sample = named.select(ID, "arrival_ms", *LANE, "offset").where(
+        F.pmod(F.xxhash64(*LANE, "offset"), F.lit(every)) == 0
+    )
+    # Any points of the order will do as cuts, so record times stand in for `seen_ms`.
+    point = F.struct(F.col("arrival_ms").alias("seen_ms"), *LANE, "offset")
+    cuts = _cuts(sample, [ID], point, slicing.samples)
+    hot_ids = cuts.select(ID)
+    cold = with_seen(named.join(F.broadcast(hot_ids), ID, "left_anti"))
+
+    lane_cuts = _cuts(sample, [ID, *LANE], F.col("offset"), slicing.samples)
+    hot = (
+        named.join(F.broadcast(hot_ids), ID, "left_semi")
+        .join(F.broadcast(lane_cuts), [ID, *LANE], "left")
+        .withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(_passed("_cuts", F.col("offset"))))
+        .drop("_cuts")
+    )
+    parts = hot.groupBy(ID, *LANE, "_part").agg(F.max("arrival_ms").alias("_most"))
+    earlier = (
+        Window.partitionBy(ID, *LANE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = parts.withColumn("_before", F.max("_most").over(earlier)).drop("_most")
+    seen = (
+        _seen(hot, F.col("_part"))
+        .join(F.broadcast(before), [ID, *LANE, "_part"])
+        .withColumn("seen_ms", F.greatest("seen_ms", "_before"))
+        .drop("_part", "_before")
+        .join(F.broadcast(cuts), ID)
+        .withColumn("_at", position())
+        .withColumn("_slice", _passed("_cuts", F.col("_at")))
+        .drop("_cuts", "_at")
+    )
+    return [Ordered(cold.withColumn("_slice", F.lit(0)), False), Ordered(seen, True)]
+
+
 def top_rows(table: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first `n` rows of each group. Two steps, so that no task sorts a whole large group."""
-    spread = table.withColumn("_part", F.pmod(F.xxhash64("partition", "offset"), F.lit(64)))
+    """The first `n` rows of each group. Two steps, so that no task ranks a whole large group."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = table.withColumn("_part", F.pmod(F.xxhash64("partition", "offset"), F.lit(parts)))
     for keys in ([*group, "_part"], group):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         spread = spread.withColumn("_rank", rank).where(F.col("_rank") <= n)

@@ -2,40 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from delayfold.functions import clock
-from delayfold.model import POSITION
-from delayfold.operators.decode import effective
+from delayfold.model import LANE, POSITION, RAW_LOG
+from delayfold.operators.decode import decode_avro, decode_json, effective, envelope, is_report
 from delayfold.operators.lifecycle import as_of
 from delayfold.operators.ordered import ID
 
 
-def latest(commands: DataFrame, keys: list[str]) -> DataFrame:
-    """Last command per key. Spark applies the rank limit before the shuffle too, so each map task
-    sends one row per key at most, however hot the key."""
-    newest_first = [F.col(name).desc() for name in POSITION]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))
-    return commands.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+def _first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+
+
+def latest(commands: DataFrame) -> DataFrame:
+    """Last command per ID in the order of operators/ordered, with its `seen_ms`.
+
+    Spark applies the rank limit before the shuffle too, so each map task sends one row per ID and
+    partition at most, however hot the ID; the largest record times are summed up the same way.
+    """
+    named = commands.where(F.col(ID).isNotNull())
+    last = _first(named, [ID, *LANE], [F.col("offset").desc()])
+    seen = named.groupBy(ID, *LANE).agg(F.max("arrival_ms").alias("seen_ms"))
+    return _first(last.join(seen, [ID, *LANE]), [ID], [F.col(name).desc() for name in POSITION])
+
+
+def _waiting(last: DataFrame, gate_ms: int) -> DataFrame:
+    fire_ms = clock.fire_ms(F.col("seen_ms"), F.col("due_ms"), gate_ms)
+    return last.where(F.col("command") == "update").withColumn("fire_ms", fire_ms)
 
 
 def pending_at(commands: DataFrame, as_of_ms: int, gate_ms: int = 0) -> DataFrame:
     """The schedules waiting at `as_of_ms`, one row per ID, with their `fire_ms`."""
-    last = latest(effective(as_of(commands, as_of_ms)), [ID])
-    return (
-        last.where(F.col("command") == "update")
-        .withColumn("fire_ms", clock.fire_ms(F.col("arrival_ms"), F.col("due_ms"), gate_ms))
-        .where(F.col("fire_ms") > as_of_ms)
-    )
+    waiting = _waiting(latest(effective(as_of(commands, as_of_ms))), gate_ms)
+    return waiting.where(F.col("fire_ms") > as_of_ms)
 
 
 def waiting_at_gate(loaded: DataFrame, gate_ms: int) -> DataFrame:
     """The schedules held back while the log was `loaded`: nothing of it has fired yet."""
-    return (
-        latest(effective(loaded), [ID])
-        .where(F.col("command") == "update")
-        .withColumn("fire_ms", clock.fire_ms(F.col("arrival_ms"), F.col("due_ms"), gate_ms))
-    )
+    return _waiting(latest(effective(loaded)), gate_ms)
+
+
+def latest_in_log(
+    raw: DataFrame, json_topics: Collection[str] | None = None, until_ms: int | None = None
+) -> DataFrame:
+    """`latest` of a raw log, ranked before any payload is decoded: key, position and headers decide.
+
+    json_topics: the topics with JSON payloads (all, if None); the others hold Avro.
+    """
+    if until_ms is not None:  # on the stored column, so that the scan can skip by it
+        raw = raw.where(F.col("timestamp") < F.timestamp_millis(F.lit(until_ms + 1)))
+    told = envelope(raw.where(~is_report()))
+    last = latest(told).select(*RAW_LOG.fieldNames(), "seen_ms")
+    if json_topics is None:
+        return decode_json(last, keep=("seen_ms",))
+    is_json = F.col("topic").isin(list(json_topics))
+    as_json = decode_json(last.where(is_json), keep=("seen_ms",))
+    return as_json.unionByName(decode_avro(last.where(~is_json), keep=("seen_ms",)))
+
+
+def pending_in_log(
+    raw: DataFrame, as_of_ms: int, gate_ms: int = 0, json_topics: Collection[str] | None = None
+) -> DataFrame:
+    """`pending_at` of a raw log; only the last record of each ID is decoded."""
+    waiting = _waiting(latest_in_log(raw, json_topics, as_of_ms), gate_ms)
+    return waiting.where(F.col("fire_ms") > as_of_ms)
+
+
+def waiting_in_log(raw: DataFrame, gate_ms: int, json_topics: Collection[str] | None = None) -> DataFrame:
+    """`waiting_at_gate` of a raw log; only the last record of each ID is decoded."""
+    return _waiting(latest_in_log(raw, json_topics), gate_ms)
 
 
 def lookup(pending: DataFrame, ids: DataFrame) -> DataFrame:
@@ -45,11 +84,12 @@ def lookup(pending: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def compact_per_topic(commands: DataFrame, now_ms: int, retention_ms: int = 3_600_000) -> DataFrame:
-    """What the broker's log compaction leaves: the last record per topic and ID, without the deletes
-    that are older than the retention time."""
-    last = latest(commands, ["source_topic", ID])
+    """What the broker's log compaction leaves: the record with the highest offset per topic, partition
+    and ID, without the deletes that are older than the retention time. Records without a key stay."""
+    named = commands.where(F.col(ID).isNotNull())
+    last = _first(named, [ID, *LANE], [F.col("offset").desc()])
     too_old = (F.col("command") == "delete") & (F.col("arrival_ms") < now_ms - retention_ms)
-    return last.where(~too_old)
+    return last.where(~too_old).unionByName(commands.where(F.col(ID).isNull()))
 
 
 def compact_safe(commands: DataFrame, as_of_ms: int, gate_ms: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from delayfold.model import COMMANDS, HEADERS, RAW_LOG
 from delayfold.session import prepare
 
 AS_OF_MS = 1_706_000_000_000
+LATE_MS = 7_200_000
 GATE_MS = 1_704_672_000_000
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -20,7 +21,8 @@ def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Base columns of every record: identity, position, due time and command class."""
     prepare(spark)
     if stream:  # a file stream reads a folder or a pattern, not the path of one file
-        source = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events*.parquet")
+        reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 100)
+        source = reader.parquet(f"{sf_dir}/events*.parquet")
     else:
         source = spark.read.parquet(f"{sf_dir}/events.parquet")
     arrival = F.unix_millis(F.col("ts").cast("timestamp"))
@@ -116,6 +118,12 @@ def avro_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_log(table, payload)
 
 
+def late_timestamps(table: DataFrame) -> DataFrame:
+    """Record times that go back within a partition: two hours for each seventh record."""
+    late = F.when(F.col("offset") % 7 == 0, LATE_MS).otherwise(0)
+    return table.withColumn("arrival_ms", F.col("arrival_ms") - late)
+
+
 def command_log(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """The decoded commands, built from the base columns without going through a payload."""
     table = events(spark, sf_dir, stream)

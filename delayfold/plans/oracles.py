@@ -5,9 +5,13 @@ The SQL knows the rule by which each command was made, so it never parses a payl
 
 from __future__ import annotations
 
-from delayfold.plans.fixtures import AS_OF_MS, GATE_MS
+from delayfold.functions.avro_payload import NAME, SCHEMA
+from delayfold.plans.fixtures import AS_OF_MS, GATE_MS, LATE_MS
 
-_ORDER = "arrival_ms, source_topic, partition, \"offset\""
+_ORDER = "seen_ms, source_topic, partition, \"offset\""
+# The largest record time of an ID in its partition so far.
+_SEEN = """max(arrival_ms) OVER (PARTITION BY schedule_id, source_topic, partition ORDER BY "offset"
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen_ms"""
 _ENVELOPE = "schedule_id, source_topic, partition, \"offset\", arrival_ms"
 _SCHEDULE = "due_ms, target_topic, out_key, out_value, out_headers"
 
@@ -38,12 +42,20 @@ _CMD = f"""{_EV}, cmd AS (
          CASE WHEN cls IN (16, 17) THEN 'Failed to decode [' || schedule_id || ']'
               WHEN cls = 18 THEN 'Failed to decode [' || schedule_id
                 || ']: error transforming key: Illegal base64 character 2d' END AS error_message,
+         CASE cls WHEN 16 THEN '''foobar'' was not valid JSON'
+                  WHEN 17 THEN 'JSON ''{{"foo":"bar"}}'' did not conform to Schema'
+              END AS error_cause_message,
          CASE WHEN cls IN (16, 17) THEN '' WHEN cls = 18 THEN 'key' END AS error_paths
   FROM ev)"""
 
+# Each seventh record is stamped two hours early; its place in the partition stays.
+_LATE = f"""late AS (
+  SELECT * REPLACE (arrival_ms - CASE WHEN "offset" % 7 = 0 THEN {LATE_MS} ELSE 0 END AS arrival_ms)
+  FROM cmd),"""
+
 _DECODED = (
     f"{_ENVELOPE}, command, is_expired, {_SCHEDULE}, "
-    "error_class, error_cause, error_message, error_paths"
+    "error_class, error_cause, error_message, error_cause_message, error_paths"
 )
 _HISTORY = f"{_ENVELOPE}, due_ms, fire_ms, next_ms, outcome, closed_ms"
 
@@ -55,18 +67,22 @@ def _history(
     seen = "true" if as_of is None else f"arrival_ms <= {as_of}"
     reached = "true" if as_of is None else f"fire_ms <= {as_of}"
     completed = (
-        """(SELECT min(r.arrival_ms) FROM reports r
+        """(SELECT min(r.seen_ms) FROM reports r
             WHERE r.schedule_id = u.schedule_id AND r.before = u.pos
-              AND u.due_ms <= r.arrival_ms AND r.arrival_ms <= u.fire_ms)"""
+              AND u.due_ms <= r.seen_ms AND r.seen_ms <= u.fire_ms)"""
         if complete
         else "CAST(NULL AS BIGINT)"
     )
-    return f"""{_CMD}, {_hot() if source == "hot" else ""} seen AS (
-  SELECT *, row(arrival_ms, source_topic, partition, "offset") AS pos,
-         greatest(arrival_ms, due_ms, {gate}) AS fire_ms
-  FROM {source} WHERE {seen}),
+    counts = "true" if complete else "NOT (command = 'delete' AND is_expired)"
+    return f"""{_CMD}, {_LATE if source.startswith("late") else ""}
+{_hot("late" if source.startswith("late") else "cmd") if source.endswith("hot") else ""} timed AS (
+  SELECT *, {_SEEN} FROM {source.removeprefix("late_")} WHERE {seen} AND {counts}),
+seen AS (
+  SELECT *, row(seen_ms, source_topic, partition, "offset") AS pos,
+         greatest(seen_ms, due_ms, {gate}) AS fire_ms
+  FROM timed),
 nxt AS (
-  SELECT *, lead(arrival_ms) OVER w AS next_ms, lead(command) OVER w AS next_command
+  SELECT *, lead(seen_ms) OVER w AS next_ms, lead(command) OVER w AS next_command
   FROM seen WHERE NOT (command = 'delete' AND is_expired)
   WINDOW w AS (PARTITION BY schedule_id ORDER BY {_ORDER})),
 reports AS (
@@ -94,25 +110,51 @@ life AS (
   FROM judged)"""
 
 
-def _hot() -> str:
-    return """hot AS (
+def _hot(source: str = "cmd") -> str:
+    return f"""hot AS (
   SELECT * REPLACE (CASE WHEN "offset" % 3 = 0 THEN 'hot' ELSE schedule_id END AS schedule_id)
-  FROM cmd),"""
+  FROM {source}),"""
 
 
-_PENDING = f"""{_CMD}, last AS (
-  SELECT *, greatest(arrival_ms, due_ms) AS fire_ms,
-         row_number() OVER (PARTITION BY schedule_id ORDER BY arrival_ms DESC,
+def _waiting(source: str = "cmd") -> str:
+    return f"""{_CMD}, {_LATE if source == "late" else ""} timed AS (
+  SELECT *, {_SEEN} FROM {source}
+  WHERE arrival_ms <= {AS_OF_MS} AND NOT (command = 'delete' AND is_expired)),
+last AS (
+  SELECT *, greatest(seen_ms, due_ms) AS fire_ms,
+         row_number() OVER (PARTITION BY schedule_id ORDER BY seen_ms DESC,
            source_topic DESC, partition DESC, "offset" DESC) AS rn
-  FROM cmd WHERE arrival_ms <= {AS_OF_MS} AND NOT (command = 'delete' AND is_expired)),
+  FROM timed),
 pending AS (
   SELECT * FROM last WHERE rn = 1 AND command = 'update' AND fire_ms > {AS_OF_MS})"""
 
+
+_PENDING = _waiting()
+
+def _compacted(source: str) -> str:
+    return f""", newest AS (
+  SELECT *, row_number() OVER (PARTITION BY source_topic, partition, schedule_id
+    ORDER BY "offset" DESC) AS rn FROM {source})
+SELECT {_ENVELOPE}, command, due_ms, out_key FROM newest
+WHERE rn = 1 AND NOT (command = 'delete' AND arrival_ms < {AS_OF_MS} - 3600000)"""
+
+
 _PUBLISH = "target_topic AS topic, out_key AS key, out_value AS value, out_headers AS headers"
 _TOMBSTONE = (
     "source_topic AS topic, hex(schedule_id) AS key, CAST(NULL AS VARCHAR) AS value, "
     "'schedule:expired=' || hex('true') AS headers"
 )
+
+
+def _outbox(chain: str) -> str:
+    """Message and tombstone of everything that fired."""
+    return f"""{chain}
+SELECT {_ENVELOPE}, due_ms, fire_ms, CAST(0 AS BIGINT) AS seq, {_PUBLISH} FROM life
+WHERE outcome = 'fired'
+UNION ALL
+SELECT {_ENVELOPE}, due_ms, fire_ms, 1, {_TOMBSTONE} FROM life WHERE outcome = 'fired'"""
+
+
 _UPDATES = "WHERE command = 'update'"
 _JSON = """'{"time":' || due_ms || ',"topic":"' || target_topic
   || '","key":"' || to_base64(CAST('k' || "offset" AS BLOB))
@@ -136,8 +178,20 @@ SELECT {_ENVELOPE}, command, is_expired, due_ms, target_topic, out_key, out_valu
        CASE WHEN command = 'error' THEN 'invalid-avro' END AS error_cause,
        CASE WHEN command = 'error' THEN 'Failed to decode [' || schedule_id || ']'
             END AS error_message,
+       CASE WHEN command = 'error' THEN
+         'Avro message did not conform to Schema: {NAME}: {SCHEMA}' END AS error_cause_message,
        CASE WHEN command = 'error' THEN '' END AS error_paths
 FROM cmd""",
+    "merge_one_group": f"""WITH {_CMD}
+SELECT {_ENVELOPE}, command, due_ms, target_topic, out_key FROM cmd""",
+    "map_payload_kept": f"""WITH {_CMD}
+SELECT {_ENVELOPE}, command, is_expired, due_ms + 60000 AS due_ms,
+       target_topic || '-retry' AS target_topic, out_key, out_value, out_headers FROM cmd""",
+    "metadata_transformed": f"""WITH {_CMD}
+SELECT "offset", 'source' AS name, upper(source_topic) AS value FROM cmd
+UNION ALL SELECT "offset", 'schedule:expired', 'TRUE' FROM cmd WHERE is_expired""",
+    "clock_shift": f"""WITH {_EV}
+SELECT "offset", CAST(cls * 1000 AS BIGINT) AS shift_ms FROM ev""",
     "merge_sources": f"""WITH {_CMD}
 SELECT {_ENVELOPE}, command, due_ms, target_topic, out_key FROM cmd
 WHERE source_topic = 'schedules-a'
@@ -178,6 +232,16 @@ FROM due""",
     "lifecycle_hot_id": (
         f"WITH {_history(GATE_MS, 'hot', complete=True)} SELECT {_HISTORY} FROM life"
     ),
+    "lifecycle_late_timestamps": (
+        f"WITH {_history(GATE_MS, 'late', complete=True)} SELECT {_HISTORY}, seen_ms FROM life"
+    ),
+    "lifecycle_late_hot_id": (
+        f"WITH {_history(GATE_MS, 'late_hot', complete=True)} SELECT {_HISTORY}, seen_ms FROM life"
+    ),
+    "pending_late_timestamps": f"""WITH {_waiting("late")}
+SELECT {_ENVELOPE}, {_SCHEDULE}, seen_ms, fire_ms FROM pending""",
+    "pending_in_json_log": f"""WITH {_PENDING}
+SELECT {_ENVELOPE}, {_SCHEDULE}, seen_ms, fire_ms FROM pending""",
     "pending_state": f"WITH {_PENDING} SELECT {_ENVELOPE}, {_SCHEDULE}, fire_ms FROM pending",
     "state_lookup": f"""WITH {_PENDING}
 SELECT 'u' || c_custkey AS schedule_id, p.schedule_id IS NOT NULL AS found,
@@ -194,11 +258,8 @@ SELECT {_PUBLISH} FROM life WHERE outcome = 'fired'""",
 SELECT "offset", fire_ms, CAST(0 AS BIGINT) AS seq, {_PUBLISH} FROM life WHERE outcome = 'fired'
 UNION ALL
 SELECT "offset", fire_ms, 1, {_TOMBSTONE} FROM life WHERE outcome = 'fired'""",
-    "compact_log": f"""WITH {_CMD}, last AS (
-  SELECT *, row_number() OVER (PARTITION BY source_topic, schedule_id
-    ORDER BY arrival_ms DESC, partition DESC, "offset" DESC) AS rn FROM cmd)
-SELECT {_ENVELOPE}, command, due_ms, out_key FROM last
-WHERE rn = 1 AND NOT (command = 'delete' AND arrival_ms < {AS_OF_MS} - 3600000)""",
+    "compact_log": f"WITH {_CMD} {_compacted('cmd')}",
+    "compact_log_by_offset": f"WITH {_CMD}, {_LATE} {_compacted('late').removeprefix(', ')}",
     "compact_log_safe": f"""WITH {_PENDING}
 SELECT {_ENVELOPE}, command, {_SCHEDULE} FROM pending""",
     "take_first_n": f"""WITH {_EV}, ranked AS (
@@ -222,12 +283,21 @@ SELECT count(*) FILTER (outcome = 'pending') AS active,
        count(*) FILTER (outcome = 'superseded') AS superseded,
        count(*) FILTER (outcome = 'canceled') AS canceled,
        count(*) FILTER (outcome = 'canceled_by_error') AS canceled_by_error,
+       count(*) FILTER (outcome = 'completed') AS completed,
+       count(*) FILTER (outcome = 'fired') AS fired
+FROM life""",
+    "state_size_complete": f"""WITH {_history(GATE_MS, complete=True)}
+SELECT count(*) FILTER (outcome = 'pending') AS active,
+       count(*) FILTER (outcome = 'superseded') AS superseded,
+       count(*) FILTER (outcome = 'canceled') AS canceled,
+       count(*) FILTER (outcome = 'canceled_by_error') AS canceled_by_error,
+       count(*) FILTER (outcome = 'completed') AS completed,
        count(*) FILTER (outcome = 'fired') AS fired
 FROM life""",
-    "lookup_hits": f"""WITH {_CMD}, asked AS (
+    "lookup_hits": f"""WITH {_CMD}, timed AS (SELECT *, arrival_ms AS seen_ms FROM cmd), asked AS (
   SELECT *, lag(command) OVER w AS last_command,
          greatest(lag(arrival_ms) OVER w, lag(due_ms) OVER w) AS last_fire_ms
-  FROM cmd WHERE arrival_ms <= {AS_OF_MS} AND NOT (command = 'delete' AND is_expired)
+  FROM timed WHERE arrival_ms <= {AS_OF_MS} AND NOT (command = 'delete' AND is_expired)
   WINDOW w AS (PARTITION BY schedule_id ORDER BY {_ORDER}))
 SELECT command, count(*) AS lookups,
        count(*) FILTER (last_command = 'update' AND last_fire_ms >= arrival_ms) AS hits,
@@ -245,7 +315,7 @@ SELECT {_ENVELOPE}, CASE WHEN command = 'error' THEN 'error' ELSE 'info' END AS
        error_message
 FROM cmd""",
     "error_rows": f"""WITH {_CMD}
-SELECT {_ENVELOPE}, error_class, error_cause, error_message, error_paths
+SELECT {_ENVELOPE}, error_class, error_cause, error_message, error_cause_message, error_paths
 FROM cmd WHERE command = 'error'""",
     "transition_audit": f"""WITH {_history()}
 SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms,
@@ -253,12 +323,15 @@ SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms,
 FROM life
 UNION ALL
 SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms, outcome, closed_ms,
-       CASE WHEN outcome IN ('canceled', 'canceled_by_error')
-              THEN 'Canceled Schedule [' || schedule_id || ']'
-            WHEN outcome = 'fired'
+       CASE WHEN outcome = 'fired'
               THEN 'Scheduled [' || schedule_id || '] to ' || target_topic || ' due at ' || due_ms
             END
-FROM life WHERE outcome <> 'pending'""",
+FROM life WHERE outcome <> 'pending'
+UNION ALL
+SELECT schedule_id, source_topic, partition, "offset", NULL, NULL, 'cancel', arrival_ms,
+       'Canceled Schedule [' || schedule_id || ']'
+FROM cmd WHERE arrival_ms <= {AS_OF_MS} AND command <> 'update'
+  AND NOT (command = 'delete' AND is_expired)""",
     "delivery_lag": f"""WITH {_history(GATE_MS)}, late AS (
   SELECT target_topic, fire_ms - greatest(due_ms, arrival_ms) AS lag
   FROM life WHERE outcome = 'fired')
@@ -266,8 +339,6 @@ SELECT target_topic, count(*) AS messages, count(*) FILTER (lag <= 100) AS withi
        quantile_disc(lag, 0.5) AS p50_ms, quantile_disc(lag, 0.99) AS p99_ms,
        max(lag) AS max_ms, CAST(sum(lag) AS BIGINT) AS total_ms
 FROM late GROUP BY target_topic""",
-    "stream_fire_equals_batch": f"""WITH {_history(as_of=None)}
-SELECT {_ENVELOPE}, due_ms, fire_ms, {_PUBLISH} FROM life WHERE outcome = 'fired'""",
-    "stream_fire_gated": f"""WITH {_history(GATE_MS, as_of=None)}
-SELECT {_ENVELOPE}, due_ms, fire_ms, {_PUBLISH} FROM life WHERE outcome = 'fired'""",
+    "stream_fire_equals_batch": _outbox(f"WITH {_history(as_of=None)}"),
+    "stream_fire_gated": _outbox(f"WITH {_history(GATE_MS, as_of=None)}"),
 }

@@ -21,16 +21,17 @@ from delayfold.plans.fixtures import (
     command_log,
     events,
     json_log,
+    late_timestamps,
 )
-from delayfold.session import work_dir
+from delayfold.session import remove, work_dir
 from delayfold.sources import logs
 from delayfold.streaming.run import drain, read_outbox, start_outbox, state_partitions
 from delayfold.streaming.timers import fire_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Cuts any ID with more than about a fiftieth of the log, whatever the size of the log.
-FINE = Slicing(above=0, slices=50, samples=20)
+# Cuts IDs of more than about 200 commands, to take the path of hot IDs on a small log.
+FINE = Slicing(least=200, samples=20)
 
 
 def _hex(name: str) -> Column:
@@ -66,6 +67,7 @@ def _decoded() -> list[Column]:
         F.col("error.class").alias("error_class"),
         F.col("error.cause_class").alias("error_cause"),
         F.col("error.message").alias("error_message"),
+        F.col("error.cause_message").alias("error_cause_message"),
         F.array_join("error.paths.path", ",").alias("error_paths"),
     ]
 
@@ -97,6 +99,39 @@ def merge_sources(spark, sf_dir):
     return merged.select(*_ENVELOPE, "command", "due_ms", "target_topic", _hex("out_key"))
 
 
+def merge_one_group(spark, sf_dir):
+    """A service with JSON topics only; the other group is left out."""
+    merged = logs.merge(json=json_log(spark, sf_dir))
+    return merged.select(*_ENVELOPE, "command", "due_ms", "target_topic", _hex("out_key"))
+
+
+def map_payload_kept(spark, sf_dir):
+    """Due a minute later, on another topic; the envelope and other commands stay as they are."""
+
+    def change(payload):
+        return {
+            "due_ms": payload["due_ms"] + 60_000,
+            "target_topic": F.concat(payload["target_topic"], F.lit("-retry")),
+        }
+
+    changed = decode.map_payload(command_log(spark, sf_dir), change)
+    return changed.select(*_ENVELOPE, "command", "is_expired", *_schedule())
+
+
+def metadata_transformed(spark, sf_dir):
+    """A function over all of a command's metadata, then names as plain text."""
+    log = command_log(spark, sf_dir)
+    tagged = metadata.combine(F.col("metadata"), F.create_map(F.lit("Source"), F.col("source_topic")))
+    changed = metadata.transform(tagged, lambda m: F.transform_values(m, lambda _, v: F.upper(v)))
+    return log.select("offset", F.explode(metadata.to_map(changed)).alias("name", "value"))
+
+
+def clock_shift(spark, sf_dir):
+    """How far a clock that is set ahead by the event's class, in seconds, is from the plain one."""
+    shifted = clock.shifted_now_ms(F.col("class"))
+    return events(spark, sf_dir).select("offset", (shifted - clock.now_ms()).alias("shift_ms"))
+
+
 def base64_decode_fields(spark, sf_dir):
     table = events(spark, sf_dir)
     fields = F.explode(
@@ -204,6 +239,36 @@ def lifecycle_hot_id(spark, sf_dir):
     return history.select(*_HISTORY)
 
 
+def _late_log(spark, sf_dir):
+    return late_timestamps(command_log(spark, sf_dir))
+
+
+def lifecycle_late_timestamps(spark, sf_dir):
+    """Record times go back within a partition; the offset decides there."""
+    history = life.lifecycle(_late_log(spark, sf_dir), AS_OF_MS, GATE_MS, life.COMPLETE)
+    return history.select(*_HISTORY, "seen_ms")
+
+
+def lifecycle_late_hot_id(spark, sf_dir):
+    """The same with a third of the commands under one ID, which is cut into slices."""
+    log = _late_log(spark, sf_dir).withColumn(
+        "schedule_id", F.when(F.col("offset") % 3 == 0, "hot").otherwise(F.col("schedule_id"))
+    )
+    history = life.lifecycle(log, AS_OF_MS, GATE_MS, life.COMPLETE, slicing=FINE)
+    return history.select(*_HISTORY, "seen_ms")
+
+
+def pending_late_timestamps(spark, sf_dir):
+    pending = state.pending_at(_late_log(spark, sf_dir), AS_OF_MS)
+    return pending.select(*_ENVELOPE, *_schedule(), "seen_ms", "fire_ms")
+
+
+def pending_in_json_log(spark, sf_dir):
+    """From raw JSON records, of which only the last of each ID is decoded."""
+    pending = state.pending_in_log(json_log(spark, sf_dir), AS_OF_MS)
+    return pending.select(*_ENVELOPE, *_schedule(), "seen_ms", "fire_ms")
+
+
 def pending_state(spark, sf_dir):
     pending = state.pending_at(command_log(spark, sf_dir), AS_OF_MS)
     return pending.select(*_ENVELOPE, *_schedule(), "fire_ms")
@@ -214,7 +279,8 @@ def state_lookup(spark, sf_dir):
     ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.concat(F.lit("u"), F.col("c_custkey")).alias("schedule_id")
     )
-    pending = state.pending_at(command_log(spark, sf_dir), AS_OF_MS)
+    log = command_log(spark, sf_dir).join(ids, "schedule_id", "left_semi")
+    pending = state.pending_at(log, AS_OF_MS)
     found = state.lookup(pending.select("schedule_id", "due_ms", "target_topic", "out_key"), ids)
     return found.select("schedule_id", "found", "due_ms", "target_topic", _hex("out_key"))
 
@@ -237,7 +303,8 @@ def due_in_last_day(spark, sf_dir):
 
 def replay_json_log(spark, sf_dir):
     """From raw JSON records to the messages that are due: decode, fold, publish."""
-    history = life.lifecycle(decode.decode_json(json_log(spark, sf_dir)), AS_OF_MS)
+    raw = json_log(spark, sf_dir)
+    history = life.lifecycle(decode.decode_json(raw), AS_OF_MS, rows=raw.count())
     return publish.publish_rows(life.fired(history)).select(*_record_columns())
 
 
@@ -252,6 +319,11 @@ def compact_log(spark, sf_dir):
     return kept.select(*_ENVELOPE, "command", "due_ms", _hex("out_key"))
 
 
+def compact_log_by_offset(spark, sf_dir):
+    kept = state.compact_per_topic(_late_log(spark, sf_dir), AS_OF_MS)
+    return kept.select(*_ENVELOPE, "command", "due_ms", _hex("out_key"))
+
+
 def compact_log_safe(spark, sf_dir):
     kept = state.compact_safe(command_log(spark, sf_dir), AS_OF_MS)
     return kept.select(*_ENVELOPE, "command", *_schedule())
@@ -283,6 +355,12 @@ def state_size_metrics(spark, sf_dir):
     return metrics.state_size(command_log(spark, sf_dir), AS_OF_MS)
 
 
+def state_size_complete(spark, sf_dir):
+    return metrics.state_size(
+        command_log(spark, sf_dir), AS_OF_MS, GATE_MS, expired_policy=life.COMPLETE
+    )
+
+
 def lookup_hits(spark, sf_dir):
     return metrics.lookup_hits(command_log(spark, sf_dir), AS_OF_MS)
 
@@ -298,12 +376,14 @@ def error_rows(spark, sf_dir):
         F.col("class").alias("error_class"),
         F.col("cause_class").alias("error_cause"),
         F.col("message").alias("error_message"),
+        F.col("cause_message").alias("error_cause_message"),
         F.array_join("paths.path", ",").alias("error_paths"),
     )
 
 
 def transition_audit(spark, sf_dir):
-    return life.transitions(life.lifecycle(command_log(spark, sf_dir), AS_OF_MS))
+    log = life.as_of(command_log(spark, sf_dir), AS_OF_MS)
+    return life.transitions(log, life.lifecycle(log, AS_OF_MS))
 
 
 def delivery_lag(spark, sf_dir):
@@ -312,18 +392,20 @@ def delivery_lag(spark, sf_dir):
 
 
 def _fired_by_stream(spark, sf_dir, gate_ms: int | None) -> DataFrame:
-    """Runs the firing query over all of the log and reads back the messages of its outbox."""
+    """Runs the firing query over all of the log and reads back its outbox: messages and tombstones."""
     folder = work_dir(spark, "fire")
     log, commands = command_log(spark, sf_dir), command_log(spark, sf_dir, stream=True)
     waiting = None
     if gate_ms is not None:
         waiting = state.waiting_at_gate(life.as_of(log, gate_ms), gate_ms)
         commands = commands.where(F.col("arrival_ms") > gate_ms)
-    with state_partitions(spark, log.count()):
+    with state_partitions(spark, 8):
         fired = fire_stream(commands, waiting)
         drain(start_outbox(fired, f"{folder}/outbox", f"{folder}/checkpoint"))
-    sent = read_outbox(spark, f"{folder}/outbox").where(F.col("seq") == publish.PUBLISH)
-    return sent.select(*_ENVELOPE, "due_ms", "fire_ms", *_record_columns())
+    remove(spark, f"{folder}/checkpoint")
+    sent = read_outbox(spark, f"{folder}/outbox")
+    seq = F.col("seq").cast("bigint").alias("seq")
+    return sent.select(*_ENVELOPE, "due_ms", "fire_ms", seq, *_record_columns())
 
 
 def stream_fire_equals_batch(spark, sf_dir):
@@ -349,23 +431,33 @@ QUERIES: dict[str, Query] = {
         encode_avro_roundtrip,
         avro_decode_fallback,
         merge_sources,
+        merge_one_group,
+        map_payload_kept,
+        metadata_transformed,
+        clock_shift,
         delay_clamped,
         schedule_lifecycle,
         lifecycle_gated,
         lifecycle_expired_complete,
         lifecycle_hot_id,
+        lifecycle_late_timestamps,
+        lifecycle_late_hot_id,
         pending_state,
+        pending_late_timestamps,
+        pending_in_json_log,
         state_lookup,
         due_publish_rows,
         due_in_last_day,
         replay_json_log,
         fire_rows_paired,
         compact_log,
+        compact_log_by_offset,
         compact_log_safe,
         take_first_n,
         tail_per_partition,
         event_counts,
         state_size_metrics,
+        state_size_complete,
         lookup_hits,
         command_audit,
         error_rows,

@@ -54,6 +54,11 @@ def settings_from_env(env: Mapping[str, str] = os.environ) -> Settings:
     )
 
 
+# Readers of one service get groups of their own under this prefix; sharing one, they would disturb
+# each other.
+_GROUP = "group.id"
+
+
 def _client_options(properties: Mapping[str, str]) -> dict[str, str]:
     return {f"kafka.{k}": str(v) for k, v in properties.items() if k not in _SPARK_OWNED}
 
@@ -64,7 +69,8 @@ def source_options(broker: Broker, topics: tuple[str, ...], **more: str) -> dict
         "subscribe": ",".join(topics),
         "includeHeaders": "true",
         "startingOffsets": "earliest",
-        **_client_options(broker.properties),
+        **({"groupIdPrefix": broker.properties[_GROUP]} if _GROUP in broker.properties else {}),
+        **_client_options({k: v for k, v in broker.properties.items() if k != _GROUP}),
         **more,
     }
 
@@ -98,27 +104,34 @@ def _read(reader, settings: Settings, **more: str) -> DataFrame:
     return merge(**groups)
 
 
-def hand_over(log: DataFrame, partitions: Mapping[str, int]) -> tuple[str, str]:
-    """Offsets where the initial load ends and where the stream begins, as option values.
-
-    log: records of one load (topic, partition, offset). partitions: partition count of each topic,
-    which the offset options must list in full. One row per partition comes to the driver. A partition
-    without records is read by the stream from its start; what the load may still see of it is then
-    seen twice, which changes nothing, because the same command replaces itself.
-    """
-    ends = log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("end"))
-    known = {(r.topic, r.partition): r.end for r in ends.collect()}
-    latest, earliest = -1, -2
-
-    def option(missing: int) -> str:
-        return json.dumps(
-            {
-                topic: {str(p): known.get((topic, p), missing) for p in range(count)}
-                for topic, count in partitions.items()
-            }
-        )
-
-    return option(latest), option(earliest)
+def end_offsets(spark: SparkSession, settings: Settings) -> dict[tuple[str, int], int]:
+    """Where each partition of the configured topics ends now: a metadata call of the client that comes
+    with the connector, no record is read."""
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    client = settings.consumer.properties | {"bootstrap.servers": settings.consumer.bootstrap_servers}
+    for name, value in client.items():
+        if name not in (*_SPARK_OWNED, _GROUP):
+            properties.setProperty(name, str(value))
+    reader = jvm.org.apache.kafka.common.serialization.ByteArrayDeserializer
+    consumer = jvm.org.apache.kafka.clients.consumer.KafkaConsumer(properties, reader(), reader())
+    try:
+        places = jvm.java.util.ArrayList()
+        for topic in settings.topics.avro + settings.topics.json:
+            for part in consumer.partitionsFor(topic):
+                places.add(jvm.org.apache.kafka.common.TopicPartition(topic, part.partition()))
+        ends = consumer.endOffsets(places)
+        return {(p.topic(), p.partition()): ends[p] for p in ends}
+    finally:
+        consumer.close()
+
+
+def offsets_option(ends: Mapping[tuple[str, int], int]) -> str:
+    """Offsets as an option value: where the initial load ends and the stream begins."""
+    topics: dict[str, dict[str, int]] = {}
+    for (topic, partition), end in sorted(ends.items()):
+        topics.setdefault(topic, {})[str(partition)] = end
+    return json.dumps(topics)
 
 
 def _group(offsets: str, topics: tuple[str, ...]) -> str:
@@ -128,26 +141,26 @@ def _group(offsets: str, topics: tuple[str, ...]) -> str:
     return json.dumps({t: parts for t, parts in json.loads(offsets).items() if t in topics})
 
 
-def raw_log(spark: SparkSession, settings: Settings) -> DataFrame:
-    """Everything that is on the configured topics now, undecoded."""
+def raw_log(spark: SparkSession, settings: Settings, ending: str = "latest") -> DataFrame:
+    """Everything on the configured topics up to `ending` (latest, or an `offsets_option`), undecoded."""
     topics = settings.topics.avro + settings.topics.json
     return (
         spark.read.format("kafka")
-        .options(**source_options(settings.consumer, topics))
+        .options(**source_options(settings.consumer, topics, endingOffsets=ending))
         .load()
         .select(*RAW_LOG.fieldNames())
     )
 
 
 def load(spark: SparkSession, settings: Settings, ending: str = "latest") -> DataFrame:
-    """Bounded load of all commands up to `ending`: latest, or offsets of `hand_over`."""
+    """Bounded load of all commands up to `ending`: latest, or an `offsets_option`."""
     return _read(spark.read, settings, endingOffsets=ending)
 
 
 def follow(
-    spark: SparkSession, settings: Settings, starting: str = "earliest", max_offsets: int = 10_000_000
+    spark: SparkSession, settings: Settings, starting: str = "earliest", max_offsets: int = 1_000_000
 ) -> DataFrame:
-    """Commands from `starting` on: earliest, or offsets of `hand_over`.
+    """Commands from `starting` on: earliest, or an `offsets_option`.
 
     `max_offsets` bounds a micro-batch, also when the stream has to catch up.
     """

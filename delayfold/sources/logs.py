@@ -16,11 +16,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_LOG).parquet(path)
 
 
-def follow_table(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The same as a stream: files that appear under `path` are new records."""
-    reader = spark.readStream.schema(RAW_LOG)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
+def follow_table(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
+    """The same as a stream: files that appear under `path` are new records, read in micro-batches of
+    at most `max_files` files."""
+    reader = spark.readStream.schema(RAW_LOG).option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
 
 

@@ -1,10 +1,11 @@
 """Settles, before the keyed state, what the commands of one micro-batch decide among themselves.
 
-Commands are spread by (ID, arrival slot), so that a hot ID's share of a batch is worked on by many
-tasks. Within a slot the next command of each update is known: it fires first or is closed. Only the
-first and the last command of a slot matter to the others, so the keyed state sees at most two rows
-per ID and slot, however many commands came. Fired rows travel on lanes of their own, spread evenly
-and apart from the ID's state.
+All commands of an ID in a micro-batch meet in one task, which works on them as columns: they are put in
+the order of operators/ordered, and the next command of each update is known, so it fires first or is
+closed. Only the first and the last command matter to what was stored before and to what comes later, so
+the keyed state sees at most two rows per ID and micro-batch, however many commands came. Fired rows
+travel on lanes of their own, spread evenly and apart from the ID's state. A task holds its share of a
+micro-batch in memory; the sources bound micro-batches.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from delayfold.functions import clock
-from delayfold.model import COMMANDS, HEADERS, POSITION
+from delayfold.model import COMMANDS, HEADERS, LANE, MAX_DELAY_MS
 from delayfold.operators.decode import effective
 
 STATE_LANE = 0
-PAYLOAD = ("due_ms", "target_topic", "out_key", "out_value", "out_headers", "fire_ms")
+CLOSER = "closer"
+PAYLOAD = ("due_ms", "target_topic", "out_key", "out_value", "out_headers")
+_FROM_COMMAND = ("schedule_id", *LANE, "offset", "arrival_ms", "command", *PAYLOAD)
 
 # Input of the keyed state: one command under its ID on the state lane, or a fired one under no ID on
 # another lane. Headers are a list, which state can hold.
@@ -30,9 +32,10 @@ RESOLVED = T.StructType(
     + [
         T.StructField(f.name, HEADERS if f.name == "out_headers" else f.dataType)
         for f in COMMANDS
-        if f.name in ("schedule_id", *POSITION, "command", *PAYLOAD)
+        if f.name in _FROM_COMMAND
     ]
     + [
+        T.StructField("seen_ms", T.LongType()),
         T.StructField("fire_ms", T.LongType()),
         T.StructField("lane", T.IntegerType()),
     ]
@@ -44,36 +47,51 @@ def stateful(schedules: DataFrame) -> DataFrame:
     return schedules.withColumn("out_headers", F.map_entries("out_headers").cast(HEADERS))
 
 
-def _settle(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[pa.RecordBatch]:
-    """One task's share of a micro-batch; all commands of an (ID, slot) are in it."""
-    received = list(batches)
+def _numbers(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Equal for rows of a sorted table that agree in `names`, and rising."""
+    new = np.zeros(table.num_rows, bool)
+    for name in names:
+        column = table.column(name)
+        same = pc.equal(column.slice(0, len(column) - 1), column.slice(1))
+        new[1:] |= ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
+    return np.cumsum(new)
+
+
+def _running_max(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Largest value so far within each run of equal `group` numbers, which rise."""
+    distinct, rank = np.unique(values, return_inverse=True)
+    size = len(distinct)
+    return distinct[np.maximum.accumulate(group * size + rank) - group * size]
+
+
+def _settle(batches: Iterator[pa.RecordBatch], lanes: int, held: bool) -> Iterator[pa.RecordBatch]:
+    """One task's share of a micro-batch; all commands of an ID are in it. If `held`, nothing fires."""
+    received = [b for b in batches if b.num_rows]
     if not received:
         return
     table = pa.Table.from_batches(received)
-    names = ["schedule_id", "_slot", *POSITION]
-    table = table.sort_by([(name, "ascending") for name in names]).combine_chunks()
-    total = table.num_rows
-    if total == 0:
-        return
-    first = np.ones(total, bool)
-    for name in ("schedule_id", "_slot"):
-        column = table.column(name)
-        same = pc.equal(column.slice(0, total - 1), column.slice(1))
-        differs = ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
-        first[1:] = differs if name == "schedule_id" else first[1:] | differs
+    table = table.sort_by([(n, "ascending") for n in ("schedule_id", *LANE, "offset")]).combine_chunks()
+    owner = _numbers(table, ("schedule_id",))
+    seen = _running_max(table.column("arrival_ms").to_numpy(), _numbers(table, ("schedule_id", *LANE)))
+    order = np.lexsort((seen, owner))  # stable, so equal times keep the order of partition and offset
+    table, owner, seen = table.take(pa.array(order)).combine_chunks(), owner[order], seen[order]
+
+    first = np.ones(len(owner), bool)
+    first[1:] = owner[1:] != owner[:-1]
     last = np.append(first[1:], True)
-
-    arrival = table.column("arrival_ms").to_numpy()
-    next_arrival = np.append(arrival[1:], 0)
-    fire = pc.fill_null(table.column("fire_ms"), 0).to_numpy()
-    is_update = np.asarray(pc.equal(table.column("command"), "update").to_numpy(), bool)
-    fires = is_update & ~last & (fire < next_arrival)
-    table = table.drop_columns(["_slot"])
+    is_update = np.asarray(pc.equal(table.column("command"), "update").to_numpy(zero_copy_only=False), bool)
+    due = pc.fill_null(table.column("due_ms"), 0).to_numpy()
+    fire = np.maximum(seen, np.minimum(due, seen + MAX_DELAY_MS))
+    now = table.column("now_ms").to_numpy()
+    # A producer's clock may be ahead: what is not due by the clock here has not fired.
+    fires = is_update & ~last & (fire < np.append(seen[1:], 0)) & (fire <= now) & (not held)
+    table = table.append_column("seen_ms", pa.array(seen))
+    table = table.append_column("fire_ms", pa.array(fire, mask=~is_update))
 
     def part(mask: np.ndarray, lane: np.ndarray, command: str | None) -> pa.Table:
         rows = table.filter(pa.array(mask))
-        if command == "closer":
-            for name in PAYLOAD:
+        if command == CLOSER:
+            for name in (*PAYLOAD, "fire_ms"):
                 at = rows.schema.get_field_index(name)
                 rows = rows.set_column(
                     at, rows.schema.field(at), pa.nulls(len(rows), rows.schema.field(at).type)
@@ -87,28 +105,31 @@ def _settle(batches: Iterator[pa.RecordBatch], lanes: int) -> Iterator[pa.Record
         rows = rows.append_column("state_id", ids)
         return rows.append_column("lane", pa.array(lane[mask], pa.int32()))
 
-    state = np.full(total, STATE_LANE)
-    apart = 1 + np.arange(total) % lanes
+    state = np.full(len(owner), STATE_LANE)
+    apart = 1 + np.arange(len(owner)) % lanes
     for piece in (
         part(last, state, None),
-        part(first & ~last, state, "closer"),
+        part(first & ~last, state, CLOSER),
         part(fires, apart, "fired"),
     ):
-        yield from piece.select(RESOLVED.fieldNames()).to_batches()
+        piece = piece.select(RESOLVED.fieldNames())
+        schema = pa.schema([f.with_nullable(True) for f in piece.schema])
+        yield from pa.Table.from_arrays(piece.columns, schema=schema).to_batches()
 
 
-def resolve_within_batch(commands: DataFrame, slot_ms: int = 1_000) -> DataFrame:
+def resolve_within_batch(commands: DataFrame, held: bool = False) -> DataFrame:
     """Micro-batch commands reduced to what the keyed state needs; see `RESOLVED`."""
     lanes = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = (
+    together = (
         stateful(effective(commands))
-        .withColumn("fire_ms", clock.fire_ms(F.col("arrival_ms"), F.col("due_ms")))
-        .withColumn("_slot", F.floor(F.col("arrival_ms") / slot_ms))
-        .select(*[n for n in RESOLVED.fieldNames() if n not in ("state_id", "lane")], "_slot")
-        .repartition("schedule_id", "_slot")
+        .where(F.col("schedule_id").isNotNull())
+        # Fixed for a micro-batch.
+        .withColumn("now_ms", F.unix_millis(F.current_timestamp()))
+        .select(*_FROM_COMMAND, "now_ms")
+        .repartition("schedule_id")
     )
 
     def settle(batches):
-        return _settle(batches, lanes)
+        return _settle(batches, lanes, held)
 
-    return spread.mapInArrow(settle, RESOLVED)
+    return together.mapInArrow(settle, RESOLVED)

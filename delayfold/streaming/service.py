@@ -3,39 +3,38 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from delayfold.model import Settings
 from delayfold.operators.metrics import observed
-from delayfold.operators.state import waiting_at_gate
+from delayfold.operators.state import waiting_in_log
 from delayfold.session import prepare
 from delayfold.sources import kafka
-from delayfold.streaming.run import start_kafka
+from delayfold.streaming.run import has_run, resume, start_kafka
 from delayfold.streaming.timers import fire_stream
 
 
 def start(
     spark: SparkSession,
     settings: Settings,
-    partitions: Mapping[str, int],
     checkpoint: str,
-    resume: bool = False,
     every: str = "1 second",
+    client: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Starts the firing query between the configured topics.
+    """Starts the firing query between the configured topics; nothing fires before the log is loaded.
 
-    The first start folds the log in batch and hands the waiting schedules to the stream as its
-    initial state; if that load fails, nothing is started. With `resume` the checkpoint has them.
+    The first start folds the log in batch, decoding the last record of each ID only, and hands the
+    waiting schedules to the stream as its initial state; if that load fails, nothing is started. Where
+    the checkpoint shows an earlier run, the stream first catches up with the log without firing.
     """
     prepare(spark)
-    if resume:
-        return start_kafka(
-            fire_stream(observed(kafka.follow(spark, settings))), settings, checkpoint, every
-        )
-    until, after = kafka.hand_over(kafka.raw_log(spark, settings), partitions)
-    waiting = waiting_at_gate(kafka.load(spark, settings, until), int(time.time() * 1000))
-    commands = observed(kafka.follow(spark, settings, after))
-    return start_kafka(fire_stream(commands, waiting), settings, checkpoint, every)
+    begin = partial(start_kafka, settings=settings, checkpoint=checkpoint, every=every, client=client)
+    if has_run(spark, checkpoint):
+        return resume(observed(kafka.follow(spark, settings)), begin)
+    ends = kafka.offsets_option(kafka.end_offsets(spark, settings))
+    log = kafka.raw_log(spark, settings, ends)
+    waiting = waiting_in_log(log, int(time.time() * 1000), json_topics=settings.topics.json)
+    return begin(fire_stream(observed(kafka.follow(spark, settings, ends)), waiting))

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from delayfold.model import POSITION
+from delayfold.model import LANE
 from delayfold.streaming.resolve import (
+    CLOSER,
     PAYLOAD,
     RESOLVED,
     STATE_LANE,
@@ -16,15 +17,24 @@ from delayfold.streaming.resolve import (
     stateful,
 )
 
-_KEPT = ("schedule_id", "source_topic", "partition", "offset", "arrival_ms", *PAYLOAD)
+_KEPT = ("schedule_id", *LANE, "offset", "arrival_ms", *PAYLOAD, "seen_ms", "fire_ms")
 
 PENDING = T.StructType([f for f in RESOLVED if f.name in _KEPT])
 
 FIRED = T.StructType([*PENDING, T.StructField("fired_ms", T.LongType())])
 
+_LATER_MS = 1_000
+
 
 class PendingSchedules(StatefulProcessor):
-    """An update replaces the pending schedule, any other command cancels it, its timer fires it."""
+    """An update replaces the pending schedule, any other command cancels it, its timer fires it.
+
+    While `held`, the log up to the start is still being read: nothing fires, timers that go off are
+    set again.
+    """
+
+    def __init__(self, held: bool = False):
+        self.held = held
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -50,38 +60,46 @@ class PendingSchedules(StatefulProcessor):
             for row in rows:
                 yield self._fired(row, now)
             return
-        stored = current = self._load()
-        for row in sorted(rows, key=lambda r: tuple(r[name] for name in POSITION)):
-            if current is not None and current["fire_ms"] < row["arrival_ms"]:
-                yield self._fired(current, now)
-            current = row if row["command"] == "update" else None
-        if current is stored:
-            return
+        # At most two rows: the last command of the micro-batch, and a first one that closes.
+        first = last = None
+        for row in rows:
+            if row["command"] == CLOSER:
+                first = row
+            else:
+                last = row
+        stored = self._load()
         if stored is not None:
+            closed_ms = (first or last)["seen_ms"]
+            if not self.held and stored["fire_ms"] < closed_ms and stored["fire_ms"] <= now:
+                yield self._fired(stored, now)
             self.handle.deleteTimer(stored["fire_ms"])
-        if current is None:
+        if last["command"] == "update":
+            self._arm(last)
+        elif stored is not None:
             self.pending.clear()
-        else:
-            self._arm(current)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        schedule = self._load()
-        if schedule is not None and schedule["fire_ms"] == expiredTimerInfo.getExpiryTimeInMs():
-            self.pending.clear()
-            yield self._fired(schedule, timerValues.getCurrentProcessingTimeInMs())
+        schedule, now = self._load(), timerValues.getCurrentProcessingTimeInMs()
+        if schedule is None or schedule["fire_ms"] > now:
+            return
+        if self.held:
+            self.handle.registerTimer(now + _LATER_MS)
+            return
+        self.pending.clear()
+        yield self._fired(schedule, now)
 
     def close(self) -> None:
         pass
 
 
 def fire_stream(
-    commands: DataFrame, waiting: DataFrame | None = None, slot_ms: int = 1_000
+    commands: DataFrame, waiting: DataFrame | None = None, held: bool = False
 ) -> DataFrame:
     """Stream of commands to stream of fired schedules.
 
     waiting: schedules that wait when the stream starts (`state.waiting_at_gate` over the log up to
     that point). They are loaded before the first batch, so nothing fires ahead of a command that
-    was already in the log.
+    was already in the log. held: nothing fires at all; for catching up after a stop (`run.resume`).
     """
     initial = None
     if waiting is not None:
@@ -91,8 +109,8 @@ def fire_stream(
             .withColumn("lane", F.lit(STATE_LANE))
             .groupBy("state_id", "lane")
         )
-    resolved = resolve_within_batch(commands, slot_ms)
+    resolved = resolve_within_batch(commands, held)
     fired = resolved.groupBy("state_id", "lane").transformWithState(
-        PendingSchedules(), FIRED, "append", "processingTime", initial
+        PendingSchedules(held), FIRED, "append", "processingTime", initial
     )
     return fired.withColumn("out_headers", F.map_from_entries("out_headers"))

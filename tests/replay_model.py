@@ -5,10 +5,25 @@ from __future__ import annotations
 from delayfold.model import MAX_DELAY_MS
 
 
+def in_order(commands):
+    """Reads each partition by offset; an ID's clock there never goes back. Merges them by that clock."""
+    clocks, read = {}, []
+    for command in sorted(commands, key=lambda c: c["offset"]):
+        lane = command["schedule_id"], command["source_topic"], command["partition"]
+        clocks[lane] = max(clocks.get(lane, command["arrival_ms"]), command["arrival_ms"])
+        read.append({**command, "seen_ms": clocks[lane]})
+    place = lambda c: (c["seen_ms"], c["source_topic"], c["partition"], c["offset"])
+    return sorted(read, key=place)
+
+
 def replay(commands, as_of=None, gate=0, complete=False):
     """Commands are dicts; returns {offset: (outcome, closed_ms)} of the updates."""
-    order = lambda c: (c["arrival_ms"], c["source_topic"], c["partition"], c["offset"])
-    seen = sorted((c for c in commands if as_of is None or c["arrival_ms"] <= as_of), key=order)
+    seen = in_order(
+        c
+        for c in commands
+        if (as_of is None or c["arrival_ms"] <= as_of)
+        and (complete or not (c["command"] == "delete" and c["is_expired"]))
+    )
     pending, ends = {}, {}
 
     def fire_until(ms):
@@ -18,7 +33,7 @@ def replay(commands, as_of=None, gate=0, complete=False):
                 del pending[key]
 
     for command in seen:
-        now, key, kind = command["arrival_ms"], command["schedule_id"], command["command"]
+        now, key, kind = command["seen_ms"], command["schedule_id"], command["command"]
         fire_until(now)
         if kind == "delete" and command["is_expired"]:
             if complete and key in pending and pending[key][0]["due_ms"] <= now:

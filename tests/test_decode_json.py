@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from delayfold.operators.decode import decode_json, errors_only
 from frames import b64, payload, records
@@ -26,6 +27,14 @@ CASES = {
     "time fraction": (payload().replace('"time": 5', '"time": 1.5'), SHAPE),
     "time whole decimal": (payload().replace('"time": 5', '"time": 1.0'), UPDATE),
     "time exponent": (payload().replace('"time": 5', '"time": 1e3'), UPDATE),
+    "time long exponent": (payload().replace('"time": 5', '"time": 1706000000000123457e0'), UPDATE),
+    "time highest exponent": (payload().replace('"time": 5', '"time": 9223372036854775807e0'), UPDATE),
+    "time tiny fraction": (
+        payload().replace('"time": 5', '"time": 5.0000000000000000000000001'), SHAPE
+    ),
+    "time shifted": (payload().replace('"time": 5', '"time": -12.50e1'), UPDATE),
+    "time zero": (payload().replace('"time": 5', '"time": 0.0e99999'), UPDATE),
+    "time huge exponent": (payload().replace('"time": 5', '"time": "1e99999"'), SHAPE),
     "time bool": (payload(time=True), SHAPE),
     "time null": (payload(time=None), SHAPE),
     "time absent": (payload(time=...), SHAPE),
@@ -93,6 +102,10 @@ def test_values(decoded):
         "time with exponent text": 1000,
         "time whole decimal": 1,
         "time exponent": 1000,
+        "time long exponent": 1706000000000123457,
+        "time highest exponent": 2**63 - 1,
+        "time shifted": -125,
+        "time zero": 0,
         "repeated field": 9,
     }
     assert {n: decoded[n].due_ms for n in times} == times
@@ -170,6 +183,12 @@ def test_a_filter_does_not_parse_twice(spark):
     assert plan.count("parseJson") == 2
 
 
+def test_a_record_without_a_key_is_an_error(spark):
+    raw = records(spark, [payload(), None]).withColumn("key", F.lit(None).cast("binary"))
+    rows = decode_json(raw).collect()
+    assert {(r.command, r.error.cause_class, r.schedule_id) for r in rows} == {("error", "no-key", None)}
+
+
 def test_json_numbers_in_payload_match_python(spark):
     text = payload(time=1_706_000_000_123)
     assert decode_json(records(spark, [text])).first().due_ms == json.loads(text)["time"]

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from delayfold.functions import clock
 from delayfold.model import MAX_DELAY_MS
 from delayfold.operators import lifecycle as life, state
-from delayfold.operators.ordered import Slicing
+from delayfold.operators.ordered import Slicing, split
 from frames import commands
 from replay_model import replay
 
-FINE = Slicing(above=0, slices=40, samples=2)
+FINE = Slicing(least=8, samples=2)
 
 
 def outcomes(spark, rows, **how):
@@ -68,6 +68,21 @@ RULES = {
         {},
         {0: ("superseded", 1), 1: ("fired", 1)},
     ),
+    "within a partition the offset decides": (
+        [update(100, 500), delete(50)],
+        {},
+        {0: ("canceled", 100)},
+    ),
+    "a clock that went back fires late": (
+        [update(100, 500), update(50, 60)],
+        {},
+        {0: ("superseded", 100), 1: ("fired", 100)},
+    ),
+    "partitions are merged by the running time": (
+        [update(100, 500, partition=1), update(40, 90, partition=0)],
+        {},
+        {0: ("fired", 500), 1: ("fired", 90)},
+    ),
     "pending as of": ([update(1, 9)], {"as_of_ms": 8}, {0: ("pending", None)}),
     "fired as of": ([update(1, 9)], {"as_of_ms": 9}, {0: ("fired", 9)}),
     "later commands are not seen": (
@@ -113,7 +128,7 @@ RULES = {
 def test_rule(spark, name):
     rows, how, expected = RULES[name]
     assert outcomes(spark, rows, **how) == expected
-    assert outcomes(spark, rows, **how, slicing=Slicing(above=0, slices=9, samples=1)) == expected
+    assert outcomes(spark, rows, **how, slicing=Slicing(least=1, samples=1)) == expected
 
 
 def test_unknown_policy(spark):
@@ -183,7 +198,7 @@ def hot_log(spark, n=30_000):
 @pytest.mark.parametrize("policy", [life.IGNORE, life.COMPLETE])
 def test_hot_id_is_cut_and_the_result_is_whole(spark, policy):
     log = hot_log(spark)
-    slicing = Slicing(above=1_000, slices=50, samples=20)
+    slicing = Slicing(least=600, samples=20)
     columns = ["offset", "outcome", "closed_ms", "fire_ms", "next_ms"]
     cut = life.lifecycle(log, 900_000, 100_000, policy, slicing=slicing).select(*columns)
     whole = life.lifecycle(log, 900_000, 100_000, policy).select(*columns)
@@ -191,34 +206,40 @@ def test_hot_id_is_cut_and_the_result_is_whole(spark, policy):
 
 
 def test_no_slice_holds_much_of_a_hot_id(spark):
-    from delayfold.operators.ordered import Ordered, cut_points
+    log, slicing = hot_log(spark), Slicing(least=600, samples=20)
+    cold, hot = split(log, slicing=slicing)
+    assert {r.schedule_id for r in hot.rows.select("schedule_id").distinct().collect()} == {"hot"}
+    sizes = hot.rows.groupBy("schedule_id", "_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] < 3 * slicing.least
+    assert hot.rows.count() + cold.rows.count() == 30_000
 
-    log, slicing = hot_log(spark), Slicing(above=1_000, slices=50, samples=20)
-    cuts = cut_points(log, slicing=slicing)
-    assert [r.schedule_id for r in cuts.collect()] == ["hot"]
-    assert cuts.select(F.size("_cuts")).first()[0] <= slicing.slices * 2
-    sizes = Ordered(log, cuts, slicing).rows.groupBy("schedule_id", "_slice").count()
-    largest = sizes.agg(F.max("count")).first()[0]
-    assert largest < 30_000 / slicing.slices * 3
-    assert sizes.agg(F.sum("count")).first()[0] == 30_000
 
+def test_slices_follow_the_log(spark):
+    assert Slicing().every(10) == Slicing().every(10**9) == 1_000
+    assert Slicing().every(10**13) == 100_000
 
-def test_small_logs_are_not_cut(spark):
-    from delayfold.operators.ordered import cut_points
 
-    assert cut_points(hot_log(spark, 100)) is None
+def test_records_without_a_key_take_part_in_nothing(spark):
+    frame, _ = commands(spark, [update(1, 9, schedule_id=None), update(2, 9)])
+    assert [r.offset for r in life.lifecycle(frame).collect()] == [1]
+    assert [r.offset for r in state.pending_at(frame, 5).collect()] == [1]
 
 
 def test_transitions(spark):
-    frame, _ = commands(spark, [update(1, 9), update(5, 7), update(8, 99)])
-    steps = life.transitions(life.lifecycle(frame, 50)).collect()
+    rows = [update(1, 9), update(5, 7), update(8, 99), delete(40), error(41, schedule_id="b"), report(42)]
+    frame, _ = commands(spark, rows)
+    steps = life.transitions(frame, life.lifecycle(frame, 50)).collect()
     assert sorted((r.offset, r.at_ms, r.step) for r in steps) == [
         (0, 1, "scheduled"),
         (0, 5, "superseded"),
         (1, 5, "scheduled"),
         (1, 7, "fired"),
         (2, 8, "scheduled"),
+        (2, 40, "canceled"),
+        (3, 40, "cancel"),
+        (4, 41, "cancel"),
     ]
+    assert {r.line for r in steps if r.step == "cancel"} == {"Canceled Schedule [a]", "Canceled Schedule [b]"}
 
 
 def test_fired_between(spark):
@@ -244,7 +265,7 @@ def test_delay(spark, due, now, wait):
 
 
 def test_clock(spark):
-    now, later = spark.range(1).select(clock.now_ms(), clock.shifted_now_ms(5)).first()
+    now, later = spark.range(1).select(clock.now_ms(), clock.shifted_now_ms(F.lit(5))).first()
     assert later - now == 5_000
 
 

@@ -59,7 +59,7 @@ def test_metadata_union_has_an_identity_and_the_right_side_wins(spark):
         metadata.combine(metadata.empty(), x).alias("id_left"),
         metadata.combine(x, metadata.empty()).alias("id_right"),
         metadata.is_expired(metadata.expire(x)).alias("expired"),
-        F.transform_values(x, lambda _, v: F.upper(v)).alias("changed"),
+        metadata.transform(x, lambda m: F.transform_values(m, lambda _, v: F.upper(v))).alias("changed"),
     ).collect()
     for r in rows:
         assert r.xy == {**r.x, **r.y}
@@ -127,7 +127,10 @@ def test_state_size_and_lookups(spark):
     ]
     frame, _ = commands(spark, rows)
     size = metrics.state_size(frame, 50).first()
-    assert tuple(size) == (1, 1, 1, 1, 1)
+    assert tuple(size) == (1, 1, 1, 1, 0, 1)
+    closed, _ = commands(spark, [up(1, 9), {"arrival_ms": 10, "command": "delete", "is_expired": True}])
+    size = metrics.state_size(closed, 50, 20, expired_policy="complete").first()
+    assert size.completed == 1 and sum(size) == 1
     hits = {r.command: (r.lookups, r.hits, r.misses) for r in metrics.lookup_hits(frame, 50).collect()}
     assert hits == {"update": (5, 1, 4), "delete": (2, 1, 1), "error": (1, 1, 0)}
 

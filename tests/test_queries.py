@@ -3,10 +3,12 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SMALL
 from delayfold.plans import fixtures as fx
+from delayfold.plans.oracles import ORACLES as SQL
+from delayfold.plans.queries import QUERIES
 from delayfold.operators import lifecycle as life
 from oracle import connect, differences
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+assert QUERIES.items() <= entry.queries().items()
 
 
 @pytest.fixture(scope="module")

@@ -42,7 +42,6 @@ def test_settings_from_env():
     assert "group.id" not in settings.producer.properties
     assert settings.producer.properties["security.protocol"] == "SSL"
     assert settings.producer.properties["ssl.keystore.location"] == "/k"
-    assert str(settings) == "Avro topics [a,b]; JSON topics [c]; broker b1:9092,b2:9092"
 
 
 def test_source_options():
@@ -71,13 +70,14 @@ def test_sink_options():
     assert kafka.sink_options(broker, **{"linger.ms": "3"})["kafka.linger.ms"] == "3"
 
 
-def test_hand_over_offsets(spark):
-    log = spark.createDataFrame(
-        [("a", 0, 7), ("a", 0, 9), ("a", 2, 4)], "topic string, partition int, offset bigint"
-    )
-    until, after = kafka.hand_over(log, {"a": 3, "b": 1})
-    assert json.loads(until) == {"a": {"0": 10, "1": -1, "2": 5}, "b": {"0": -1}}
-    assert json.loads(after) == {"a": {"0": 10, "1": -2, "2": 5}, "b": {"0": -2}}
+def test_offsets_option():
+    option = kafka.offsets_option({("b", 0): 0, ("a", 1): 4, ("a", 0): 10})
+    assert json.loads(option) == {"a": {"0": 10, "1": 4}, "b": {"0": 0}}
+
+
+def test_readers_get_groups_of_their_own():
+    options = kafka.source_options(Broker("b:1", {"group.id": "g"}), ("a",))
+    assert options["groupIdPrefix"] == "g" and "kafka.group.id" not in options
 
 
 def test_merge(spark):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delayfold.operators import lifecycle as life, state
-from frames import commands, formatted_plan
+from frames import commands, formatted_plan, payload, records
 
 
 def up(at, due=100, **more):
@@ -62,6 +62,27 @@ def test_compaction_per_topic(spark):
     assert kept(15) == {2, 4}
 
 
+def test_compaction_keeps_the_highest_offset(spark):
+    rows = [up(100, 500), {"arrival_ms": 50, "command": "delete"}]
+    frame, _ = commands(spark, rows)
+    assert {r.offset for r in state.compact_per_topic(frame, 60, 20).collect()} == {1}
+
+
+def test_a_raw_log_is_ranked_before_it_is_decoded(spark):
+    raw = records(spark, [payload(time=5), payload(time=10**6), None, "foobar"]).withColumn(
+        "key", F.lit(b"a")
+    )
+    other = records(spark, [payload(time=2 * 10**12), "x"]).withColumn("key", F.concat(F.lit("b"), "offset").cast("binary"))
+    log = raw.unionByName(other)
+    found = state.latest_in_log(log).collect()
+    assert {(r.schedule_id, r.command, r.offset) for r in found} == {
+        ("a", "error", 3), ("b0", "update", 0), ("b1", "error", 1),
+    }
+    at = found[0].arrival_ms
+    assert {r.schedule_id for r in state.pending_in_log(log, at + 1).collect()} == {"b0"}
+    assert {r.schedule_id for r in state.waiting_in_log(log, at, json_topics=["t"]).collect()} == {"b0"}
+
+
 def pending_ids(frame, at=50):
     return {(r.schedule_id, r.offset) for r in state.pending_at(frame, at).collect()}
 

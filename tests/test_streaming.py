@@ -9,15 +9,15 @@ from delayfold.model import COMMANDS
 from delayfold.operators import lifecycle as life, metrics, state
 from delayfold.operators.decode import decode_json
 from delayfold.sources import logs
-from delayfold.streaming.resolve import RESOLVED, _settle
-from delayfold.streaming.run import drain, read_outbox, start_outbox
+from delayfold.streaming.resolve import _FROM_COMMAND, RESOLVED, _settle
+from delayfold.streaming.run import drain, has_run, read_outbox, resume, start_outbox
 from delayfold.streaming.timers import fire_stream
 from frames import b64, commands, payload, records
 
 
-def settle(rows):
-    """Runs one task's share; rows are (id, arrival, offset, command, fire)."""
-    columns = {n: [None] * len(rows) for n in RESOLVED.fieldNames() if n not in ("state_id", "lane")}
+def settle(rows, now=10**6, held=False):
+    """Runs one task's share; rows are (id, arrival, offset, command, due)."""
+    columns = {n: [None] * len(rows) for n in _FROM_COMMAND}
     columns |= {
         "schedule_id": [r[0] for r in rows],
         "source_topic": ["t"] * len(rows),
@@ -25,28 +25,30 @@ def settle(rows):
         "arrival_ms": pa.array([r[1] for r in rows], pa.int64()),
         "offset": pa.array([r[2] for r in rows], pa.int64()),
         "command": [r[3] for r in rows],
-        "fire_ms": pa.array([r[4] for r in rows], pa.int64()),
+        "due_ms": pa.array([r[4] for r in rows], pa.int64()),
         "out_key": pa.array([b"k"] * len(rows), pa.binary()),
-        "_slot": pa.array([r[1] // 10 for r in rows], pa.int64()),
+        "now_ms": pa.array([now] * len(rows), pa.int64()),
     }
     table = pa.table(columns)
-    out = [b for b in _settle(iter(table.to_batches(max_chunksize=3)), lanes=4)]
+    out = [b for b in _settle(iter(table.to_batches(max_chunksize=3)), 4, held)]
     return [r for b in out for r in b.to_pylist()]
 
 
-def test_settle_keeps_the_ends_of_a_slot_and_what_fires_inside():
-    rows = [
-        ("a", 1, 0, "update", 2),  # fires before the next command; first of its slot
-        ("a", 5, 1, "update", 99),  # closed by the next one; in the middle
-        ("a", 6, 2, "update", 7),  # last of its slot
-        ("a", 12, 3, "delete", None),  # alone in its slot
-        ("b", 3, 4, "update", 50),
-    ]
-    got = settle(rows[::-1])
+ROWS = [
+    ("a", 1, 0, "update", 2),  # fires before the next command; first of its ID
+    ("a", 5, 1, "update", 99),  # closed by the next one
+    ("a", 6, 2, "update", 7),  # fires
+    ("a", 12, 3, "delete", None),  # last of its ID
+    ("b", 3, 4, "update", 50),
+]
+
+
+def test_settle_keeps_the_ends_and_what_fires_inside():
+    got = settle(ROWS[::-1])
     assert sorted((r["offset"], r["command"], r["lane"] > 0, r["state_id"]) for r in got) == [
         (0, "closer", False, "a"),
         (0, "fired", True, ""),
-        (2, "update", False, "a"),
+        (2, "fired", True, ""),
         (3, "delete", False, "a"),
         (4, "update", False, "b"),
     ]
@@ -54,17 +56,27 @@ def test_settle_keeps_the_ends_of_a_slot_and_what_fires_inside():
     assert closer["out_key"] is None and closer["fire_ms"] is None
 
 
-def test_settle_sends_at_most_two_rows_of_a_slot_to_the_state():
+def test_settle_fires_nothing_early_or_while_held():
+    assert [r["offset"] for r in settle(ROWS, now=5) if r["command"] == "fired"] == [0]
+    assert not [r for r in settle(ROWS, held=True) if r["command"] == "fired"]
+
+
+def test_settle_goes_by_offset_within_a_partition():
+    got = settle([("a", 100, 1, "update", 500), ("a", 50, 2, "delete", None)])
+    last = next(r for r in got if r["command"] != "closer")
+    assert (last["command"], last["seen_ms"]) == ("delete", 100) and len(got) == 2
+
+
+def test_settle_sends_at_most_two_rows_of_an_id_to_the_state():
     pick = random.Random(3)
     rows = [("a", pick.randrange(100), i, "update", pick.randrange(200)) for i in range(5_000)]
     got = settle(rows)
-    assert sum(r["lane"] == 0 for r in got) <= 2 * 10
-    lanes = [r["lane"] for r in got if r["lane"]]
-    assert set(lanes) <= {1, 2, 3, 4}
+    assert sum(r["lane"] == 0 for r in got) == 2
+    assert {r["lane"] for r in got if r["lane"]} <= {1, 2, 3, 4}
 
 
 def test_settle_of_nothing():
-    assert settle([]) == [] and list(_settle(iter([]), 4)) == []
+    assert settle([]) == [] and list(_settle(iter([]), 4, False)) == []
 
 
 def sent(spark, folder):
@@ -152,6 +164,7 @@ def test_hot_id_in_one_batch_equals_the_replay(spark, tmp_path, gate):
             {
                 "schedule_id": "hot" if pick.random() < 0.7 else f"u{pick.randrange(200)}",
                 "arrival_ms": at,
+                "partition": pick.randrange(3),
                 "command": kind,
                 "is_expired": pick.random() < 0.3,
                 "due_ms": at + pick.randrange(-20, 40) if kind == "update" else None,
@@ -196,6 +209,37 @@ def test_restart_goes_on_without_the_initial_load(spark, tmp_path):
     assert set(rows) == {0, 1, 7, 8} and rows[0].fired_ms >= soon
 
 
+def test_after_a_stop_nothing_fires_before_the_log_is_read(spark, tmp_path):
+    """A backlog of two files, read one by one: an update that is past due, and the delete that came."""
+    hour = 3_600_000
+    start = now_ms()
+    base, _ = commands(spark, [{"schedule_id": "x", "arrival_ms": start - 9 * hour, "due_ms": start + 9 * hour}])
+    schema = base.drop("error").schema
+    log = str(tmp_path / "log")
+    places = str(tmp_path / "outbox"), str(tmp_path / "checkpoint")
+
+    def append(name, rows):
+        commands(spark, rows)[0].drop("error").coalesce(1).write.parquet(f"{log}/{name}")
+
+    def follow():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{log}/*")
+
+    def begin(fired, until_now=False):
+        return start_outbox(fired, *places, until_now=until_now)
+
+    append("1", [{"schedule_id": "x", "arrival_ms": start - 9 * hour, "due_ms": start + 9 * hour}])
+    assert not has_run(spark, places[1])
+    drain(begin(fire_stream(follow())))
+    assert has_run(spark, places[1])
+    append("2", [{"schedule_id": "x", "offset": 5, "arrival_ms": start - 2 * hour, "due_ms": start - hour}])
+    append("3", [{"schedule_id": "x", "offset": 6, "arrival_ms": start - hour - 1, "command": "delete"}])
+    append("4", [{"schedule_id": "y", "offset": 7, "arrival_ms": start - hour, "due_ms": start}])
+    query = resume(follow(), begin)
+    rows = wait_for(spark, tmp_path, 1)
+    drain(query)
+    assert set(rows) == set(sent(spark, tmp_path)) == {7}
+
+
 def test_failed_stream_is_reported(spark, tmp_path):
     frame, _ = commands(spark, [{}])
     stream = file_stream(spark, frame, str(tmp_path / "log")).withColumn(
@@ -216,5 +260,5 @@ def test_drain_gives_up(spark, tmp_path):
 
 
 def test_command_schema_is_what_the_stream_needs():
-    missing = {"fire_ms", "lane", "state_id"}
+    missing = {"seen_ms", "fire_ms", "lane", "state_id"}
     assert set(RESOLVED.fieldNames()) - set(COMMANDS.fieldNames()) == missing
