@@ -173,7 +173,10 @@ def top_products(
     places = buckets.collect()
     if not places:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in p.asDict().items()]) for p in places])
+    kinds = dict(buckets.dtypes)
+    table = F.array(
+        *[F.struct(*[F.lit(v).cast(kinds[n]).alias(n) for n, v in p.asDict().items()]) for p in places]
+    )
     visits = (
         queries.drop("bucket")
         .withColumn("query_block", F.pmod(F.xxhash64("vec_id"), query_blocks))
