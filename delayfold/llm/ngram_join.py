@@ -1,17 +1,19 @@
 """Documents linked by the Jaccard similarity of their word n-grams, by a token-group matrix.
 
 1. Each text becomes a set of hashed n-grams. The hash space is cut into 2**k equal parts, k by the
-   set's size, so that two sets similar enough differ in fewer parts than there are: at least one
-   part is equal and not empty in both. The hash of each part is a signature; sets that share one
-   are *candidates*. No similar pair is missed and no frequent n-gram makes a large bucket by itself.
-2. Candidates form families. A family's distinct sets are dealt out to blocks of bounded size.
+   set's size, so that two sets similar enough differ in clearly fewer parts than there are. The hash
+   of each part is a signature, and a set needs a certain number of signatures that others have too,
+   to be similar to any. No similar pair is missed, no frequent n-gram makes a large bucket by itself,
+   and a passage in common does not make a candidate.
+2. Candidates that share a signature form families. A family's distinct sets are dealt out to blocks of
+   bounded size.
 3. In a block, similar sets are partitioned into groups (by least n-gram) and the matrix of n-grams
    against groups stores each group's union. The overlap of a set with a union bounds its overlap
    with every member; only qualifying groups are opened, and members not yet connected compared.
 4. Families larger than a block are connected through a few pivots present in all their blocks. What
    stays apart is then compared with every block of the family. Copies count as one set throughout.
 
-Only families are shuffled with their n-grams; texts alone in theirs leave signatures only.
+Only families are shuffled with their n-grams; all other texts leave signatures only.
 """
 
 from __future__ import annotations
@@ -91,26 +93,47 @@ def _set_keys(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _level(n: np.ndarray, rule: Similarity) -> np.ndarray:
-    """k such that 2**k parts are more than two linked sets of at most n elements can differ in."""
-    return np.ceil(np.log2(rule.differing(2 * n) + 1)).astype(np.int64)
+    """k such that 2**k parts are half as many again as two linked sets of at most n elements can differ in."""
+    differing = rule.differing(2 * n)
+    return np.ceil(np.log2(np.where(differing > 0, 1.5 * (differing + 1), 1))).astype(np.int64)
 
 
-def _signatures(grams: np.ndarray, bounds: np.ndarray, rule: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, signature) for all parts that are not empty, at every level a partner may use."""
+def _largest_of_level(level: int, rule: Similarity) -> int:
+    """Largest set size with at most this level."""
+    if level == 0:
+        return int(np.flatnonzero(rule.differing(2 * np.arange(1000)) == 0)[-1])
+    most = int((1 << level) / 1.5 + 1e-9) - 1  # differing elements
+    n = (most + 1) * (rule.den + rule.num) // (2 * (rule.den - rule.num)) + 2
+    while rule.differing(2 * n) > most:
+        n -= 1
+    return n
+
+
+@dataclass
+class _Signed:
+    """Signatures of sets: owners and marks, and for each (set, level) how many marks must be shared."""
+
+    owners: np.ndarray
+    marks: np.ndarray
+    needing: np.ndarray
+    needs: np.ndarray
+
+
+def _signatures(grams: np.ndarray, bounds: np.ndarray, rule: Similarity) -> _Signed:
+    """Marks of all parts that are not empty, at every level a partner may use. The low five bits of a
+    mark are its level, as are those of a need."""
     n = np.diff(bounds)
-    low, high = _level(n, rule), _level(rule.largest_partner(n), rule)
-    owners, found = [], []
+    partner = rule.largest_partner(n)
+    low, high = _level(n, rule), _level(partner, rule)
+    owners, marks, needing, needs = [], [], [], []
     unsafe = np.zeros(len(n), bool)
     mixed = arrays.mix(grams ^ np.uint64(0x2545F4914F6CDD1D))
     level = 0
-    while True:
-        chosen = (n > 0) & (((low <= level) & (level <= high)) | unsafe)
-        if not chosen.any():
-            if level > high.max(initial=0):
-                break
+    while level <= high.max(initial=0) or unsafe.any():
+        sets = np.flatnonzero((n > 0) & (((low <= level) & (level <= high)) | unsafe))
+        if not len(sets):
             level += 1
             continue
-        sets = np.flatnonzero(chosen)
         lengths = n[sets]
         within = np.repeat(bounds[sets] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
         take = within + np.arange(lengths.sum())
@@ -123,18 +146,22 @@ def _signatures(grams: np.ndarray, bounds: np.ndarray, rule: Similarity) -> tupl
         content = _wrapped_sums(mixed[take], np.append(starts, len(part)))
         place = arrays.mix(part[starts] + np.uint64(level << 48) + np.uint64(1))
         owners.append(owner[starts])
-        found.append(arrays.mix(content ^ place))
-        # Pigeonhole: a linked partner at this level leaves at least `equal` parts equal; if more
-        # are equal than are empty here, one that is not empty is among them. Else go a level up.
+        marks.append((arrays.mix(content ^ place) & ~np.uint64(31)) | np.uint64(level))
+        # Of the parts that are not empty here, all but those that differ are a linked partner's too. If
+        # that may be none, both also sign a level up, where fewer parts are empty for their number.
         filled = np.bincount(owner[starts], minlength=len(n))
-        equal = (1 << level) - rule.differing(n + rule.largest_partner(n))
-        unsafe = chosen & ((1 << level) - filled >= equal)
+        shared = filled - rule.differing(n + np.minimum(partner, _largest_of_level(level, rule)))
+        needing.append(sets)
+        needs.append((np.maximum(shared[sets], 1) << 5) | level)
+        unsafe = np.zeros(len(n), bool)
+        unsafe[sets] = shared[sets] < 1
         level += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    owners, found = np.concatenate(owners), np.concatenate(found)
-    order = np.argsort(owners, kind="stable")
-    return owners[order], found[order]
+    if not owners:
+        nothing = np.zeros(0, np.int64)
+        return _Signed(nothing, nothing.view(np.uint64), nothing, nothing)
+    owner, mark, who, need = (np.concatenate(x) for x in (owners, marks, needing, needs))
+    order = np.argsort(who, kind="stable")
+    return _Signed(owner, mark, who[order], need[order])
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -142,47 +169,60 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def _describe(rule: Similarity):
+    """Size and key of each set, and what its signatures must fulfil."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.text_chunks(batches):
             grams, bounds = _word_sets(chunk, rule.size)
             high, low = _set_keys(grams, bounds)
-            owners, found = _signatures(grams, bounds, rule)
-            per_set = np.searchsorted(owners, np.arange(len(chunk) + 1))
+            signed = _signatures(grams, bounds, rule)
+            per_set = np.searchsorted(signed.needing, np.arange(len(chunk) + 1))
             yield pa.record_batch(
                 [
                     chunk.column("doc_id"),
                     _long(np.diff(bounds)),
                     _long(high),
                     _long(low),
-                    arrays.list_rows(_long(found), per_set),
+                    arrays.list_rows(pa.array(signed.needs.astype(np.int32)), per_set),
                 ],
-                ["doc_id", "n_shingles", "set_high", "set_low", "signatures"],
+                ["doc_id", "n_shingles", "set_high", "set_low", "needs"],
             )
 
     return run
 
 
+def _sign(rule: Similarity):
+    """One row for each signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in arrays.text_chunks(batches):
+            signed = _signatures(*_word_sets(chunk, rule.size), rule)
+            docs = chunk.column("doc_id").take(pa.array(signed.owners))
+            yield pa.record_batch([_long(signed.marks), docs], ["mark", "doc_id"])
+
+    return run
+
+
 _SET = "n_shingles long, set_high long, set_low long"
 
 
 def _fetch(rule: Similarity):
-    """N-grams of the texts chosen to stand for their sets."""
+    """The sets themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.text_chunks(batches):
             grams, bounds = _word_sets(chunk, rule.size)
             high, low = _set_keys(grams, bounds)
-            same = (
-                (np.asarray(chunk.column("set_high")) == high)
-                & (np.asarray(chunk.column("set_low")) == low)
-                & (np.asarray(chunk.column("n_shingles")) == np.diff(bounds))
-            )
-            rows = pa.record_batch(
-                [chunk.column(c) for c in ("family", "members", "doc_id", "n_shingles")]
-                + [arrays.binary_rows(grams, bounds)],
-                ["family", "members", "doc_id", "n_shingles", "grams"],
+            yield pa.record_batch(
+                [
+                    chunk.column("doc_id"),
+                    _long(np.diff(bounds)),
+                    _long(high),
+                    _long(low),
+                    arrays.binary_rows(grams, bounds),
+                ],
+                ["doc_id", "n_shingles", "set_high", "set_low", "grams"],
             )
-            yield rows.filter(pa.array(same))
 
     return run
 
@@ -278,15 +318,13 @@ def similar_documents(
     copies are listed by membership and never as pairs. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stored(
-        texts.mapInArrow(_describe(rule), f"doc_id long, {_SET}, signatures array<long>"), "sets"
-    )
+    sets = stored(texts.mapInArrow(_describe(rule), f"doc_id long, {_SET}, needs array<int>"), "sets")
     named = sets.where("doc_id is not null and n_shingles > 0")
 
-    signed = named.select(F.explode("signatures").alias("mark"), "doc_id")
-    families = _families(signed)
+    signed = texts.where("doc_id is not null").mapInArrow(_sign(rule), "mark long, doc_id long")
+    families = _families(_candidates(signed, named))
 
-    members = stored(named.drop("signatures").join(families, "doc_id"), "members")
+    members = stored(named.drop("needs").join(families, "doc_id"), "members")
     set_columns = ["family", "n_shingles", "set_high", "set_low"]
     distinct_sets = members.groupBy(*set_columns).agg(F.min("doc_id").alias("doc_id"))
     copies = (
@@ -296,13 +334,17 @@ def similar_documents(
     )
     sizes = distinct_sets.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
     asked = distinct_sets.join(sizes, "family")
+    # The ids alone first: a short list is broadcast by Spark, a long one shuffles the texts.
+    ids = stored(asked.select("doc_id").distinct(), "ids")
+    fetched = texts.join(ids, "doc_id", "left_semi").mapInArrow(
+        _fetch(rule), f"doc_id long, {_SET}, grams binary"
+    )
     grams = stored(
-        texts.join(asked, "doc_id").mapInArrow(
-            _fetch(rule), "family long, members long, doc_id long, n_shingles long, grams binary"
+        fetched.join(asked, ["doc_id", "n_shingles", "set_high", "set_low"]).select(
+            "family", "members", "doc_id", "n_shingles", "grams"
         ),
         "grams",
     )
-
     grams = _split_large_families(grams, rule, block)
 
     blocks = F.ceil(F.col("members") / block)
@@ -325,7 +367,7 @@ def similar_documents(
     links = copies.union(first_links)
     found = components(links if rest_links is None else links.union(rest_links))
     return (
-        sets.drop("signatures")
+        sets.drop("needs")
         .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select(
             "doc_id",
@@ -337,6 +379,54 @@ def similar_documents(
     )
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by mark: those next to one with the same mark. The first and last of a partition
+    stay too, as their mark may go on in another."""
+    held: pa.RecordBatch | None = None
+    opened = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        marks = rows.column("mark").to_numpy()
+        same = np.zeros(len(marks) + 1, bool)
+        same[1:-1] = marks[1:] == marks[:-1]
+        keep = same[1:] | same[:-1]
+        keep[0] |= not opened
+        start = 1 if opened and held is not None else 0
+        # The last row waits: with the one before it, to be judged when its next one is known.
+        if len(marks) > 1:
+            yield rows.slice(start, len(marks) - 1 - start).filter(pa.array(keep[start:-1]))
+            opened = True
+            held = rows.slice(len(marks) - 2)
+        else:
+            held = rows
+    if held is not None:
+        yield held.slice(held.num_rows - 1)
+
+
+def _candidates(signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(mark, doc_id) of the documents that share as many signatures of a level as a link would need."""
+    shared = stored(
+        signed.repartitionByRange("mark", "doc_id")
+        .sortWithinPartitions("mark", "doc_id")
+        .mapInArrow(_repeated, "mark long, doc_id long"),
+        "shared",
+    ).withColumn("level", F.col("mark").bitwiseAND(31))
+    need = sets.select("doc_id", F.explode("needs").alias("need")).select(
+        "doc_id", F.col("need").bitwiseAND(31).cast("long").alias("level"), F.shiftright("need", 5).alias("need")
+    )
+    least = need.groupBy("doc_id", "level").agg(F.min("need").alias("need"))
+    enough = (
+        shared.groupBy("doc_id", "level")
+        .agg(F.count("*").alias("n"))
+        .join(least, ["doc_id", "level"])
+        .where("n >= need")
+        .select("doc_id", "level")
+    )
+    return shared.join(enough, ["doc_id", "level"], "left_semi").select("mark", "doc_id")
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by mark and doc_id: each document with the first one of its mark.
 
@@ -483,6 +573,6 @@ def deduplicated(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     Of repeated rows of that doc_id one stays. Rows without doc_id stay as they are.
     """
     found = similar_documents(docs, rule)
-    linked = found.where("component_id != doc_id").select("doc_id").distinct()
+    linked = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "linked")
     named = docs.where("doc_id is not null").join(linked, "doc_id", "left_anti").select(*docs.columns)
     return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
