@@ -124,11 +124,31 @@ RULES = {
 }
 
 
-@pytest.mark.parametrize("name", RULES)
-def test_rule(spark, name):
-    rows, how, expected = RULES[name]
-    assert outcomes(spark, rows, **how) == expected
-    assert outcomes(spark, rows, **how, slicing=Slicing(least=1, samples=1)) == expected
+def rules_by_setting():
+    """All rules with the same settings as one log: IDs and offsets of each rule set apart."""
+    groups = {}
+    for number, (rows, how, expected) in enumerate(RULES.values()):
+        log, wanted, _ = groups.setdefault(str(how), ([], {}, how))
+        base = 100 * number
+        log += [
+            {**r, "schedule_id": f"{number}{r.get('schedule_id', 'a')}", "offset": base + i}
+            for i, r in enumerate(rows)
+        ]
+        wanted |= {base + offset: end for offset, end in expected.items()}
+    return groups
+
+
+BY_SETTING = rules_by_setting()
+
+
+@pytest.mark.parametrize("how", BY_SETTING)
+@pytest.mark.parametrize("slicing", [Slicing(), Slicing(least=1, samples=1)])
+def test_rules(spark, how, slicing):
+    rows, expected, settings_ = BY_SETTING[how]
+    got = outcomes(spark, rows, **settings_, slicing=slicing)
+    names = list(RULES)
+    wrong = {names[o // 100]: got.get(o) for o in expected.keys() | got.keys() if got.get(o) != expected.get(o)}
+    assert not wrong
 
 
 def test_unknown_policy(spark):
@@ -154,7 +174,7 @@ ROWS = st.lists(
 
 
 @settings(
-    max_examples=10,
+    max_examples=6,
     deadline=None,
     phases=[Phase.explicit, Phase.generate],
     suppress_health_check=list(HealthCheck),

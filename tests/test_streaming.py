@@ -84,7 +84,7 @@ def sent(spark, folder):
     return {r.offset: r for r in rows}
 
 
-def wait_for(spark, folder, count, seconds=40):
+def wait_for(spark, folder, count, seconds=90):
     until = time.monotonic() + seconds
     while time.monotonic() < until:
         try:
@@ -122,12 +122,16 @@ def test_follow_replace_cancel_restart(spark, tmp_path):
     append(start, 1, payload(time=start - 600_000, value=b64("past")), "past")
     append(start, 2, payload(time=start + 10**10), "gone")
     append(start, 3, payload(time=start + 10**10), "changed")
-    append(start, 4, payload(time=start + 25_000), "soon")
+    append(start, 4, payload(time=start + 40_000), "soon")
     query = begin()
     rows = wait_for(spark, folder, 1)
-    counted = [p["observedMetrics"].get("commands") for p in query.recentProgress]
+    until, updates = time.monotonic() + 30, 0
+    while updates < 5 and time.monotonic() < until:  # progress is told after the rows are out
+        counted = [p["observedMetrics"].get("commands") for p in query.recentProgress]
+        updates = sum(c["update"] for c in counted if c is not None)
+        time.sleep(0.2)
     query.stop()
-    assert sum(c["update"] for c in counted if c is not None) == 5
+    assert updates == 5
     assert set(rows) == {1} and bytes(rows[1].value) == b"past"
 
     append(now_ms(), 5, None, "gone")
@@ -137,7 +141,7 @@ def test_follow_replace_cancel_restart(spark, tmp_path):
     rows = wait_for(spark, folder, 3)
     query.stop()
     assert set(rows) == {1, 4, 6} and bytes(rows[6].value) == b"new"
-    assert rows[4].fired_ms >= start + 25_000
+    assert rows[4].fired_ms >= start + 40_000
     marks = read_outbox(spark, f"{folder}/outbox").where(F.col("seq") == 1)
     assert marks.count() == 3
     assert {bytes(r.key) for r in marks.collect()} == {b"past", b"soon", b"changed"}
@@ -156,9 +160,10 @@ def file_stream(spark, frame, path):
 @pytest.mark.parametrize("gate", [None, 30_000])
 def test_hot_id_in_one_batch_equals_the_replay(spark, tmp_path, gate):
     pick = random.Random(11)
-    rows = []
-    for i in range(20_000):
-        at = pick.randrange(60_000)
+    rows, times = [], sorted(pick.randrange(2_000, 60_000) for _ in range(20_000))
+    for i, at in enumerate(times):
+        if gate is None and pick.random() < 0.1:
+            at -= 2_000  # a record time that goes back; a gate would split such a log by offset
         kind = pick.choice(["update"] * 6 + ["delete", "error"])
         rows.append(
             {
@@ -189,7 +194,7 @@ def test_hot_id_in_one_batch_equals_the_replay(spark, tmp_path, gate):
 
 
 def test_restart_goes_on_without_the_initial_load(spark, tmp_path):
-    soon = now_ms() + 12_000
+    soon = now_ms() + 30_000
     frame, _ = commands(spark, [{"due_ms": soon}, {"arrival_ms": 1, "schedule_id": "b"}])
     waiting = state.waiting_at_gate(frame, 1)
     first, second = str(tmp_path / "log" / "1"), str(tmp_path / "log" / "2")
