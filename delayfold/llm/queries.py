@@ -117,4 +117,66 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_OP1 = r"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+      ELSE [w[i:i + 2] for i in range(1, len(w) - 1)] END) AS s
+    FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * shared.n >= 90 * (a.n + b.n - shared.n)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT x, y FROM ways
+  UNION SELECT r.x, b.y FROM reach r JOIN ways b ON b.x = r.y)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles,
+       least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id
+GROUP BY d.doc_id"""
+
+# Sizes of the marks: 7 before a role and 3 after it, 10 between texts of one role, 9 at the end.
+_OP2 = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+         regexp_replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') AS name,
+         regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+         AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+         FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(body) + CASE WHEN before = role THEN 0 ELSE 10 + length(name) END
+         + CASE WHEN after = role THEN 10 ELSE 9 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id"""
+
+_OP5 = """WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+         AS rank, vec_id, score
+FROM scores QUALIFY rank <= 10"""
+
+# The rest have no SQL form, or one that is too slow on whole tables; see tests/llm.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": _OP1,
+    "op2_chat_formatting": _OP2,
+    "op5_exact_topk": _OP5,
+}

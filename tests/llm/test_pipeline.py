@@ -6,8 +6,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from delayfold.llm import packing, quality, toxicity
 from delayfold.llm.ngram_join import Similarity
-from delayfold.llm.queries import QUERIES
+from delayfold.llm.queries import ORACLES, QUERIES
 from delayfold.llm.tables import stored
+from oracle import connect, differences
 from llm.test_chat_topk_packing import check_packing
 from llm.test_ngram_join import brute_force
 from llm.test_repeats import by_id, covered
@@ -63,6 +64,11 @@ def test_everything_left_is_packed(stages):
     assert max(packing.CAPACITIES) >= max(r.capacity for r in stages[5].collect())
 
 
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_equals_sql(spark, name):
+    assert differences(QUERIES[name](spark, SMALL), connect(SMALL), ORACLES[name]) == ""
+
+
 def test_registered(spark):
     assert QUERIES.keys() | {"pipeline"} <= entry.queries().keys()
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]

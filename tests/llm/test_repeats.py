@@ -62,3 +62,11 @@ def test_empty_table_and_columns(no_docs):
     assert op.without_repeats(no_docs).count() == 0
     assert op.without_repeats(no_docs).columns == no_docs.columns
     assert op.repeat_digests(op.with_repeats(no_docs, 400, False)).count() == 0
+
+
+def test_candidates_that_do_not_match(spark):
+    """Anchors in common, but no 400 bytes: 300 of them are the same."""
+    common = words(7, 70)[:300]
+    rows = [(i, f"{words(20 + i, 60)} {common} {words(40 + i, 60)}") for i in range(4)]
+    got = op.repeat_digests(op.with_repeats(frame(spark, rows), 400, False)).collect()
+    assert [r.n_removed for r in got] == [0] * 4
