@@ -196,6 +196,8 @@ def previous_and_next(rank: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of each run of set flags with one owner."""
     at = np.flatnonzero(flags)
+    if not len(at):
+        return at, at
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
     begin = np.flatnonzero(new)
