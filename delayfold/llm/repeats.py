@@ -27,6 +27,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from delayfold.llm import arrays
 from delayfold.llm.tables import stored, whole_groups
 
+# Bytes worked on at a time; arrays over them take about a hundred times as much.
+_HELD_BYTES = 1 << 20
+
 _PLACE = "doc_id long, version long, first long, last long"
 
 
@@ -52,7 +55,7 @@ def _segments(length: int):
     gram = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in arrays.text_chunks(batches):
+        for chunk in arrays.text_chunks(batches, limit=_HELD_BYTES):
             if chunk.lengths.max() < length:
                 continue
             hashes = arrays.RangeHash(chunk.data)
@@ -206,7 +209,7 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _factors(length: int, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, ["anchor"]):
+        for rows in whole_groups(batches, ["anchor"], _HELD_BYTES):
             rows = rows.combine_chunks()
             texts = rows.column("bytes").cast(pa.large_binary()).combine_chunks()
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
