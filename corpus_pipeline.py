@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings of 400 bytes that came before."""
-    return repeats.without_repeats(docs)
+    """All documents, without passages of over 50 words, or strings of 400 bytes, that came before."""
+    return repeats.without_repeats(docs, words=51)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,10 @@
    it comes again.
 
 Anchors with more than `group` contents are compared window by window, aggregated before the shuffle.
+
+A window can also be a number of words with all bytes between them, so that it fits every passage of
+so many words, however short. Its k-grams are runs of words, and its suffixes are put in order word by
+word.
 Places are ordered by doc_id, then byte. Offsets count bytes of UTF-8; matches never cross texts.
 """
 
@@ -51,29 +55,38 @@ def _least_positions(values: np.ndarray, width: int) -> np.ndarray:
     return position
 
 
-def _segments(length: int):
-    gram = length // 2
+def _segments(length: int, words: int | None):
+    size = words or length
+    gram = size // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.text_chunks(batches, limit=_HELD_BYTES):
-            if chunk.lengths.max() < length:
+            found = arrays.split_words(chunk.data, chunk.offsets) if words else None
+            first_of = found.first if words else chunk.offsets
+            counts = np.diff(first_of)
+            if counts.max() < size:
                 continue
             hashes = arrays.RangeHash(chunk.data)
-            grams = hashes.windows(gram)
-            position = _least_positions(grams, length - gram + 1)
+            if words:
+                grams = hashes(found.starts[: len(found.starts) - gram + 1], found.ends[gram - 1 :])
+            else:
+                grams = hashes.windows(gram)
+            position = _least_positions(grams, size - gram + 1)
             starts = np.arange(len(position))
-            doc = np.repeat(np.arange(len(chunk)), chunk.lengths)[: len(starts)]
-            starts = starts[starts + length <= chunk.offsets[1:][doc]]
+            doc = np.repeat(np.arange(len(chunk)), counts)[: len(starts)]
+            starts = starts[starts + size <= first_of[1:][doc]]
             position, doc = position[starts], doc[starts]
             new = np.ones(len(starts), bool)
             new[1:] = (position[1:] != position[:-1]) | (doc[1:] != doc[:-1])
             begin = np.flatnonzero(new)
             first, last = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+            if words:
+                first, last = found.starts[first], found.ends[last + words - 1]
             doc = doc[begin]
             yield pa.record_batch(
                 [
                     pa.array(grams[position[begin]].view(np.int64)),
-                    pa.array(hashes(first, last + length).view(np.int64)),
+                    pa.array(hashes(first, last if words else last + length).view(np.int64)),
                     chunk.column("doc_id").take(pa.array(doc)),
                     pa.array(_version(chunk, hashes)[doc]),
                     pa.array(first - chunk.offsets[doc]),
@@ -166,16 +179,34 @@ def prefix_order(data: np.ndarray, length: int) -> np.ndarray:
     width = min(8, length)
     for i in range(width):
         key = (key << np.uint64(8)) | padded[i : i + len(data)]
-    rank = np.unique(key, return_inverse=True)[1]
+    return _widened(np.unique(key, return_inverse=True)[1], width, length)
+
+
+def word_order(data: np.ndarray, found: arrays.Words, length: int) -> np.ndarray:
+    """Rank of the suffix at every word by its first `length` words and the bytes between them.
+
+    Words are told apart by 64-bit hashes. Ranks of suffixes that cross a text's end mean nothing.
+    """
+    hashes = arrays.RangeHash(data)
+    with_gap = hashes(found.starts, np.append(found.starts[1:], len(data)))
+    rank = _widened(np.unique(with_gap, return_inverse=True)[1], 1, length - 1)
+    bare = np.unique(hashes(found.starts, found.ends), return_inverse=True)[1]
+    last = np.zeros(len(bare), np.int64)
+    last[: len(bare) - length + 1] = bare[length - 1 :]
+    return np.unique((rank << int(bare.max()).bit_length()) | last, return_inverse=True)[1]
+
+
+def _widened(rank: np.ndarray, width: int, length: int) -> np.ndarray:
+    """Ranks by the first `length` places, from ranks by the first `width`."""
     while width < length:
         reach = min(3 * width, length)
         bits = max(1, int(rank.max()).bit_length())
         steps = (0, width, 2 * width) if 3 * bits < 63 and reach > 2 * width else (0, min(width, length - width))
         steps = sorted({min(s, reach - width) for s in steps})
-        key = np.zeros(len(data), np.int64)
+        key = np.zeros(len(rank), np.int64)
         for s in steps:
-            moved = np.zeros(len(data), np.int64)
-            moved[: len(data) - s] = rank[s:]
+            moved = np.zeros(len(rank), np.int64)
+            moved[: len(rank) - s] = rank[s:]
             key = (key << bits) | moved
         rank = np.unique(key, return_inverse=True)[1]
         width = steps[-1] + width
@@ -207,7 +238,23 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[begin], at[np.append(begin[1:], len(at)) - 1]
 
 
-def _factors(length: int, keep_first: bool):
+def _places(
+    data: np.ndarray, offsets: np.ndarray, length: int, words: int | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of all windows of the texts: text number, first and last as in _PLACE but from byte 0 of `data`;
+    for windows of words also their ranks."""
+    found = arrays.split_words(data, offsets) if words else None
+    first_of = found.first if words else offsets
+    windows = np.diff(first_of) - (words or length) + 1
+    owner = np.repeat(np.arange(len(windows)), windows)
+    start = first_of[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    if not words:
+        return owner, start, start, None
+    rank = word_order(data, found, words)[start] if len(start) else start
+    return owner, found.starts[start], found.ends[start + words - 1], rank
+
+
+def _factors(length: int, words: int | None, keep_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, ["anchor"], _HELD_BYTES):
             rows = rows.combine_chunks()
@@ -215,20 +262,21 @@ def _factors(length: int, keep_first: bool):
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
             offsets = offsets - offsets[0]
-            windows = np.diff(offsets) - length + 1
-            owner = np.repeat(np.arange(len(texts)), windows)
-            within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            before, after = previous_and_next(prefix_order(data, length), offsets[owner] + within)
+            owner, start, last, rank = _places(data, offsets, length, words)
+            if words:
+                before, after = previous_and_next(rank, np.arange(len(rank)))
+            else:
+                before, after = previous_and_next(prefix_order(data, length), start)
             found = before >= 0 if keep_first else (before >= 0) | (after >= 0)
             low, high = _runs(found, owner)
             who = pa.array(owner[low])
-            first = rows.column("first").to_numpy()[owner[low]]
+            moved = rows.column("first").to_numpy()[owner[low]] - offsets[owner[low]]
             yield pa.record_batch(
                 [
                     rows.column("doc_id").combine_chunks().take(who),
                     rows.column("version").combine_chunks().take(who),
-                    pa.array(first + within[low]),
-                    pa.array(first + within[high]),
+                    pa.array(moved + start[low]),
+                    pa.array(moved + last[high]),
                 ],
                 ["doc_id", "version", "first", "last"],
             )
@@ -236,37 +284,42 @@ def _factors(length: int, keep_first: bool):
     return run
 
 
-def _single_windows(length: int):
+def _single_windows(length: int, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.text_chunks(batches, "bytes"):
-            windows = chunk.lengths - length + 1
-            owner = np.repeat(np.arange(len(chunk)), windows)
-            within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-            start = chunk.offsets[owner] + within
+            owner, start, last, _ = _places(chunk.data, chunk.offsets, length, words)
+            moved = np.asarray(chunk.column("first"))[owner] - chunk.offsets[owner]
             who = pa.array(owner)
             yield pa.record_batch(
                 [
-                    pa.array(arrays.RangeHash(chunk.data)(start, start + length).view(np.int64)),
+                    pa.array(arrays.RangeHash(chunk.data)(start, last if words else start + length).view(np.int64)),
                     chunk.column("doc_id").take(who),
                     chunk.column("version").take(who),
-                    pa.array(np.asarray(chunk.column("first"))[owner] + within),
+                    pa.array(moved + start),
+                    pa.array(moved + last),
                 ],
-                ["window", "doc_id", "version", "first"],
+                ["window", "doc_id", "version", "first", "last"],
             )
 
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = 400, keep_first: bool = True, group: int = 4096) -> DataFrame:
+def repeated_windows(
+    docs: DataFrame, length: int = 400, keep_first: bool = True, group: int = 4096, words: int | None = None
+) -> DataFrame:
     """doc_id, version, first, last: starts of windows of `length` bytes that occur elsewhere too.
 
     With `keep_first`, only windows that also occur earlier. `version` is a hash of the text. Ranges
     of one text may touch, never contradict; texts shorter than `length` have none.
+
+    With `words`, windows of so many words (runs of anything but ASCII white space) and the bytes between
+    them take the place of `length` bytes; `last` is then the end of the last window, not its start.
     """
+    length = 0 if words else length
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = ["anchor", "content", "doc_id", "version", "first"]
     shared = stored(
-        texts.mapInArrow(_segments(length), f"anchor long, content long, {_PLACE}")
+        texts.mapInArrow(_segments(length, words), f"anchor long, content long, {_PLACE}")
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .mapInArrow(_shared, f"anchor long, content long, {_PLACE}, again boolean, lead boolean, edge boolean"),
@@ -301,23 +354,32 @@ def repeated_windows(docs: DataFrame, length: int = 400, keep_first: bool = True
     large = contents.where(F.col("contents") > group).select("anchor")
     small = found.join(large, "anchor", "left_anti")
     dealt = small.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "version", "first")
-    ranges = dealt.mapInArrow(_factors(length, keep_first), _PLACE)
+    ranges = dealt.mapInArrow(_factors(length, words, keep_first), _PLACE)
 
     single = found.join(large, "anchor", "left_semi").mapInArrow(
-        _single_windows(length), "window long, doc_id long, version long, first long"
+        _single_windows(length, words), f"window long, {_PLACE}"
     )
     place = F.struct("doc_id", "version", "first")
     counted = single.groupBy("window").agg(F.count("*").alias("n"), F.min(place).alias("least"))
     many = single.join(counted.where("n > 1"), "window")
     if keep_first:
         many = many.where(~place.eqNullSafe(F.col("least")))
-    windows = many.select("doc_id", "version", "first", F.col("first").alias("last"))
+    windows = many.select("doc_id", "version", "first", "last")
     return whole.select("doc_id", "version", "first", "last").union(ranges).union(windows)
 
 
-def with_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, group: int = 4096) -> DataFrame:
-    """The rows of `docs` with a column `repeats`: windows found in any text of the same doc_id, or null."""
+def with_repeats(
+    docs: DataFrame, length: int = 400, keep_first: bool = True, group: int = 4096, words: int | None = None
+) -> DataFrame:
+    """The rows of `docs` with a column `repeats`: windows found in any text of the same doc_id, or null.
+
+    With `words`, windows of so many words are found besides those of `length` bytes.
+    """
     found = repeated_windows(docs, length, keep_first, group)
+    if words:
+        passages = repeated_windows(docs, length, keep_first, group, words)
+        # Ranges end `length` bytes after `last`.
+        found = found.union(passages.withColumn("last", F.col("last") - length))
     listed = found.groupBy("doc_id").agg(
         F.collect_list(F.struct("version", "first", "last")).alias("repeats")
     )
@@ -407,14 +469,17 @@ def _whole_characters(chunk: arrays.Chunk, spans: list[tuple[int, int]]) -> list
     return trimmed
 
 
-def without_repeats(docs: DataFrame, length: int = 400, group: int = 4096) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = 400, group: int = 4096, words: int | None = None
+) -> DataFrame:
     """`docs` with later copies taken out of the texts; the first copy, and every row, stays.
 
-    A byte goes if it lies in a string of `length` bytes that also starts earlier, by doc_id and place.
+    A byte goes if it lies in a string of `length` bytes that also starts earlier, by doc_id and place,
+    or, with `words`, in a passage of so many words that does.
     At both ends whole characters stay. Null texts stay null; a text that is one later copy becomes
     empty. A column n_chars, if there is one, is brought up to date.
     """
-    found = with_repeats(docs, length, True, group)
+    found = with_repeats(docs, length, True, group, words)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

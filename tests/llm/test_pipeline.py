@@ -11,7 +11,8 @@ from delayfold.llm.tables import stored
 from oracle import connect, differences
 from llm.test_chat_topk_packing import check_packing
 from llm.test_ngram_join import brute_force
-from llm.test_repeats import by_id, covered
+from llm.conftest import frame, words
+from llm.test_repeats import SHORT, by_id, covered, passages_covered
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -58,6 +59,24 @@ def test_later_copies_go(stages):
         assert (after[i].encode() == text) == (not any(flag))
 
 
+def test_later_passages_go(stages):
+    """As test_later_copies_go, which knows strings of 400 bytes only."""
+    before, after = texts(stages[3]), texts(stages[4])
+    rows = by_id((i, t.encode()) for i, t in before.items())
+    raw = [t for _, t in rows]
+    for (i, text), one, two in zip(rows, covered(raw, 400, True), passages_covered(raw, 51)):
+        gone = sum(a | b for a, b in zip(one, two))
+        assert 0 <= len(after[i].encode()) - (len(text) - gone) <= 6 * gone
+        assert (after[i].encode() == text) == (not gone)
+
+
+def test_a_planted_passage_of_51_words_goes(spark):
+    rows = [(i, f"{words(200 + i, 80)} {SHORT}\n{words(300 + i, 80)}") for i in range(3)]
+    after = texts(corpus_pipeline.repeated_passages(spark, frame(spark, rows), SMALL))
+    assert [SHORT in after[i] for i in range(3)] == [True, False, False]
+    assert all(after[i] == dict(rows)[i].replace(SHORT, "" if i else SHORT) for i in range(3))
+
+
 def test_everything_left_is_packed(stages):
     lengths = {i: len(t.encode()) + 1 for i, t in texts(stages[4]).items()}
     check_packing(stages[5].collect(), lengths)

@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import pytest
@@ -70,3 +71,45 @@ def test_candidates_that_do_not_match(spark):
     rows = [(i, f"{words(20 + i, 60)} {common} {words(40 + i, 60)}") for i in range(4)]
     got = op.repeat_digests(op.with_repeats(frame(spark, rows), 400, False)).collect()
     assert [r.n_removed for r in got] == [0] * 4
+
+
+def passages_covered(texts, n_words):
+    """Per text, a flag for each byte in a run of words, with all between them, that came before."""
+    seen, flags = set(), []
+    for text in texts:
+        flag = bytearray(len(text))
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        for (start, _), (_, end) in zip(at, at[n_words - 1 :]):
+            if text[start:end] in seen:
+                flag[start:end] = b"\1" * (end - start)
+            seen.add(text[start:end])
+        flags.append(flag)
+    return flags
+
+
+SHORT = " ".join(words(60, 200).split()[:51])  # 51 words in far less than 400 bytes
+TINY = " ".join("abcdefghij"[i * i % 10] for i in range(51))  # 101 bytes, the least there can be
+
+
+@pytest.mark.parametrize("group", [4096, 1])
+def test_passages_of_51_words_go(spark, group):
+    """Short ones too, whatever is around them; one of 50 words stays."""
+    assert len(SHORT) < 300
+    fifty = " ".join(words(61, 50).split())
+    rows = [(i, t) for i, t in ROWS if i is not None]
+    rows += [(20 + i, f"{words(70 + i, 40)} {SHORT}\n{words(90 + i, 40)}") for i in range(4)]
+    rows += [(30 + i, f"{words(110 + i, 9)} {TINY} {words(120 + i, 9)} {fifty} {words(130 + i, 9)}") for i in range(3)]
+    rows += [(40, f"{SHORT} {TINY}"), (41, SHORT), (42, f"{SHORT[1:]} x"), (43, SHORT.replace(" ", "  ", 1))]
+    cleaned = {}
+    for r in op.without_repeats(frame(spark, rows), 400, group, 51).collect():
+        cleaned.setdefault(r.doc_id, []).append((r.text or "").encode())
+    ordered = by_id((i, (t or "").encode()) for i, t in rows)
+    texts = [t for _, t in ordered]
+    by_bytes, by_words = covered(texts, 400, True), passages_covered(texts, 51)
+    for (i, text), one, two in zip(ordered, by_bytes, by_words):
+        kept = bytes(b for b, f, g in zip(text, one, two) if not (f or g))
+        if text.isascii() and i != 13:  # 13 is there twice
+            assert cleaned[i] == [kept]
+    assert SHORT.encode() in cleaned[20][0] and TINY.encode() in cleaned[30][0]
+    assert all(SHORT.encode() not in cleaned[20 + i][0] for i in (1, 2, 3))
+    assert all(TINY.encode() not in cleaned[30 + i][0] and fifty.encode() in cleaned[30 + i][0] for i in (1, 2))
