@@ -168,15 +168,18 @@ def train_trees(
     bins: int = 64,
     penalty: float = 1.0,
     least_weight: float = 1.0,
+    weight: np.ndarray | None = None,
 ) -> Trees:
     """Newton boosting of the logistic loss on histograms.
 
     signs[f] = -1 or 1: the score may only fall or rise with feature f. A split that would break this is
     not taken, and below a taken one both sides stay on their side of the middle of the two values.
+    Rows count by `weight`, scaled to a mean of 1.
     """
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)])
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    share = np.clip(np.average(y, weights=weight), 1e-6, 1 - 1e-6)
     base = float(np.log(share / (1 - share)))
     margin = np.full(len(y), base)
     nodes: list[list] = []  # feature, threshold, left, right, value
@@ -219,7 +222,7 @@ def train_trees(
     trees = None
     for _ in range(n_trees):
         p = 1 / (1 + np.exp(-margin))
-        gradient, hessian = p - y, np.maximum(p * (1 - p), 1e-9)
+        gradient, hessian = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-9)
         roots.append(grow(np.arange(len(y)), 0, -np.inf, np.inf))
         columns = [np.array(c) for c in zip(*nodes)]
         trees = Trees(*columns, np.array(roots), depth, base)
@@ -249,18 +252,26 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id and label (0 or 1) of at most `most` documents, half of them with each label if there are
-    enough, chosen by a hash of doc_id. Of contradicting rows the smaller label counts."""
+    """doc_id, label (0 or 1) and weight of at most `most` documents, half of them with each label if there
+    are enough, chosen by a hash of doc_id. Of contradicting rows the smaller label counts.
+
+    `weight` is the number of labelled documents that a row stands for, so that a rare label is not lost
+    and the models still see both in the ratio of the whole table, whatever its size.
+    """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min(label).cast("long").alias("label"))
     )
-    order = F.xxhash64("doc_id")
-    return (
-        known.where("label = 0").orderBy(order).limit(most // 2)
-        .union(known.where("label = 1").orderBy(order).limit(most // 2))
-    )
+    half = most // 2
+    totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+    def part(value: int) -> DataFrame:
+        weight = max(1.0, totals.get(value, 0) / max(1, half))
+        chosen = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id")).limit(half)
+        return chosen.withColumn("weight", F.lit(weight))
+
+    return part(0).union(part(1))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Trees | None:
@@ -275,7 +286,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Trees
     signs = np.array([-1 if f in FALLING else 0 for f in FEATURES])
     if found["label"].nunique() < 2:
         return None
-    return train_trees(features(found[COUNTS].to_numpy()), found["label"].to_numpy(np.float64), signs)
+    weight = found["weight"].to_numpy(np.float64)
+    return train_trees(
+        features(found[COUNTS].to_numpy()), found["label"].to_numpy(np.float64), signs, weight=weight
+    )
 
 
 def _verdicts(counts: np.ndarray, model: Trees | None, least: float) -> tuple[np.ndarray, ...]:

@@ -85,19 +85,21 @@ class Linear:
         return linear + earlier @ self.earlier + self.bias
 
 
-def _fit(owner: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarray, steps: int = 300) -> Linear:
-    """Logistic regression with an L2 penalty, by Adam over all rows."""
+def _fit(
+    owner: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300
+) -> Linear:
+    """Logistic regression with an L2 penalty, by Adam over all rows, each with its weight."""
     chosen = _telling(owner, feature, y)
     place = np.full(1 << _SPACE_BITS, -1)
     place[chosen] = np.arange(len(chosen))
     inside = place[feature] >= 0
     row, column = owner[inside], place[feature[inside]]
-    size, n = len(chosen), max(1, len(y))
+    size, n = len(chosen), max(1e-9, weight.sum())
     w = np.zeros(size + earlier.shape[1] + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         margin = np.bincount(row, w[:size][column], len(y)) + earlier @ w[size:-1] + w[-1]
-        off = (_sigmoid(margin) - y) / n
+        off = weight * (_sigmoid(margin) - y) / n
         gradient = np.concatenate([np.bincount(column, off[row], size), off @ earlier, [off.sum()]])
         gradient[:-1] += 1e-4 * w[:-1]
         first = 0.9 * first + 0.1 * gradient
@@ -133,11 +135,16 @@ def _rows_of(owner: np.ndarray, feature: np.ndarray, keep: np.ndarray) -> tuple[
 
 
 def train_chain(
-    owner: np.ndarray, feature: np.ndarray, labels: dict[str, np.ndarray], fold: np.ndarray
+    owner: np.ndarray,
+    feature: np.ndarray,
+    labels: dict[str, np.ndarray],
+    fold: np.ndarray,
+    weight: np.ndarray | None = None,
 ) -> Chain:
     """A chain over the categories in order of `labels`; the last one's threshold is the best by F1 on
-    probabilities out of fold."""
+    probabilities out of fold. Rows count by `weight`, in the models and in F1."""
     n = len(fold)
+    weight = np.ones(n) if weight is None else weight
     earlier, links = np.zeros((n, 0)), []
     outside = np.zeros(n)
     for y in labels.values():
@@ -145,12 +152,15 @@ def train_chain(
             held = fold == k
             if not held.any() or held.all():
                 continue
-            model = _fit(*_rows_of(owner, feature, ~held), earlier[~held], y[~held])
+            model = _fit(*_rows_of(owner, feature, ~held), earlier[~held], y[~held], weight[~held])
             outside[held] = _sigmoid(model.margin(*_rows_of(owner, feature, held), earlier[held]))
-        links.append(_fit(owner, feature, earlier, y))
+        links.append(_fit(owner, feature, earlier, y, weight))
         earlier = np.column_stack([earlier, outside])
     levels = np.linspace(0.2, 0.9, 36)
-    f1 = [2 * ((outside >= t) & (y > 0)).sum() / max(1, (outside >= t).sum() + y.sum()) for t in levels]
+    f1 = [
+        2 * weight[(outside >= t) & (y > 0)].sum() / max(1, weight[outside >= t].sum() + (weight * y).sum())
+        for t in levels
+    ]
     best = np.flatnonzero(np.array(f1) == max(f1))
     return Chain(list(labels), links, float(levels[best[len(best) // 2]]))
 
@@ -167,7 +177,8 @@ def _sampled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Chain | None:
-    """A chain from at most `most` labelled documents, half of each label; None if a label is missing.
+    """A chain from at most `most` labelled documents, half of each label but weighted by how many there
+    are of it; None if a label is missing.
 
     The sample's ids are broadcast; its hashed features come to the driver.
     """
@@ -194,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Chain
         "toxic": toxic,
     }
     fold = (arrays.mix(found["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(_FOLDS)).astype(np.int64)
-    return train_chain(owner, feature, degrees, fold)
+    return train_chain(owner, feature, degrees, fold, found["weight"].to_numpy(np.float64))
 
 
 def _judge(chunk: arrays.Chunk, chain: Chain | None, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delayfold.llm import language, quality, toxicity
-from llm.conftest import ROWS
+from llm.conftest import ROWS, frame, words
 
 
 def counts_of(text):
@@ -143,3 +143,27 @@ def test_models_are_the_same_each_time(request, table, labels):
     rows = request.getfixturevalue(table)
     first, second = (sorted(map(tuple, toxicity.scored(rows, labels).collect()), key=repr) for _ in range(2))
     assert first == second
+
+
+def rare(spark):
+    """300 documents of one text, 30 of them good and 30 toxic."""
+    docs = frame(spark, [(i, words(7, 80)) for i in range(300)])
+    labels = [(i, int(i % 10 == 0), int(i % 10 == 1)) for i in range(300)]
+    return docs, spark.createDataFrame(labels, "doc_id long, quality long, toxic long")
+
+
+def test_a_sample_stands_for_all_labels(spark):
+    labels = rare(spark)[1]
+    for most in (40, 1_000):
+        sample = quality.labelled_sample(labels, "toxic", most).toPandas()
+        assert len(sample) <= most and set(sample["label"]) == {0, 1}
+        assert sample.groupby("label")["weight"].sum().round(6).to_dict() == {0: 270, 1: 30}
+
+
+def test_models_do_not_depend_on_the_size_of_the_sample(spark):
+    """Nothing tells these documents apart, so their scores are the shares of the labels."""
+    docs, labels = rare(spark)
+    for most in (40, 1_000):
+        assert {round(r.score, 3) for r in quality.judged(docs, labels, most=most).collect()} == {0.1}
+        got = toxicity.scored(docs, labels, most=most).collect()
+        assert all(abs(r.p_toxic - 0.1) < 0.03 and not r.toxic for r in got)
