@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from delayfold.llm import ngram_join, packing, quality, repeats, toxicity
@@ -29,8 +30,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every document goes."""
-    return packing.packed(docs)
+    """Where every document's tokens go."""
+    return packing.packed_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from delayfold.llm import token_files
+
 CAPACITIES = (1024, 2048, 4096, 8192)
 
 
@@ -166,3 +168,8 @@ def packed(
         _pack(tuple(sorted(capacities)), cost, items),
         "doc_id long, piece long, start long, length long, pack long, bin long, bin_offset long, capacity long",
     )
+
+
+def packed_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """`packed` by the ids that `token_files` gives each text, the end included; a null text has none."""
+    return packed(token_files.token_counts(docs, vocabulary), F.col("n_tokens"))

@@ -79,7 +79,7 @@ def op6_byte_level_bpe(spark, sf_dir):
 
 
 def op7_best_fit_packing(spark, sf_dir):
-    return packing.packed(documents(spark, sf_dir))
+    return packing.packed_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_quality_rules(spark, sf_dir):

@@ -35,6 +35,7 @@ from delayfold.session import work_dir
 _MAGIC = b"WVLTMX01"
 _BLOCK = 1 << 19  # bits
 _BUCKETS = 4096
+_COUNTED_BYTES = 1 << 19  # of text, whose pieces are counted at a time
 
 
 # ---------------------------------------------------------------- one file
@@ -198,20 +199,24 @@ def _write_bytes(path: str, data: bytes) -> None:
 _encoders: dict[str, pieces.PieceTable] = {}
 
 
-def _encoder(vocabulary: str) -> pieces.PieceTable:
-    """One for each Python worker: reading a vocabulary takes longer than encoding a text."""
-    if vocabulary not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[np.ndarray]]:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    def encode(found: list[bytes]) -> list[np.ndarray]:
+        batch = tokenizer.encode_batch_fast([p.decode() for p in found], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in batch]
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    return encode
 
-        def encode(found: list[bytes]) -> list[np.ndarray]:
-            batch = tokenizer.encode_batch_fast([p.decode() for p in found], add_special_tokens=False)
-            return [np.array(e.ids, np.uint32) for e in batch]
 
-        _encoders[vocabulary] = pieces.PieceTable(encode, np.uint32)
+def _encoder(vocabulary: str) -> pieces.PieceTable:
+    """One for each Python worker: reading a vocabulary takes longer than encoding a text."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = pieces.PieceTable(_piece_encoder(vocabulary), np.uint32)
     return _encoders[vocabulary]
 
 
@@ -241,6 +246,25 @@ def _encode(vocabulary: str, end_id: int, bounds: np.ndarray):
     return run
 
 
+def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id and n_tokens of every row: the ids of its whole text and one end; null for a null text.
+
+    The table of pieces holds a number for each and goes with its task, as workers live on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _piece_encoder(vocabulary)
+        table = pieces.PieceTable(lambda found: [np.array([len(e)]) for e in encode(found)], np.uint32, 500_000)
+        for chunk in arrays.text_chunks(batches, limit=_COUNTED_BYTES):
+            cut = pieces.piece_bounds(chunk.data, chunk.offsets)
+            at = pieces.text_counts(chunk.offsets, cut, table.lookup(chunk.data, cut)[0])
+            n = pa.array(np.diff(at) + 1, pa.int64(), mask=chunk.null)
+            yield pa.record_batch([chunk.column("doc_id"), n], ["doc_id", "n_tokens"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def _write(folder: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/{uuid.uuid4().hex}"

@@ -1,10 +1,13 @@
 import math
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from delayfold.llm import chat, packing, topk
+from delayfold.llm import chat, packing, token_files, topk
+from delayfold.llm.queries import QUERIES
 from llm.conftest import ROWS
 
 TURNS = [
@@ -121,3 +124,24 @@ def test_packing_is_best_fit_and_takes_the_cheapest_plan():
         shrunk = [packing._shrunk(c, packing.CAPACITIES, packing.training_cost) for c in other]
         assert cost <= sum(map(packing.training_cost, shrunk)) + 1e-6
     assert packing.best_plan([]) == ([], [], [])
+
+
+def test_tokens_of_whole_texts_are_packed(spark, docs):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    english = (" the people of the house and the time of the year" * 200).strip()
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(50, english)], "doc_id long, text string"))
+    manifest = token_files.write_tokens(more.where("text is not null"), vocabulary, end_id=2)
+    lengths = Counter({i: 0 for i, _ in ROWS})
+    for r in token_files.read_tokens(manifest, token_files.checksum, "ids_crc32 long").collect():
+        lengths[r.doc_id] += r.n_tokens
+    rows = packing.packed_tokens(more, vocabulary).collect()
+    check_packing(rows, lengths)
+    assert len(english) > max(packing.CAPACITIES) and sum(r.doc_id == 50 for r in rows) == 1
+
+
+def test_the_query_packs_tokens(spark):
+    folder = "/root/testdata/sf0.001"
+    n_tokens = {r.doc_id: r.n_tokens for r in QUERIES["op3_token_files"](spark, folder).collect()}
+    empty = {r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").where("text is null").collect()}
+    rows = QUERIES["op7_best_fit_packing"](spark, folder).collect()
+    check_packing(rows, {i: 0 if i in empty else n for i, n in n_tokens.items()})
