@@ -14,13 +14,16 @@ from delayfold.llm import (
     byte_bpe,
     chat,
     language,
+    negatives,
     ngram_join,
     packing,
     quality,
     repeats,
+    resampling,
     token_files,
     topk,
     toxicity,
+    word_bpe,
 )
 from delayfold.llm.tables import documents, stored
 
@@ -101,6 +104,22 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scored(documents(spark, sf_dir), labels)
 
 
+def op11_hard_negative_mining(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+    return mined.drop("anchor_row")
+
+
+def op12_word_bpe(spark, sf_dir):
+    return word_bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resampled(documents(spark, sf_dir), target)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -114,6 +133,9 @@ QUERIES: dict[str, Query] = {
         op8_quality_rules,
         op9_suffix_array_dedup,
         op10_toxicity,
+        op11_hard_negative_mining,
+        op12_word_bpe,
+        op13_importance_resampling,
     )
 }
 
@@ -174,9 +196,76 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
          AS rank, vec_id, score
 FROM scores QUALIFY rank <= 10"""
 
+_OP11 = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+         CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER)
+         AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+# The checksum's table follows from its polynomial; each distinct word is hashed once.
+_OP13 = r"""WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+texts AS (
+  SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+cut AS (
+  SELECT side, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+words AS (SELECT side, doc_id, unnest(w) AS word FROM cut),
+bytes AS (
+  SELECT word, [CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)
+                FOR i IN range(octet_length(encode(word)))] AS b
+  FROM (SELECT DISTINCT word FROM words)),
+buckets AS (
+  SELECT word, xor(list_reduce(b, lambda c, x: xor(t[1 + (xor(c, x) & 255)], c >> 8), 4294967295),
+                   4294967295) % 10000 AS bucket
+  FROM bytes, crc),
+counts AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+  FROM words JOIN buckets USING (word) GROUP BY bucket),
+sums AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT)
+    AS gain
+  FROM counts, sums),
+weights AS (
+  SELECT doc_id, sum(gain) AS weight FROM words JOIN buckets USING (word) JOIN gains USING (bucket)
+  WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT)
+           AS score
+  FROM cut LEFT JOIN weights USING (doc_id) WHERE side = 'd'),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)"""
+
 # The rest have no SQL form, or one that is too slow on whole tables; see tests/llm.
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": _OP1,
     "op2_chat_formatting": _OP2,
     "op5_exact_topk": _OP5,
+    "op11_hard_negative_mining": _OP11,
+    "op13_importance_resampling": _OP13,
 }
