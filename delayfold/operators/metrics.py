@@ -10,6 +10,7 @@ from delayfold.functions import clock
 from delayfold.operators.decode import effective
 from delayfold.operators.lifecycle import as_of, lifecycle
 from delayfold.operators.ordered import Ordered, Slicing, split
+from delayfold.operators.running import running_sum
 
 
 def event_counts(commands: DataFrame) -> DataFrame:
@@ -53,6 +54,20 @@ def state_size(commands: DataFrame, as_of_ms: int, gate_ms: int = 0, **replay) -
     )
 
 
+def active_over_time(history: DataFrame, per_range: int = 1_000_000) -> DataFrame:
+    """How many schedules wait after each ms in which that number may change: at_ms, change, active.
+
+    `history` is that of `lifecycle`. An update counts from the time it was seen to the time it was closed;
+    what opens and closes in one ms leaves a row with a change of 0 there.
+    """
+    steps = F.array(
+        F.struct(F.col("seen_ms").alias("at_ms"), F.lit(1).cast("bigint").alias("change")),
+        F.struct(F.col("closed_ms").alias("at_ms"), F.lit(-1).cast("bigint").alias("change")),
+    )
+    changes = history.select(F.explode(steps).alias("_step")).select("_step.*")
+    return running_sum(changes, "at_ms", "change", "active", per_range)
+
+
 def lookup_hits(
     commands: DataFrame,
     as_of_ms: int,

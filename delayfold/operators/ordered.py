@@ -44,7 +44,7 @@ def position() -> Column:
     return F.struct(*POSITION)
 
 
-def _passed(cuts: str, at: Column) -> Column:
+def passed(cuts: str, at: Column) -> Column:
     """How many of the sorted `cuts` are at or before `at`, found by halving steps."""
     steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda bit: F.pow(2, bit).cast("int"))
     return F.aggregate(
@@ -146,7 +146,7 @@ def split(commands: DataFrame, rows: int | None = None, slicing: Slicing = Slici
     hot = (
         named.join(F.broadcast(hot_ids), ID, "left_semi")
         .join(F.broadcast(lane_cuts), [ID, *LANE], "left")
-        .withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(_passed("_cuts", F.col("offset"))))
+        .withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(passed("_cuts", F.col("offset"))))
         .drop("_cuts")
     )
     parts = hot.groupBy(ID, *LANE, "_part").agg(F.max("arrival_ms").alias("_most"))
@@ -161,7 +161,7 @@ def split(commands: DataFrame, rows: int | None = None, slicing: Slicing = Slici
         .drop("_part", "_before")
         .join(F.broadcast(cuts), ID)
         .withColumn("_at", position())
-        .withColumn("_slice", _passed("_cuts", F.col("_at")))
+        .withColumn("_slice", passed("_cuts", F.col("_at")))
         .drop("_cuts", "_at")
     )
     return [Ordered(cold.withColumn("_slice", F.lit(0)), False), Ordered(seen, True)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -10,7 +11,7 @@ from delayfold.functions import clock
 from delayfold.model import LANE, POSITION, RAW_LOG
 from delayfold.operators.decode import decode_avro, decode_json, effective, envelope, is_report
 from delayfold.operators.lifecycle import as_of
-from delayfold.operators.ordered import ID
+from delayfold.operators.ordered import ID, Ordered, Slicing, split
 
 
 def _first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -83,6 +84,54 @@ def lookup(pending: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(hits, ID, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+# Sorts after every topic, so that a point comes after the commands of its ms.
+_POINTS = chr(0x10FFFF)
+
+
+def pending_at_points(
+    commands: DataFrame,
+    points: DataFrame,
+    gate_ms: int = 0,
+    rows: int | None = None,
+    slicing: Slicing = Slicing(),
+) -> DataFrame:
+    """What waited under an ID at a time, for many such points: the points' schedule_id and at_ms, `found`,
+    and the schedule's columns, null where nothing waited.
+
+    An as-of join without a pair of ranges: points are put between the commands of their ID, in one order,
+    and take over the last command before them. So it costs one shuffle of both tables by ID, and the IDs
+    with many commands or points are cut into slices like those of a replay (operators/ordered). Commands
+    count at their `seen_ms`, those of the point's own ms included. Each point gives one row, repeated
+    points too; points without an ID or a time find nothing.
+    """
+    kept = (*LANE, "offset", "arrival_ms", "due_ms", "target_topic", "out_key", "out_value", "out_headers")
+    asked = points.select(ID, F.col("at_ms").cast("bigint").alias("at_ms"))
+    is_whole = F.col(ID).isNotNull() & F.col("at_ms").isNotNull()
+    log = effective(commands).select(ID, "command", *kept, F.lit(None).cast("bigint").alias("at_ms"))
+    as_rows = asked.where(is_whole).select(
+        ID,
+        F.lit(None).cast("string").alias("command"),
+        F.lit(_POINTS).alias("source_topic"),
+        F.lit(0).alias("partition"),
+        F.col("at_ms").alias("offset"),  # a lane of its own, in order of time
+        F.col("at_ms").alias("arrival_ms"),
+        *[F.lit(None).cast(log.schema[n].dataType).alias(n) for n in kept[4:]],
+        "at_ms",
+    )
+    found = []
+    for part in split(log.unionByName(as_rows), rows, slicing):
+        fire_ms = clock.fire_ms(F.col("seen_ms"), F.col("due_ms"), gate_ms)
+        command = F.when(F.col("command").isNotNull(), F.struct("command", *kept, fire_ms.alias("fire_ms")))
+        ordered = Ordered(part.rows, part.cut).add_last_before("_last", command).done()
+        found.append(ordered.where(F.col("at_ms").isNotNull()).select(ID, "at_ms", "_last"))
+    last = reduce(DataFrame.unionByName, found)
+    waits = (F.col("_last.command") == "update") & (F.col("_last.fire_ms") > F.col("at_ms"))
+    nothing = asked.where(~is_whole).withColumn("_last", F.lit(None).cast(last.schema["_last"].dataType))
+    shown = last.withColumn("_last", F.when(waits, F.col("_last"))).unionByName(nothing)
+    columns = [F.col(f"_last.{n}").alias(n) for n in (*kept, "fire_ms")]
+    return shown.select(ID, "at_ms", F.col("_last").isNotNull().alias("found"), *columns)
+
+
 def compact_per_topic(commands: DataFrame, now_ms: int, retention_ms: int = 3_600_000) -> DataFrame:
     """What the broker's log compaction leaves: the record with the highest offset per topic, partition
     and ID, without the deletes that are older than the retention time. Records without a key stay."""

@@ -12,6 +12,7 @@ from delayfold.session import prepare
 AS_OF_MS = 1_706_000_000_000
 LATE_MS = 7_200_000
 GATE_MS = 1_704_672_000_000
+FAR_MS = 100 * 365 * 86_400_000
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
@@ -161,3 +162,9 @@ def command_log(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataF
         }
     )
     return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in COMMANDS])
+
+
+def waiting_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command log as a stream; due times after AS_OF_MS are a hundred years later."""
+    far = F.when(F.col("due_ms") > AS_OF_MS, FAR_MS).otherwise(0)
+    return command_log(spark, sf_dir, stream=True).withColumn("due_ms", F.col("due_ms") + far)

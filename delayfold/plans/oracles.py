@@ -155,6 +155,30 @@ UNION ALL
 SELECT {_ENVELOPE}, due_ms, fire_ms, 1, {_TOMBSTONE} FROM life WHERE outcome = 'fired'"""
 
 
+def _at_points(source: str) -> str:
+    """The last command of each ID and ms, joined to the points by time."""
+    user = "CASE WHEN at_ms % 3 = 0 THEN 'hot' ELSE supplier END" if source == "hot" else "supplier"
+    return f"""WITH {_CMD}, {_hot() if source == "hot" else ""} timed AS (
+  SELECT *, {_SEEN} FROM {source} WHERE NOT (command = 'delete' AND is_expired)),
+last AS (
+  SELECT *, greatest(seen_ms, due_ms) AS fire_ms FROM timed
+  QUALIFY row_number() OVER (PARTITION BY schedule_id, seen_ms
+    ORDER BY source_topic DESC, partition DESC, "offset" DESC) = 1),
+spread AS (
+  SELECT 'u' || l_suppkey AS supplier,
+         1704067200000 + (l_orderkey * 1000003 + l_linenumber * 7919) % 2678400000 AS at_ms
+  FROM lineitem),
+points AS (SELECT {user} AS schedule_id, at_ms FROM spread),
+joined AS (
+  SELECT p.schedule_id, p.at_ms, coalesce(c.command = 'update' AND c.fire_ms > p.at_ms, false) AS found,
+         c."offset", c.due_ms, c.fire_ms, c.out_key
+  FROM points p ASOF LEFT JOIN last c ON p.schedule_id = c.schedule_id AND p.at_ms >= c.seen_ms)
+SELECT schedule_id, at_ms, found, CASE WHEN found THEN "offset" END AS "offset",
+       CASE WHEN found THEN due_ms END AS due_ms, CASE WHEN found THEN fire_ms END AS fire_ms,
+       CASE WHEN found THEN out_key END AS out_key
+FROM joined"""
+
+
 _UPDATES = "WHERE command = 'update'"
 _JSON = """'{"time":' || due_ms || ',"topic":"' || target_topic
   || '","key":"' || to_base64(CAST('k' || "offset" AS BLOB))
@@ -294,6 +318,14 @@ SELECT count(*) FILTER (outcome = 'pending') AS active,
        count(*) FILTER (outcome = 'completed') AS completed,
        count(*) FILTER (outcome = 'fired') AS fired
 FROM life""",
+    "active_over_time": f"""WITH {_history()}, changes AS (
+  SELECT seen_ms AS at_ms, 1 AS change FROM life
+  UNION ALL SELECT closed_ms, -1 FROM life WHERE closed_ms IS NOT NULL)
+SELECT at_ms, CAST(sum(change) AS BIGINT) AS change,
+       CAST(sum(sum(change)) OVER (ORDER BY at_ms) AS BIGINT) AS active
+FROM changes GROUP BY at_ms""",
+    "pending_at_points": _at_points("cmd"),
+    "pending_at_points_hot": _at_points("hot"),
     "lookup_hits": f"""WITH {_CMD}, timed AS (SELECT *, arrival_ms AS seen_ms FROM cmd), asked AS (
   SELECT *, lag(command) OVER w AS last_command,
          greatest(lag(arrival_ms) OVER w, lag(due_ms) OVER w) AS last_fire_ms
@@ -340,5 +372,11 @@ SELECT target_topic, count(*) AS messages, count(*) FILTER (lag <= 100) AS withi
        max(lag) AS max_ms, CAST(sum(lag) AS BIGINT) AS total_ms
 FROM late GROUP BY target_topic""",
     "stream_fire_equals_batch": _outbox(f"WITH {_history(as_of=None)}"),
+    "stream_state_pending": f"""WITH {_PENDING}
+SELECT {_ENVELOPE}, {_SCHEDULE}, fire_ms, fire_ms AS timer_ms FROM pending""",
+    "stream_state_lookup": f"""WITH {_PENDING}
+SELECT 'u' || c_custkey AS schedule_id, p.schedule_id IS NOT NULL AS found,
+       due_ms, target_topic, out_key
+FROM customer LEFT JOIN pending p ON p.schedule_id = 'u' || c_custkey""",
     "stream_fire_gated": _outbox(f"WITH {_history(GATE_MS, as_of=None)}"),
 }

@@ -16,15 +16,18 @@ from delayfold.operators import decode, encode, lifecycle as life, metrics, publ
 from delayfold.operators.ordered import Slicing
 from delayfold.plans.fixtures import (
     AS_OF_MS,
+    FAR_MS,
     GATE_MS,
     avro_log,
     command_log,
     events,
     json_log,
     late_timestamps,
+    waiting_log,
 )
 from delayfold.session import remove, work_dir
 from delayfold.sources import logs
+from delayfold.streaming import inspect
 from delayfold.streaming.run import drain, read_outbox, start_outbox, state_partitions
 from delayfold.streaming.timers import fire_stream
 
@@ -361,6 +364,39 @@ def state_size_complete(spark, sf_dir):
     )
 
 
+def active_over_time(spark, sf_dir):
+    """The number of waiting schedules after each change of it, over all of the log's time."""
+    history = life.lifecycle(command_log(spark, sf_dir), AS_OF_MS)
+    return metrics.active_over_time(history, per_range=1_000)
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    """An ID and a time for each line item, spread over the users and the time of the log."""
+    spread = (F.col("l_orderkey") * 1_000_003 + F.col("l_linenumber") * 7_919) % 2_678_400_000
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.concat(F.lit("u"), F.col("l_suppkey")).alias("schedule_id"),
+        (spread + 1_704_067_200_000).alias("at_ms"),
+    )
+
+
+def pending_at_points(spark, sf_dir):
+    """What waited under an ID at a time, asked once for each line item."""
+    found = state.pending_at_points(command_log(spark, sf_dir), _points(spark, sf_dir))
+    return found.select("schedule_id", "at_ms", "found", "offset", "due_ms", "fire_ms", _hex("out_key"))
+
+
+def pending_at_points_hot(spark, sf_dir):
+    """The same with a third of the commands and of the points under one ID, which is cut into slices."""
+    log = command_log(spark, sf_dir).withColumn(
+        "schedule_id", F.when(F.col("offset") % 3 == 0, "hot").otherwise(F.col("schedule_id"))
+    )
+    points = _points(spark, sf_dir).withColumn(
+        "schedule_id", F.when(F.col("at_ms") % 3 == 0, "hot").otherwise(F.col("schedule_id"))
+    )
+    found = state.pending_at_points(log, points, slicing=FINE)
+    return found.select("schedule_id", "at_ms", "found", "offset", "due_ms", "fire_ms", _hex("out_key"))
+
+
 def lookup_hits(spark, sf_dir):
     return metrics.lookup_hits(command_log(spark, sf_dir), AS_OF_MS)
 
@@ -418,6 +454,33 @@ def stream_fire_gated(spark, sf_dir):
     return _fired_by_stream(spark, sf_dir, GATE_MS)
 
 
+def _checkpoint(spark, sf_dir) -> str:
+    """Runs the firing query over the log up to a time and returns its checkpoint. What was not due then is
+    put far off, so that it still waits; the rest has fired."""
+    folder = work_dir(spark, "state")
+    commands = life.as_of(waiting_log(spark, sf_dir), AS_OF_MS)
+    with state_partitions(spark, 8):
+        drain(start_outbox(fire_stream(commands), f"{folder}/outbox", f"{folder}/checkpoint"))
+    return f"{folder}/checkpoint"
+
+
+def stream_state_pending(spark, sf_dir):
+    """Pending schedules and their timers as the stream's own state holds them."""
+    kept = inspect.pending_in_stream(spark, _checkpoint(spark, sf_dir))
+    shifted = kept.withColumns({n: F.col(n) - FAR_MS for n in ("due_ms", "fire_ms", "timer_ms")})
+    return shifted.select(*_ENVELOPE, *_schedule(), "fire_ms", "timer_ms")
+
+
+def stream_state_lookup(spark, sf_dir):
+    """Every customer number is looked up in the stream's state."""
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.concat(F.lit("u"), F.col("c_custkey")).alias("schedule_id")
+    )
+    found = inspect.lookup_in_stream(spark, _checkpoint(spark, sf_dir), ids)
+    due = (F.col("due_ms") - FAR_MS).alias("due_ms")
+    return found.select("schedule_id", "found", due, "target_topic", _hex("out_key"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -458,6 +521,9 @@ QUERIES: dict[str, Query] = {
         event_counts,
         state_size_metrics,
         state_size_complete,
+        active_over_time,
+        pending_at_points,
+        pending_at_points_hot,
         lookup_hits,
         command_audit,
         error_rows,
@@ -465,5 +531,7 @@ QUERIES: dict[str, Query] = {
         delivery_lag,
         stream_fire_equals_batch,
         stream_fire_gated,
+        stream_state_pending,
+        stream_state_lookup,
     )
 }

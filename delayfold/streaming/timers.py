@@ -19,6 +19,7 @@ from delayfold.streaming.resolve import (
 
 _KEPT = ("schedule_id", *LANE, "offset", "arrival_ms", *PAYLOAD, "seen_ms", "fire_ms")
 
+PENDING_STATE = "pending"
 PENDING = T.StructType([f for f in RESOLVED if f.name in _KEPT])
 
 FIRED = T.StructType([*PENDING, T.StructField("fired_ms", T.LongType())])
@@ -38,7 +39,7 @@ class PendingSchedules(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", PENDING)
+        self.pending = handle.getValueState(PENDING_STATE, PENDING)
 
     def _fired(self, schedule: Row, now: int) -> Row:
         return Row(**{n: schedule[n] for n in PENDING.fieldNames()}, fired_ms=now)
