@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from delayfold.functions import clock
 from delayfold.operators.decode import effective
@@ -104,19 +104,23 @@ def fired(history: DataFrame, after_ms: int | None = None, until_ms: int | None
     return rows
 
 
-def transitions(commands: DataFrame, history: DataFrame) -> DataFrame:
-    """Queue audit: one row per step of a schedule, and one per cancel, with its log line.
+# Of a step: whose it is, when, which, and its log line.
+_PLACE = (ID, "source_topic", "partition", "offset")
+STEPS = (*_PLACE, "target_topic", "due_ms", "step", "at_ms", "line")
 
-    `commands` is the log that `history` was made of, as of the same time. Every effective delete and
-    error cancels its ID and says so, also where nothing was waiting. Fixed values: the lines.
-    """
-    named = F.concat(F.lit("["), F.col(ID), F.lit("]"))
-    place = (ID, "source_topic", "partition", "offset")
-    steps = F.array(
+
+def _named() -> Column:
+    return F.concat(F.lit("["), F.col(ID), F.lit("]"))
+
+
+def update_steps(updates: DataFrame, scheduled: bool = True, closed: bool = True) -> DataFrame:
+    """One row for each step of an update: that it was scheduled, and what became of it, unless it waits
+    (no `closed_ms`). Fixed values: the lines."""
+    steps = [
         F.struct(
             F.lit("scheduled").alias("step"),
             F.col("seen_ms").alias("at_ms"),
-            F.concat(F.lit("Scheduled "), named).alias("line"),
+            F.concat(F.lit("Scheduled "), _named()).alias("line"),
         ),
         F.struct(
             F.col("outcome").alias("step"),
@@ -124,25 +128,38 @@ def transitions(commands: DataFrame, history: DataFrame) -> DataFrame:
             F.when(
                 F.col("outcome") == "fired",
                 F.concat(
-                    F.lit("Scheduled "), named, F.lit(" to "), F.col("target_topic"),
+                    F.lit("Scheduled "), _named(), F.lit(" to "), F.col("target_topic"),
                     F.lit(" due at "), F.col("due_ms"),
                 ),
             ).alias("line"),
         ),
+    ]
+    wanted = [s for s, on in zip(steps, (scheduled, closed)) if on]
+    return (
+        updates.withColumn("_step", F.explode(F.array(*wanted)))
+        .where(F.col("_step.at_ms").isNotNull())
+        .select(*_PLACE, "target_topic", "due_ms", "_step.*")
+        .select(*STEPS)
     )
-    of_updates = (
-        history.withColumn("_step", F.explode(steps))
-        .where(F.col("_step.step") != "pending")
-        .select(*place, "target_topic", "due_ms", "_step.*")
-    )
+
+
+def cancel_steps(commands: DataFrame) -> DataFrame:
+    """One row for each effective delete and error that has an ID: it cancels and says so, also where
+    nothing was waiting. Fixed values: the lines."""
     cancels = effective(commands).where(F.col("command") != "update").where(F.col(ID).isNotNull())
-    return of_updates.unionByName(
-        cancels.select(
-            *place,
-            F.lit(None).cast("string").alias("target_topic"),
-            F.lit(None).cast("bigint").alias("due_ms"),
-            F.lit("cancel").alias("step"),
-            F.col("arrival_ms").alias("at_ms"),
-            F.concat(F.lit("Canceled Schedule "), named).alias("line"),
-        )
+    return cancels.select(
+        *_PLACE,
+        F.lit(None).cast("string").alias("target_topic"),
+        F.lit(None).cast("bigint").alias("due_ms"),
+        F.lit("cancel").alias("step"),
+        F.col("arrival_ms").alias("at_ms"),
+        F.concat(F.lit("Canceled Schedule "), _named()).alias("line"),
     )
+
+
+def transitions(commands: DataFrame, history: DataFrame) -> DataFrame:
+    """Queue audit: one row per step of a schedule, and one per cancel, with its log line.
+
+    `commands` is the log that `history` was made of, as of the same time.
+    """
+    return update_steps(history).unionByName(cancel_steps(commands))

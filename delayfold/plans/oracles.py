@@ -155,6 +155,46 @@ UNION ALL
 SELECT {_ENVELOPE}, due_ms, fire_ms, 1, {_TOMBSTONE} FROM life WHERE outcome = 'fired'"""
 
 
+_PLACE = 'schedule_id, source_topic, partition, "offset"'
+
+_COUNTS = """SELECT command AS message_type, source_topic AS message_source,
+       CASE WHEN command = 'delete' THEN CASE WHEN is_expired THEN 'expired'
+            ELSE 'canceled' END END AS delete_type,
+       error_class AS error_type, error_cause, count(*) AS events
+FROM cmd GROUP BY ALL"""
+
+
+def _audit() -> str:
+    return f"""SELECT {_ENVELOPE}, CASE WHEN command = 'error' THEN 'error' ELSE 'info' END AS level,
+       CASE command
+         WHEN 'update' THEN 'Decoded UPDATE for [' || schedule_id || '] from ' || source_topic
+         WHEN 'delete' THEN 'Decoded DELETE type=['
+           || CASE WHEN is_expired THEN 'expired' ELSE 'canceled' END
+           || '] for [' || schedule_id || '] from ' || source_topic
+         ELSE 'Error decoding [' || schedule_id || '] from ' || source_topic END AS line,
+       error_message
+FROM cmd"""
+
+
+def _steps(as_of: int | None = None) -> str:
+    """Steps of the schedules in `life`, and the cancels up to a time."""
+    until = "" if as_of is None else f"arrival_ms <= {as_of} AND"
+    return f"""SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms,
+       'scheduled' AS step, arrival_ms AS at_ms, 'Scheduled [' || schedule_id || ']' AS line
+FROM life
+UNION ALL
+SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms, outcome, closed_ms,
+       CASE WHEN outcome = 'fired'
+              THEN 'Scheduled [' || schedule_id || '] to ' || target_topic || ' due at ' || due_ms
+            END
+FROM life WHERE outcome <> 'pending'
+UNION ALL
+SELECT schedule_id, source_topic, partition, "offset", NULL, NULL, 'cancel', arrival_ms,
+       'Canceled Schedule [' || schedule_id || ']'
+FROM cmd WHERE {until} command <> 'update'
+  AND NOT (command = 'delete' AND is_expired)"""
+
+
 def _at_points(source: str) -> str:
     """The last command of each ID and ms, joined to the points by time."""
     user = "CASE WHEN at_ms % 3 = 0 THEN 'hot' ELSE supplier END" if source == "hot" else "supplier"
@@ -296,12 +336,7 @@ FROM ranked WHERE rank <= 25""",
     ORDER BY "offset" DESC) AS rank FROM ev)
 SELECT source_topic AS topic, partition, "offset", rank, schedule_id AS key
 FROM ranked WHERE rank <= 10""",
-    "event_counts": f"""WITH {_CMD}
-SELECT command AS message_type, source_topic AS message_source,
-       CASE WHEN command = 'delete' THEN CASE WHEN is_expired THEN 'expired'
-            ELSE 'canceled' END END AS delete_type,
-       error_class AS error_type, error_cause, count(*) AS events
-FROM cmd GROUP BY ALL""",
+    "event_counts": f"WITH {_CMD} {_COUNTS}",
     "state_size_metrics": f"""WITH {_history()}
 SELECT count(*) FILTER (outcome = 'pending') AS active,
        count(*) FILTER (outcome = 'superseded') AS superseded,
@@ -336,34 +371,11 @@ SELECT command, count(*) AS lookups,
        count(*) - count(*) FILTER (last_command = 'update' AND last_fire_ms >= arrival_ms)
          AS misses
 FROM asked GROUP BY command""",
-    "command_audit": f"""WITH {_CMD}
-SELECT {_ENVELOPE}, CASE WHEN command = 'error' THEN 'error' ELSE 'info' END AS level,
-       CASE command
-         WHEN 'update' THEN 'Decoded UPDATE for [' || schedule_id || '] from ' || source_topic
-         WHEN 'delete' THEN 'Decoded DELETE type=['
-           || CASE WHEN is_expired THEN 'expired' ELSE 'canceled' END
-           || '] for [' || schedule_id || '] from ' || source_topic
-         ELSE 'Error decoding [' || schedule_id || '] from ' || source_topic END AS line,
-       error_message
-FROM cmd""",
+    "command_audit": f"WITH {_CMD} {_audit()}",
     "error_rows": f"""WITH {_CMD}
 SELECT {_ENVELOPE}, error_class, error_cause, error_message, error_cause_message, error_paths
 FROM cmd WHERE command = 'error'""",
-    "transition_audit": f"""WITH {_history()}
-SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms,
-       'scheduled' AS step, arrival_ms AS at_ms, 'Scheduled [' || schedule_id || ']' AS line
-FROM life
-UNION ALL
-SELECT schedule_id, source_topic, partition, "offset", target_topic, due_ms, outcome, closed_ms,
-       CASE WHEN outcome = 'fired'
-              THEN 'Scheduled [' || schedule_id || '] to ' || target_topic || ' due at ' || due_ms
-            END
-FROM life WHERE outcome <> 'pending'
-UNION ALL
-SELECT schedule_id, source_topic, partition, "offset", NULL, NULL, 'cancel', arrival_ms,
-       'Canceled Schedule [' || schedule_id || ']'
-FROM cmd WHERE arrival_ms <= {AS_OF_MS} AND command <> 'update'
-  AND NOT (command = 'delete' AND is_expired)""",
+    "transition_audit": f"WITH {_history()} {_steps(AS_OF_MS)}",
     "delivery_lag": f"""WITH {_history(GATE_MS)}, late AS (
   SELECT target_topic, fire_ms - greatest(due_ms, arrival_ms) AS lag
   FROM life WHERE outcome = 'fired')
@@ -372,6 +384,18 @@ SELECT target_topic, count(*) AS messages, count(*) FILTER (lag <= 100) AS withi
        max(lag) AS max_ms, CAST(sum(lag) AS BIGINT) AS total_ms
 FROM late GROUP BY target_topic""",
     "stream_fire_equals_batch": _outbox(f"WITH {_history(as_of=None)}"),
+    "stream_tables": f"""WITH {_history(as_of=None)}
+SELECT 'outbox' AS name, {_PLACE}, fire_ms AS at_ms, target_topic AS what, out_key AS line
+FROM life WHERE outcome = 'fired'
+UNION ALL
+SELECT 'outbox', {_PLACE}, fire_ms, source_topic, hex(schedule_id) FROM life WHERE outcome = 'fired'
+UNION ALL
+SELECT 'errors', {_PLACE}, arrival_ms, error_class, error_message FROM cmd WHERE command = 'error'
+UNION ALL
+SELECT 'commands', {_PLACE}, arrival_ms, level, line FROM ({_audit()})
+UNION ALL
+SELECT 'steps', {_PLACE}, at_ms, step, line FROM ({_steps()})""",
+    "stream_event_counts": f"WITH {_CMD} {_COUNTS}",
     "stream_state_pending": f"""WITH {_PENDING}
 SELECT {_ENVELOPE}, {_SCHEDULE}, fire_ms, fire_ms AS timer_ms FROM pending""",
     "stream_state_lookup": f"""WITH {_PENDING}

@@ -6,6 +6,7 @@ Binary and map columns are shown as hex text and counts, so that results compare
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,7 +28,7 @@ from delayfold.plans.fixtures import (
 )
 from delayfold.session import remove, work_dir
 from delayfold.sources import logs
-from delayfold.streaming import inspect
+from delayfold.streaming import audit, inspect
 from delayfold.streaming.run import drain, read_outbox, start_outbox, state_partitions
 from delayfold.streaming.timers import fire_stream
 
@@ -481,6 +482,40 @@ def stream_state_lookup(spark, sf_dir):
     return found.select("schedule_id", "found", due, "target_topic", _hex("out_key"))
 
 
+def _told(spark, sf_dir) -> str:
+    """Runs the telling query over all of the log; the folder of its tables."""
+    folder = work_dir(spark, "told")
+    with state_partitions(spark, 8):
+        told = audit.told_stream(command_log(spark, sf_dir, stream=True))
+        drain(audit.start_tables(told, f"{folder}/tables", f"{folder}/checkpoint"))
+    remove(spark, f"{folder}/checkpoint")
+    return f"{folder}/tables"
+
+
+def stream_tables(spark, sf_dir):
+    """Outgoing records, errors, command lines and steps of schedules, all from one run of the stream."""
+    place = ("schedule_id", "source_topic", "partition", "offset")
+    folder = _told(spark, sf_dir)
+
+    def rows(name: str, at: str, what: str, line: Column) -> DataFrame:
+        table = audit.read_told(spark, folder, name)
+        told = (F.col(at).alias("at_ms"), F.col(what).alias("what"), line.alias("line"))
+        return table.select(F.lit(name).alias("name"), *place, *told)
+
+    parts = [
+        rows("outbox", "fire_ms", "topic", F.hex("key")),
+        rows("errors", "arrival_ms", "class", F.col("message")),
+        rows("commands", "arrival_ms", "level", F.col("line")),
+        rows("steps", "at_ms", "step", F.col("line")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stream_event_counts(spark, sf_dir):
+    """Counts of the commands by type, source and kind, kept batch by batch."""
+    return audit.read_told(spark, _told(spark, sf_dir), "counts")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -533,5 +568,7 @@ QUERIES: dict[str, Query] = {
         stream_fire_gated,
         stream_state_pending,
         stream_state_lookup,
+        stream_tables,
+        stream_event_counts,
     )
 }

@@ -15,9 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from delayfold.model import COMMANDS, HEADERS, LANE, MAX_DELAY_MS
+from delayfold.model import COMMANDS, ERROR, HEADERS, LANE, MAX_DELAY_MS
 from delayfold.operators.decode import effective
 
 STATE_LANE = 0
@@ -42,6 +42,23 @@ RESOLVED = T.StructType(
 )
 
 
+READ = "read"
+
+# The same for a query that also tells what it read and did. closed_by: on the state lane, the command
+# that closes what was stored. told: on other lanes, READ for a command as it was read, or the command that
+# closed a schedule within the micro-batch; null for a fired one.
+TOLD = T.StructType(
+    RESOLVED.fields
+    + [
+        T.StructField("is_expired", T.BooleanType()),
+        T.StructField("error", ERROR),
+        T.StructField("closed_by", T.StringType()),
+        T.StructField("told", T.StringType()),
+        T.StructField("closed_ms", T.LongType()),
+    ]
+)
+
+
 def stateful(schedules: DataFrame) -> DataFrame:
     """Schedules with their headers as a list."""
     return schedules.withColumn("out_headers", F.map_entries("out_headers").cast(HEADERS))
@@ -52,7 +69,7 @@ def _numbers(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
     new = np.zeros(table.num_rows, bool)
     for name in names:
         column = table.column(name)
-        same = pc.equal(column.slice(0, len(column) - 1), column.slice(1))
+        same = pc.equal(column.slice(0, max(len(column) - 1, 0)), column.slice(1))
         new[1:] |= ~np.asarray(same.to_numpy(zero_copy_only=False), bool)
     return np.cumsum(new)
 
@@ -64,12 +81,26 @@ def _running_max(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     return distinct[np.maximum.accumulate(group * size + rank) - group * size]
 
 
-def _settle(batches: Iterator[pa.RecordBatch], lanes: int, held: bool) -> Iterator[pa.RecordBatch]:
-    """One task's share of a micro-batch; all commands of an ID are in it. If `held`, nothing fires."""
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     received = [b for b in batches if b.num_rows]
-    if not received:
+    return pa.Table.from_batches(received) if received else None
+
+
+def _settle(
+    batches: Iterator[pa.RecordBatch], lanes: int, held: bool, layout: T.StructType = RESOLVED
+) -> Iterator[pa.RecordBatch]:
+    """One task's share of a micro-batch; all commands of an ID are in it. If `held`, nothing fires. With
+    the layout TOLD, every command and every schedule that is closed is told too."""
+    table = _whole(batches)
+    if table is None:
         return
-    table = pa.Table.from_batches(received)
+    telling = layout is TOLD
+    aside = None
+    if telling:  # reports and rows without an ID take no part
+        report = pc.and_(pc.equal(table.column("command"), "delete"), table.column("is_expired"))
+        takes_part = pc.and_(pc.invert(report), pc.is_valid(table.column("schedule_id")))
+        takes_part = pc.fill_null(takes_part, False)
+        aside, table = table.filter(pc.invert(takes_part)), table.filter(takes_part)
     table = table.sort_by([(n, "ascending") for n in ("schedule_id", *LANE, "offset")]).combine_chunks()
     owner = _numbers(table, ("schedule_id",))
     seen = _running_max(table.column("arrival_ms").to_numpy(), _numbers(table, ("schedule_id", *LANE)))
@@ -78,58 +109,97 @@ def _settle(batches: Iterator[pa.RecordBatch], lanes: int, held: bool) -> Iterat
 
     first = np.ones(len(owner), bool)
     first[1:] = owner[1:] != owner[:-1]
-    last = np.append(first[1:], True)
+    last = np.append(first[1:], True)[: len(owner)]
     is_update = np.asarray(pc.equal(table.column("command"), "update").to_numpy(zero_copy_only=False), bool)
     due = pc.fill_null(table.column("due_ms"), 0).to_numpy()
     fire = np.maximum(seen, np.minimum(due, seen + MAX_DELAY_MS))
     now = table.column("now_ms").to_numpy()
+    next_seen = np.append(seen[1:], 0)[: len(seen)]
     # A producer's clock may be ahead: what is not due by the clock here has not fired.
-    fires = is_update & ~last & (fire < np.append(seen[1:], 0)) & (fire <= now) & (not held)
+    fires = is_update & ~last & (fire < next_seen) & (fire <= now) & (not held)
     table = table.append_column("seen_ms", pa.array(seen))
     table = table.append_column("fire_ms", pa.array(fire, mask=~is_update))
 
-    def part(mask: np.ndarray, lane: np.ndarray, command: str | None) -> pa.Table:
-        rows = table.filter(pa.array(mask))
+    def shaped(rows: pa.Table, command: str | None, lane: np.ndarray, **more: pa.Array) -> pa.Table:
         if command == CLOSER:
             for name in (*PAYLOAD, "fire_ms"):
                 at = rows.schema.get_field_index(name)
                 rows = rows.set_column(
                     at, rows.schema.field(at), pa.nulls(len(rows), rows.schema.field(at).type)
                 )
+        commands = rows.column("command")
         if command is not None:
             at = rows.schema.get_field_index("command")
             rows = rows.set_column(at, "command", pa.array([command] * len(rows), pa.string()))
-        ids = rows.column("schedule_id")
-        if command == "fired":
-            ids = pa.array([""] * len(rows), pa.string())
+        on_state = command in (None, CLOSER)
+        ids = rows.column("schedule_id") if on_state else pa.array([""] * len(rows), pa.string())
         rows = rows.append_column("state_id", ids)
-        return rows.append_column("lane", pa.array(lane[mask], pa.int32()))
+        rows = rows.append_column("lane", pa.array(lane, pa.int32()))
+        if telling:
+            more = {"closed_by": commands if on_state else None, "told": None, "closed_ms": None} | more
+            types = {"closed_by": pa.string(), "told": pa.string(), "closed_ms": pa.int64()}
+            for name, values in more.items():
+                if values is None:
+                    values = pa.nulls(len(rows), types[name])
+                if name in rows.column_names:
+                    rows = rows.set_column(rows.schema.get_field_index(name), name, values)
+                else:
+                    rows = rows.append_column(name, values)
+        return rows
+
+    def part(mask: np.ndarray, lane: np.ndarray, command: str | None, **more: pa.Array) -> pa.Table:
+        return shaped(table.filter(pa.array(mask)), command, lane[mask], **more)
 
     state = np.full(len(owner), STATE_LANE)
     apart = 1 + np.arange(len(owner)) % lanes
-    for piece in (
+    pieces = [
         part(last, state, None),
         part(first & ~last, state, CLOSER),
         part(fires, apart, "fired"),
-    ):
-        piece = piece.select(RESOLVED.fieldNames())
+    ]
+    if telling:
+        closed = is_update & ~last & ~fires
+        by = table.column("command").take(pa.array(np.flatnonzero(closed) + 1))
+        pieces.append(part(closed, apart, "closed", told=by, closed_ms=pa.array(next_seen[closed])))
+        for rows in (table, aside):
+            if rows is aside:
+                nothing = pa.nulls(len(rows), pa.int64())
+                rows = rows.append_column("seen_ms", nothing).append_column("fire_ms", nothing)
+            kind = rows.column("command")
+            told = shaped(rows, READ, 1 + np.arange(len(rows)) % lanes, told=pa.array([READ] * len(rows), pa.string()))
+            pieces.append(told.set_column(told.schema.get_field_index("command"), "command", kind))
+    for piece in pieces:
+        piece = piece.select(layout.fieldNames())
         schema = pa.schema([f.with_nullable(True) for f in piece.schema])
         yield from pa.Table.from_arrays(piece.columns, schema=schema).to_batches()
 
 
+def _together(commands: DataFrame, columns: tuple[str, ...], by: Column) -> tuple[DataFrame, int]:
+    """Rows that one task shall see together, and the number of lanes."""
+    lanes = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Fixed for a micro-batch.
+    now = F.unix_millis(F.current_timestamp())
+    return stateful(commands).withColumn("now_ms", now).select(*columns, "now_ms").repartition(by), lanes
+
+
 def resolve_within_batch(commands: DataFrame, held: bool = False) -> DataFrame:
     """Micro-batch commands reduced to what the keyed state needs; see `RESOLVED`."""
-    lanes = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = (
-        stateful(effective(commands))
-        .where(F.col("schedule_id").isNotNull())
-        # Fixed for a micro-batch.
-        .withColumn("now_ms", F.unix_millis(F.current_timestamp()))
-        .select(*_FROM_COMMAND, "now_ms")
-        .repartition("schedule_id")
-    )
+    named = effective(commands).where(F.col("schedule_id").isNotNull())
+    together, lanes = _together(named, _FROM_COMMAND, F.col("schedule_id"))
 
     def settle(batches):
         return _settle(batches, lanes, held)
 
     return together.mapInArrow(settle, RESOLVED)
+
+
+def resolve_and_tell(commands: DataFrame, held: bool = False) -> DataFrame:
+    """The same, with every command and every closed schedule on lanes of their own; see `TOLD`."""
+    nameless = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*LANE, "offset"), F.lit(1024)))
+    columns = (*_FROM_COMMAND, "is_expired", "error")
+    together, lanes = _together(commands, columns, F.coalesce("schedule_id", nameless))
+
+    def settle(batches):
+        return _settle(batches, lanes, held, TOLD)
+
+    return together.mapInArrow(settle, TOLD)

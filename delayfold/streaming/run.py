@@ -34,7 +34,7 @@ def state_partitions(spark: SparkSession, partitions: int):
         spark.conf.set(name, before)
 
 
-def _trigger(every: str, until_now: bool) -> dict:
+def trigger(every: str, until_now: bool) -> dict:
     return {"availableNow": True} if until_now else {"processingTime": every}
 
 
@@ -53,7 +53,7 @@ def start_outbox(
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(every, until_now))
+        .trigger(**trigger(every, until_now))
         .start()
     )
 
@@ -74,7 +74,7 @@ def start_kafka(
         .writeStream.format("kafka")
         .options(**sink_options(settings.producer, **(client or {})))
         .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(every, until_now))
+        .trigger(**trigger(every, until_now))
         .start()
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -44,6 +44,14 @@ class PendingSchedules(StatefulProcessor):
     def _fired(self, schedule: Row, now: int) -> Row:
         return Row(**{n: schedule[n] for n in PENDING.fieldNames()}, fired_ms=now)
 
+    def _closed(self, schedule: Row, by: Row) -> Iterable[Row]:
+        """Rows for a schedule that the next command of its ID closes."""
+        return ()
+
+    def _passes(self, row: Row, now: int) -> Row:
+        """What becomes of a row on a lane of its own."""
+        return self._fired(row, now)
+
     def _load(self) -> Row | None:
         value = self.pending.get()
         return None if value is None else Row(*PENDING.fieldNames())(*value)
@@ -59,7 +67,7 @@ class PendingSchedules(StatefulProcessor):
         now = timerValues.getCurrentProcessingTimeInMs()
         if key[1] != STATE_LANE:
             for row in rows:
-                yield self._fired(row, now)
+                yield self._passes(row, now)
             return
         # At most two rows: the last command of the micro-batch, and a first one that closes.
         first = last = None
@@ -70,9 +78,11 @@ class PendingSchedules(StatefulProcessor):
                 last = row
         stored = self._load()
         if stored is not None:
-            closed_ms = (first or last)["seen_ms"]
-            if not self.held and stored["fire_ms"] < closed_ms and stored["fire_ms"] <= now:
+            closer = first or last
+            if not self.held and stored["fire_ms"] < closer["seen_ms"] and stored["fire_ms"] <= now:
                 yield self._fired(stored, now)
+            else:
+                yield from self._closed(stored, closer)
             self.handle.deleteTimer(stored["fire_ms"])
         if last["command"] == "update":
             self._arm(last)
@@ -93,15 +103,10 @@ class PendingSchedules(StatefulProcessor):
         pass
 
 
-def fire_stream(
-    commands: DataFrame, waiting: DataFrame | None = None, held: bool = False
+def keyed(
+    resolved: DataFrame, processor: PendingSchedules, output: T.StructType, waiting: DataFrame | None
 ) -> DataFrame:
-    """Stream of commands to stream of fired schedules.
-
-    waiting: schedules that wait when the stream starts (`state.waiting_at_gate` over the log up to
-    that point). They are loaded before the first batch, so nothing fires ahead of a command that
-    was already in the log. held: nothing fires at all; for catching up after a stop (`run.resume`).
-    """
+    """Runs the processor over resolved rows, by ID and lane, from the schedules that wait at the start."""
     initial = None
     if waiting is not None:
         initial = (
@@ -110,8 +115,19 @@ def fire_stream(
             .withColumn("lane", F.lit(STATE_LANE))
             .groupBy("state_id", "lane")
         )
-    resolved = resolve_within_batch(commands, held)
-    fired = resolved.groupBy("state_id", "lane").transformWithState(
-        PendingSchedules(held), FIRED, "append", "processingTime", initial
+    return resolved.groupBy("state_id", "lane").transformWithState(
+        processor, output, "append", "processingTime", initial
     )
+
+
+def fire_stream(
+    commands: DataFrame, waiting: DataFrame | None = None, held: bool = False
+) -> DataFrame:
+    """Stream of commands to stream of fired schedules.
+
+    waiting: schedules that wait when the stream starts (`state.waiting_at_gate` over the log up to
+    that point). They are loaded before the first batch, so nothing fires ahead of a command that
+    was already in the log. held: nothing fires at all; for catching up after a stop (`run.resume`).
+    """
+    fired = keyed(resolve_within_batch(commands, held), PendingSchedules(held), FIRED, waiting)
     return fired.withColumn("out_headers", F.map_from_entries("out_headers"))
