@@ -2,7 +2,7 @@
 
 A window without partitions would sort everything in a single task. Here the range of the ordering value
 is cut at a bounded number of points; tasks sum up within their range and the sums of the ranges before
-are added. Cuts are plain values, so a range is a function of the row: a task that runs again, after an
+are added. The ordering value is a number. Cuts are plain values, so a range is a function of the row: a task that runs again, after an
 executor is lost, gets the same rows.
 """
 
@@ -28,16 +28,19 @@ def running_sum(table: DataFrame, at: str, value: str, name: str, per_range: int
     ranges = min(_RANGES, -(-sums.count() // per_range))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = sums.agg(F.percentile_approx(at, shares, 10 * ranges)).first()[0] if shares else []
-    cut = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast(f"array<{dict(sums.dtypes)[at]}>")
+    # One literal, however many cuts.
+    text = ",".join(map(str, sorted(set(cuts or []))))
+    cut = (F.split(F.lit(text), ",") if text else F.array()).cast(f"array<{dict(sums.dtypes)[at]}>")
     placed = sums.withColumn("_cuts", cut).withColumn("_range", passed("_cuts", F.col(at))).drop("_cuts")
-    # One row for each range.
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = placed.groupBy("_range").agg(F.sum(value).alias("_sum")).select(
-        "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried")
-    )
+    carried, total = [], 0
+    for row in placed.groupBy("_range").agg(F.sum(value).alias("_sum")).orderBy("_range").collect():
+        carried.append((row["_range"], total))  # one row for each range
+        total += row["_sum"] or 0
+    kind = dict(placed.agg(F.sum(value).alias("_sum")).dtypes)["_sum"]
+    before = sums.sparkSession.createDataFrame(carried, f"_range int, _carried {kind}")
     here = Window.partitionBy("_range").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     return (
         placed.withColumn("_inside", F.sum(value).over(here))
-        .join(F.broadcast(carried), "_range")
+        .join(F.broadcast(before), "_range")
         .select(at, value, (F.col("_inside") + F.col("_carried")).alias(name))
     )
