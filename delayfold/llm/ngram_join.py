@@ -191,11 +191,14 @@ def _describe(rule: Similarity):
     return run
 
 
+_SIGNED_BYTES = 1 << 19  # of text; its marks take many times as much
+
+
 def _sign(rule: Similarity):
     """One row for each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in arrays.text_chunks(batches):
+        for chunk in arrays.text_chunks(batches, limit=_SIGNED_BYTES):
             signed = _signatures(*_word_sets(chunk, rule.size), rule)
             docs = chunk.column("doc_id").take(pa.array(signed.owners))
             yield pa.record_batch([_long(signed.marks), docs], ["mark", "doc_id"])
@@ -568,11 +571,29 @@ def _links_of_large_families(
 
 
 def deduplicated(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
-    """`docs` with the smallest doc_id of each component; documents without links stay.
+    """`docs` with one document of each component, that of the smallest doc_id; documents without links stay.
 
-    Of repeated rows of that doc_id one stays. Rows without doc_id stay as they are.
+    Rows that share a doc_id but not their text are documents of their own, of which none stands for others
+    if one with a doc_id to itself can; of rows that repeat both, one stays. Rows without doc_id stay.
     """
-    found = similar_documents(docs, rule)
-    linked = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "linked")
-    named = docs.where("doc_id is not null").join(linked, "doc_id", "left_anti").select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    counted = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = stored(counted.select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        found = similar_documents(named, rule)
+        linked = stored(found.where("component_id != doc_id").select("doc_id").distinct(), "linked")
+        return named.join(linked, "doc_id", "left_anti").select(*docs.columns).union(nameless)
+    shares = F.col("r.doc_id").isNotNull()
+    # Such a document goes by a hash of both, beyond the usual ids.
+    own = F.xxhash64("d.doc_id", "d.text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    marked = named.alias("d").join(repeated.alias("r"), F.col("d.doc_id") == F.col("r.doc_id"), "left")
+    keyed = marked.select(
+        F.when(shares, own).otherwise(F.col("d.doc_id")).alias("key"),
+        shares.alias("shares"),
+        F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"),
+    )
+    once = keyed.where("not shares").union(keyed.where("shares").dropDuplicates(["key"]))
+    found = similar_documents(once.select(F.col("key").alias("doc_id"), "row.text"), rule)
+    linked = stored(found.where("component_id != doc_id").select(F.col("doc_id").alias("key")).distinct(), "linked")
+    kept = once.join(linked, "key", "left_anti").select("row.*")
+    return kept.union(nameless)

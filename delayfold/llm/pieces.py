@@ -10,6 +10,7 @@ looks up the rest. The lookup holds a bounded number of pieces; which ones chang
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -72,6 +73,29 @@ def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(byte_of[start[:n]], len(data))
 
 
+def special_spans(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...]) -> list[tuple[int, int]]:
+    """Where one of the strings lies within a text; of those at one place the longest counts."""
+    raw = data.tobytes()
+    if not any(s in raw for s in special):
+        return []
+    pattern = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True))))
+    spans = [m.span() for m in pattern.finditer(raw)]
+    text = np.searchsorted(offsets, [s for s, _ in spans], side="right")
+    return [(a, b) for (a, b), t in zip(spans, text) if b <= offsets[t]]
+
+
+def bounds_around(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...]) -> np.ndarray:
+    """`piece_bounds`, with each of the special strings as one piece that ends the text before it."""
+    spans = special_spans(data, offsets, special)
+    if not spans:
+        return piece_bounds(data, offsets)
+    edges = np.array(spans)
+    cut = piece_bounds(data, np.unique(np.concatenate([offsets, edges.ravel()])))
+    at = np.searchsorted(edges[:, 0], cut, side="left") - 1  # the last string that starts before
+    inside = (at >= 0) & (cut < edges[at, 1])
+    return cut[~inside]
+
+
 class PieceTable:
     """Distinct pieces seen so far: hash to a range of `values`. Sorted runs, merged when alike in size."""
 

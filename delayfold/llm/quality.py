@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from delayfold.llm import arrays
+from delayfold.llm.tables import text_flag
 
 MAX_LABELLED = 20_000
 
@@ -324,9 +325,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, most:
     """The rows of `docs` that `judged` keeps, with all their columns; nothing is shuffled."""
     model = train(docs, labels, most)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in arrays.text_chunks(batches):
-            kept = _verdicts(text_counts(chunk), model, least)[2]
-            yield chunk.rows.filter(pa.array(kept))
+    def keep(chunk: arrays.Chunk) -> np.ndarray:
+        return _verdicts(text_counts(chunk), model, least)[2]
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(text_flag(keep))

@@ -375,27 +375,33 @@ def with_repeats(
 
     With `words`, windows of so many words are found besides those of `length` bytes.
     """
-    found = repeated_windows(docs, length, keep_first, group)
+    found = repeated_windows(docs, length, keep_first, group).withColumn("passage", F.lit(False))
     if words:
         passages = repeated_windows(docs, length, keep_first, group, words)
         # Ranges end `length` bytes after `last`.
-        found = found.union(passages.withColumn("last", F.col("last") - length))
+        ends = passages.withColumn("last", F.col("last") - length)
+        found = found.union(ends.withColumn("passage", F.lit(True)))
     listed = found.groupBy("doc_id").agg(
-        F.collect_list(F.struct("version", "first", "last")).alias("repeats")
+        F.collect_list(F.struct("version", "first", "last", "passage")).alias("repeats")
     )
     names = [F.col(f"d.`{c}`") for c in docs.columns]
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id"))
     return docs.alias("d").join(listed.alias("r"), same, "left").select(*names, "r.repeats")
 
 
-def _spans(chunk: arrays.Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal ranges covered by the windows listed for each text: text number, start, end."""
+def _spans(
+    chunk: arrays.Chunk, length: int, passages: bool | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal ranges covered by the windows listed for each text: text number, start, end. Windows of
+    words only, of bytes only, or of both (None)."""
     listed = chunk.column("repeats")
     counts = np.diff(np.asarray(listed.offsets))
     counts[np.asarray(listed.is_null())] = 0
     row = np.repeat(np.arange(len(chunk)), counts)
     items = listed.flatten()
     mine = np.asarray(items.field("version")) == _version(chunk, arrays.RangeHash(chunk.data))[row]
+    if passages is not None:
+        mine &= items.field("passage").to_numpy(zero_copy_only=False).astype(bool) == passages
     row = row[mine]
     start = (np.asarray(items.field("first"))[mine] + chunk.offsets[row]).astype(np.int64)
     end = (np.asarray(items.field("last"))[mine] + chunk.offsets[row] + length).astype(np.int64)
@@ -419,26 +425,37 @@ def _kept(data: bytes, spans: list[tuple[int, int]], low: int, high: int) -> byt
     return b"".join(parts)
 
 
-def _by_text(chunk: arrays.Chunk, length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    row, start, end = _spans(chunk, length)
+def _by_text(
+    chunk: arrays.Chunk, length: int, passages: bool | None = None
+) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    row, start, end = _spans(chunk, length, passages)
     bounds = np.searchsorted(row, np.arange(len(chunk) + 1))
     for i in range(len(chunk)):
         part = slice(bounds[i], bounds[i + 1])
         yield i, list(zip(start[part].tolist(), end[part].tolist()))
 
 
+_DIGESTS = {
+    "doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string",
+    "n_passages": "long", "n_passage_bytes": "long",
+}
+
+
 def repeat_digests(found: DataFrame, length: int = 400) -> DataFrame:
-    """Sizes and the hash of what is left, for rows of `with_repeats`."""
+    """For rows of `with_repeats`: sizes and the hash of what is left when the repeated strings of `length`
+    bytes are out, and, where passages of words were asked for, how many bytes they cover in how many runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in arrays.text_chunks(batches):
             raw, bounds = chunk.data.tobytes(), chunk.offsets.tolist()
             removed, n_spans, hashes = [], [], []
-            for i, spans in _by_text(chunk, length):
+            for i, spans in _by_text(chunk, length, False):
                 removed.append(sum(end - start for start, end in spans))
                 n_spans.append(len(spans))
                 kept = _kept(raw, spans, bounds[i], bounds[i + 1])
                 hashes.append(hashlib.sha256(kept).hexdigest())
+            row, start, end = _spans(chunk, length, True)
+            covered = np.bincount(row, end - start, len(chunk)).astype(np.int64)
             yield pa.record_batch(
                 [
                     chunk.column("doc_id"),
@@ -446,13 +463,14 @@ def repeat_digests(found: DataFrame, length: int = 400) -> DataFrame:
                     pa.array(removed, pa.int64()),
                     pa.array(n_spans, pa.int64()),
                     pa.array(hashes, pa.string()),
+                    pa.array(np.bincount(row, minlength=len(chunk)).astype(np.int64)),
+                    pa.array(covered),
                 ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [*_DIGESTS],
             )
 
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "repeats").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    texts = found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "repeats")
+    return texts.mapInArrow(run, ", ".join(f"{n} {kind}" for n, kind in _DIGESTS.items()))
 
 
 def _whole_characters(chunk: arrays.Chunk, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

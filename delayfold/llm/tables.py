@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from delayfold.llm import arrays
 from delayfold.session import work_dir
 
 
@@ -68,3 +69,41 @@ def each_group(
         starts = run_starts(rows, keys)
         for start, end in zip(starts, np.append(starts[1:], rows.num_rows)):
             yield rows.slice(start, end - start)
+
+
+def text_flag(judge: Callable[[arrays.Chunk], np.ndarray], column: str = "text") -> Column:
+    """A condition on a text column. Only the texts travel to Python and only flags come back; the other
+    columns of the rows stay where they are."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = pa.record_batch([texts], ["text"])
+            flags = [np.asarray(judge(chunk), bool) for chunk in arrays.text_chunks(iter([rows]))]
+            yield pa.array(np.concatenate([*flags, np.zeros(0, bool)]))
+
+    # The hints say how it is called; they are set here as the module's hints are text.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "boolean")(F.col(column))
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows, written once, with `rank` from 0 in an order that leaves no ties.
+
+    They are dealt by ranges of that order, so a row's rank is its place in its range after the sizes of
+    the ranges before: one number for each range is all that is brought together.
+    """
+    spark = rows.sparkSession
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.monotonically_increasing_id()  # number of the range, then place in it
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = stored(
+        dealt.withColumn("range", F.shiftright(place, 33)).withColumn("place", place.bitwiseAND((1 << 33) - 1)),
+        "ranked",
+    )
+    before, done = [], 0
+    for r in placed.groupBy("range").count().orderBy("range").collect():
+        before.append((r["range"], done))
+        done += r["count"]
+    offsets = spark.createDataFrame(before or [(0, 0)], "range long, before long")
+    with_rank = placed.join(F.broadcast(offsets), "range").withColumn("rank", F.col("before") + F.col("place"))
+    return with_rank.drop("range", "place", "before")

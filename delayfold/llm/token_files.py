@@ -16,6 +16,7 @@ writes its share as one file after the other. The manifest names the files of su
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import uuid
@@ -35,7 +36,6 @@ from delayfold.session import work_dir
 _MAGIC = b"WVLTMX01"
 _BLOCK = 1 << 19  # bits
 _BUCKETS = 4096
-_COUNTED_BYTES = 1 << 19  # of text, whose pieces are counted at a time
 
 
 # ---------------------------------------------------------------- one file
@@ -199,12 +199,18 @@ def _write_bytes(path: str, data: bytes) -> None:
 _encoders: dict[str, pieces.PieceTable] = {}
 
 
+@functools.cache
+def _special(vocabulary: str) -> tuple[bytes, ...]:
+    """Strings that have an id of their own wherever they stand in a text."""
+    with open(vocabulary, encoding="utf-8") as f:
+        return tuple(t["content"].encode() for t in json.load(f)["added_tokens"])
+
+
 def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[np.ndarray]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def encode(found: list[bytes]) -> list[np.ndarray]:
         batch = tokenizer.encode_batch_fast([p.decode() for p in found], add_special_tokens=False)
@@ -220,11 +226,24 @@ def _encoder(vocabulary: str) -> pieces.PieceTable:
     return _encoders[vocabulary]
 
 
+_counters: dict[str, pieces.PieceTable] = {}
+
+
+def _counter(vocabulary: str) -> pieces.PieceTable:
+    """The same for numbers of ids: one small number for each piece."""
+    if vocabulary not in _counters:
+        encode = _piece_encoder(vocabulary)
+        _counters[vocabulary] = pieces.PieceTable(
+            lambda found: [np.array([len(e)]) for e in encode(found)], np.uint32, 500_000
+        )
+    return _counters[vocabulary]
+
+
 def _encode(vocabulary: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _encoder(vocabulary)
         for chunk in arrays.text_chunks(batches):
-            cut = pieces.piece_bounds(chunk.data, chunk.offsets)
+            cut = pieces.bounds_around(chunk.data, chunk.offsets, _special(vocabulary))
             ids, counts = table.lookup(chunk.data, cut)
             at = pieces.text_counts(chunk.offsets, cut, counts)
             ids = np.insert(ids, at[1:], end_id)
@@ -248,15 +267,12 @@ def _encode(vocabulary: str, end_id: int, bounds: np.ndarray):
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and n_tokens of every row: the ids of its whole text and one end; null for a null text.
-
-    The table of pieces holds a number for each and goes with its task, as workers live on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _piece_encoder(vocabulary)
-        table = pieces.PieceTable(lambda found: [np.array([len(e)]) for e in encode(found)], np.uint32, 500_000)
-        for chunk in arrays.text_chunks(batches, limit=_COUNTED_BYTES):
-            cut = pieces.piece_bounds(chunk.data, chunk.offsets)
+        table = _counter(vocabulary)
+        for chunk in arrays.text_chunks(batches):
+            cut = pieces.bounds_around(chunk.data, chunk.offsets, _special(vocabulary))
             at = pieces.text_counts(chunk.offsets, cut, table.lookup(chunk.data, cut)[0])
             n = pa.array(np.diff(at) + 1, pa.int64(), mask=chunk.null)
             yield pa.record_batch([chunk.column("doc_id"), n], ["doc_id", "n_tokens"])

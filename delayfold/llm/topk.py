@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from delayfold.llm.tables import stored
+
 _RATIO = 1.1
 _SEEDS = 2048
 _HIGH = 0.5  # local cosine threshold from which coordinates prune better than lengths
@@ -111,9 +113,9 @@ def _search(k: int):
         unit = matrix / np.maximum(lengths, 1e-300)[:, None]
         exact = _fits(lengths, query_lengths)
         found = []
-        for number, (query_id, query, length, to_beat) in enumerate(
-            zip(queries.column("vec_id").to_pylist(), asked, query_lengths, queries.column("to_beat").to_pylist())
-        ):
+        own, number = queries.column("vec_id").to_pylist(), queries.column("row").to_pylist()
+        to_beats = queries.column("to_beat").to_pylist()
+        for row, query_id, query, length, to_beat in zip(number, own, asked, query_lengths, to_beats):
             keep = ids != query_id
             if to_beat is not None and length > 0:
                 slack = 1e-9 * length * lengths.max(initial=0) + 1e-9
@@ -128,9 +130,9 @@ def _search(k: int):
             some = np.flatnonzero(keep)
             scores = _products(matrix[some], query, exact)
             top = _best(ids[some], scores, k)
-            found.append((np.full(len(top), query_id), ids[some][top], scores[top]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
+            found.append((np.full(len(top), row), np.full(len(top), query_id), ids[some][top], scores[top]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(("row", "query_id", "vec_id", "score"), columns)))
 
     return run
 
@@ -143,16 +145,18 @@ def top_products(
     `vectors` has vec_id and embedding; `is_query` is a condition on vec_id. A component x counts as
     floor(scale * x). Vectors that are null or hold a null or non-finite component take no part, nor do
     rows without vec_id. A shorter vector counts as ending in zeros. Ties go to the smaller vec_id; rows
-    with the query's vec_id are its own. Fewer than k rows are returned whole. Products beyond 64 bits
+    with the query's vec_id are its own; of several query rows with one vec_id each is asked for itself. Fewer than k rows are returned whole. Products beyond 64 bits
     count as the largest or smallest long.
     """
     spark = vectors.sparkSession
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(
+    packed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(
         _integers(scale), "vec_id long, length double, bucket long, vector binary"
     )
+    # A number for each row, the same for all that follows, as it is written once.
+    whole = stored(packed.withColumn("row", F.monotonically_increasing_id()), "vectors")
     seeds = whole.orderBy(F.desc("length"), "vec_id").limit(_SEEDS).toArrow()
     queries = whole.where(is_query).mapInArrow(
-        _first_scores(seeds, k), "vec_id long, length double, bucket long, vector binary, to_beat long"
+        _first_scores(seeds, k), "vec_id long, length double, bucket long, vector binary, row long, to_beat long"
     )
     # One row for each bucket: a few hundred at most, whatever the number of vectors.
     sizes = whole.groupBy("bucket").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
@@ -160,7 +164,7 @@ def top_products(
     n_queries = whole.where(is_query).count()
     query_blocks = F.lit(max(1, -(-n_queries // block))).cast("long")
 
-    hashed = F.xxhash64("vec_id", "vector")
+    hashed = F.xxhash64("row")
     every_query_block = F.explode(F.sequence(F.lit(0).cast("long"), query_blocks - 1))
     dealt = (
         whole.join(F.broadcast(buckets.select("bucket", "blocks")), "bucket")
@@ -179,20 +183,20 @@ def top_products(
     )
     visits = (
         queries.drop("bucket")
-        .withColumn("query_block", F.pmod(F.xxhash64("vec_id"), query_blocks))
+        .withColumn("query_block", F.pmod(F.xxhash64("row"), query_blocks))
         .withColumn("place", F.explode(table))
-        .select("query_block", "vec_id", "length", "vector", "to_beat", "place.*")
+        .select("query_block", "row", "vec_id", "length", "vector", "to_beat", "place.*")
         .where(reach)
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("bucket", "block", "query_block", "vec_id", "length", "vector", "to_beat")
+        .select("bucket", "block", "query_block", "row", "vec_id", "length", "vector", "to_beat")
     )
     keys = ["bucket", "block", "query_block"]
     local = (
         dealt.groupBy(*keys)
         .cogroup(visits.groupBy(*keys))
-        .applyInArrow(_search(k), "query_id long, vec_id long, score long")
+        .applyInArrow(_search(k), "row long, query_id long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (
         local.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

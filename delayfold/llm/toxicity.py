@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from delayfold.llm import arrays
 from delayfold.llm.quality import labelled_sample
+from delayfold.llm.tables import text_flag
 
 MAX_LABELLED = 12_000
 CATEGORIES = ["repeated", "dense", "toxic"]
@@ -241,10 +242,9 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Data
 def clean_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
     """The rows of `docs` that are not toxic, with all their columns; nothing is shuffled."""
     chain = train(docs, labels, most)
+    wanted = chain.wanted() if chain is not None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = chain.wanted() if chain is not None else None
-        for chunk in arrays.text_chunks(batches):
-            yield chunk.rows.filter(pa.array(~_judge(chunk, chain, wanted)[1]))
+    def clean(chunk: arrays.Chunk) -> np.ndarray:
+        return ~_judge(chunk, chain, wanted)[1]
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(text_flag(clean))

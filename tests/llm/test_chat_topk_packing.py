@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,20 @@ def test_top_products_equal_brute_force(spark, block):
     assert sorted(map(tuple, got)) == exact(rows, 10, 1024)
 
 
+def test_repeated_query_rows_are_asked_each(spark):
+    pick = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in pick.standard_normal(4)]) for i in range(30)]
+    rows += [(2, rows[5][1]), (3, rows[3][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_products(frame, F.col("vec_id") == 2, 10, 1024).collect()))
+    expected = []
+    for query in (rows[2][1], rows[5][1]):
+        whole = lambda v: [math.floor(1024 * x) for x in v]
+        scores = sorted((-sum(x * y for x, y in zip(whole(query), whole(v))), i) for i, v in rows if i != 2)
+        expected += [(2, r + 1, i, -s) for r, (s, i) in enumerate(scores[:10])]
+    assert got == sorted(expected)
+
+
 def test_top_products_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
@@ -101,9 +116,8 @@ def check_packing(rows, lengths):
     assert per_doc == lengths
 
 
-@pytest.mark.parametrize("items", [20_000, 3])
-def test_packing_holds_everything(docs, no_docs, items):
-    rows = packing.packed(docs, items=items).collect()
+def test_packing_holds_everything(docs, no_docs):
+    rows = packing.packed(docs.withColumn("rank", F.lit(1)).withColumn("row", F.lit(2))).collect()
     lengths = {}
     for i, text in ROWS:
         lengths[i] = lengths.get(i, 0) + (len(text.encode()) + 1 if text is not None else 0)
@@ -111,19 +125,70 @@ def test_packing_holds_everything(docs, no_docs, items):
     assert packing.packed(no_docs).count() == 0
 
 
+def test_the_plan_does_not_depend_on_partitions(spark):
+    pick = np.random.default_rng(5)
+    rows = [(i, int(n)) for i, n in enumerate(pick.integers(0, 20_000, 600))] + [(7, 0), (7, 0), (None, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, n long")
+    found = [sorted(map(str, packing.packed(frame.repartition(n), F.col("n")).collect())) for n in (1, 20)]
+    assert found[0] == found[1]
+
+
+def item_by_item(lengths, capacities, cost):
+    """Contents of the bins when every item goes where the least room is left that is enough."""
+    bins, left = [], sum(lengths)
+    for length in sorted(lengths, reverse=True):
+        if not length:
+            if not bins:
+                bins.append([min(capacities, key=lambda c: (cost(c), c)), 0])
+            continue
+        fitting = [b for b in bins if b[0] >= length]
+        if fitting:
+            chosen = min(fitting)
+        else:
+            enough = [c for c in capacities if c >= length]
+            chosen = [min(enough, key=lambda c: (cost(c) / max(1, min(c, left)), c)), 0]
+            bins.append(chosen)
+        chosen[0] -= length
+        chosen[1] += length
+        left -= length
+    return sorted(b[1] for b in bins)
+
+
 def test_packing_is_best_fit_and_takes_the_cheapest_plan():
-    bins, content, sizes = packing.best_plan([600, 500, 424, 400, 100], (512, 1024), lambda c: c)
-    assert sum(content) == 2024 and sum(sizes) == 2048 and bins == [0, 1, 0, 2, 2]
-    pick = np.random.default_rng(2)
-    lengths = pick.integers(0, 8193, 500).tolist()
-    bins, content, sizes = packing.best_plan(lengths)
-    cost = sum(map(packing.training_cost, sizes))
-    for longest in packing.CAPACITIES:
-        price = lambda c: packing.training_cost(c) if c <= longest else 1e12 + c  # noqa: B023, E731
-        _, other = packing._plan(sorted(lengths, reverse=True), packing.CAPACITIES, price)
-        shrunk = [packing._shrunk(c, packing.CAPACITIES, packing.training_cost) for c in other]
-        assert cost <= sum(map(packing.training_cost, shrunk)) + 1e-6
-    assert packing.best_plan([]) == ([], [], [])
+    pick = random.Random(1)
+    for _ in range(400):
+        capacities = tuple(sorted(pick.sample([4, 8, 16, 32, 64, 100], pick.randrange(1, 4))))
+        most = max(capacities)
+        lengths = [pick.randrange(most + 1) if pick.random() < 0.7 else pick.choice([0, 1, 2, most]) for _ in range(pick.randrange(60))]
+        costs = []
+        for longest in capacities:
+            price = lambda c: packing.training_cost(c) + 1e12 * (c > longest)  # noqa: B023, E731
+            _, bins = packing._plan(sorted(Counter(lengths).items(), reverse=True), capacities, price)
+            contents = item_by_item(lengths, capacities, price)
+            assert sorted(c for _, n, c in bins for _ in range(n)) == contents
+            sizes = [packing._shrunk(c, capacities, packing.training_cost) for c in contents]
+            costs.append(sum(map(packing.training_cost, sizes)))
+        plan = packing.best_plan(Counter(lengths), capacities)
+        assert plan.cost == pytest.approx(min(costs))
+        number, offset, capacity = plan.place(np.arange(len(lengths))) if lengths else ([], [], [])
+        held = {}
+        for item in zip(number, offset, sorted(lengths, reverse=True), capacity):
+            held.setdefault(item[0], []).append(item[1:])
+        for members in held.values():
+            ends = 0
+            for start, length, size in sorted(members):
+                assert start == ends and start + length <= size
+                ends += length
+
+
+def test_plans_do_not_grow_with_rows():
+    lengths = np.minimum(8192, np.random.default_rng(0).lognormal(6, 1, 100_000).astype(int))
+    one = Counter(lengths.tolist())
+    plans = [packing.best_plan({length: n * many for length, n in one.items()}) for many in (1, 100_000)]
+    assert len(plans[1].first) < 1.1 * len(plans[0].first) < 11_000
+    for many, plan in zip((1, 100_000), plans):
+        room = (np.diff(np.append(0, plan.ends)) * plan.capacities).sum()
+        assert lengths.sum() * many > 0.999 * room
 
 
 def test_tokens_of_whole_texts_are_packed(spark, docs):

@@ -68,6 +68,15 @@ def test_one_of_each_group_stays(docs):
     assert sum(none for none, _ in ids) == 2
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c = words(70, 60), words(71, 60), words(72, 60)
+    near_b = b.rsplit(" ", 1)[0] + " other"
+    rows = [(5, a), (5, b), (5, b), (6, near_b), (6, c), (7, a), (8, near_b), (None, b)]
+    kept = sorted(((r.doc_id, r.text) for r in op.deduplicated(frame(spark, rows)).collect()), key=repr)
+    # Text a stays once and c stays; of b and its near copies the one with an id to itself does.
+    assert kept == sorted([(7, a), (6, c), (8, near_b), (None, b)], key=repr)
+
+
 @pytest.mark.parametrize("rule", [op.Similarity(), op.Similarity(3, 90, 100)])
 def test_linked_sets_share_the_signatures_they_need(rule):
     pick = np.random.default_rng(1)

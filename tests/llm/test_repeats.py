@@ -36,7 +36,7 @@ def test_digests_equal_brute_force(spark, docs, group):
     for (i, text), flag in zip(rows, flags):
         kept = bytes(b for b, f in zip(text, flag) if not f)
         spans = sum(f and not (k and flag[k - 1]) for k, f in enumerate(flag))
-        expected[i, len(text), sum(flag), spans, hashlib.sha256(kept).hexdigest()] += 1
+        expected[i, len(text), sum(flag), spans, hashlib.sha256(kept).hexdigest(), 0, 0] += 1
     found = op.with_repeats(docs, 400, False, group)
     assert Counter(map(tuple, op.repeat_digests(found).collect())) == expected
     assert sum(k[2] * n for k, n in expected.items()) > 40_000
@@ -87,6 +87,37 @@ def passages_covered(texts, n_words):
     return flags
 
 
+def all_passages(texts, n_words):
+    """The same for runs that occur anywhere else."""
+    count, flags = Counter(), []
+    found = []
+    for text in texts:
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        found.append([(s, e) for (s, _), (_, e) in zip(at, at[n_words - 1 :])])
+        count.update(text[s:e] for s, e in found[-1])
+    for text, windows in zip(texts, found):
+        flag = bytearray(len(text))
+        for s, e in windows:
+            if count[text[s:e]] > 1:
+                flag[s:e] = b"\1" * (e - s)
+        flags.append(flag)
+    return flags
+
+
+@pytest.mark.parametrize("group", [4096, 1])
+def test_passages_are_told_beside_the_bytes(spark, group):
+    rows = [(i, t) for i, t in ROWS if i is not None] + [(i, f"{words(70 + i, 40)} {SHORT}\n{words(90 + i, 40)}") for i in (20, 21)]
+    raw = [t for _, t in by_id((i, (t or "").encode()) for i, t in rows)]
+    got = op.repeat_digests(op.with_repeats(frame(spark, rows), 400, False, group, words=51)).collect()
+    expected = Counter()
+    for (i, _), one, two in zip(by_id(rows), covered(raw, 400, False), all_passages(raw, 51)):
+        runs = sum(f and not (k and two[k - 1]) for k, f in enumerate(two))
+        expected[i, sum(one), runs, sum(two)] += 1
+    assert Counter((r.doc_id, r.n_removed, r.n_passages, r.n_passage_bytes) for r in got) == expected
+    short = {r.doc_id: r for r in got}[20]
+    assert short.n_removed == 0 and short.n_passages == 1 and short.n_passage_bytes == len(SHORT)
+
+
 SHORT = " ".join(words(60, 200).split()[:51])  # 51 words in far less than 400 bytes
 TINY = " ".join("abcdefghij"[i * i % 10] for i in range(51))  # 101 bytes, the least there can be
 

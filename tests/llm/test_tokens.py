@@ -65,7 +65,6 @@ def test_digests_and_round_trip(docs, no_docs, reference):
 @pytest.mark.parametrize("shard_tokens", [1 << 22, 500])
 def test_token_files(docs, shard_tokens):
     tokenizer = Tokenizer.from_file(HF)
-    tokenizer.encode_special_tokens = True
     encoded = [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in ROWS]
     start, expected = 0, []
     order = lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())
@@ -78,6 +77,19 @@ def test_token_files(docs, shard_tokens):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected
 
 
+def test_special_strings_have_their_id(spark):
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}", f"{end}b", f"a {end} 's{end}{end}don't", "<|endof", "text|>x", f"é{end}é", f" \n{end}\n "]
+    tokenizer = Tokenizer.from_file(HF)
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    manifest = token_files.write_tokens(frame, HF, 2)
+    got = token_files.read_tokens(manifest, lambda ids: {"ids": ids.tolist()}, "ids array<long>").collect()
+    assert [list(r.ids) for r in sorted(got)] == expected and expected[0] == [50256, 2]
+    counts = token_files.token_counts(frame, HF).collect()
+    assert [r.n_tokens for r in sorted(counts)] == [len(e) for e in expected]
+
+
 def test_token_files_of_nothing(no_docs):
     assert token_files.write_tokens(no_docs, HF, 2).count() == 0
 
