@@ -200,10 +200,10 @@ _encoders: dict[str, pieces.PieceTable] = {}
 
 
 @functools.cache
-def _special(vocabulary: str) -> tuple[bytes, ...]:
+def _special(vocabulary: str) -> dict[bytes, int]:
     """Strings that have an id of their own wherever they stand in a text."""
     with open(vocabulary, encoding="utf-8") as f:
-        return tuple(t["content"].encode() for t in json.load(f)["added_tokens"])
+        return {t["content"].encode(): t["id"] for t in json.load(f)["added_tokens"]}
 
 
 def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[np.ndarray]]:
@@ -211,10 +211,16 @@ def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[np.ndarray]]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True  # looking for them in every piece takes time; they are cut out
+    special = _special(vocabulary)
 
     def encode(found: list[bytes]) -> list[np.ndarray]:
         batch = tokenizer.encode_batch_fast([p.decode() for p in found], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in batch]
+        ids = [np.array(e.ids, np.uint32) for e in batch]
+        for i, piece in enumerate(found):
+            if piece in special:
+                ids[i] = np.array([special[piece]], np.uint32)
+        return ids
 
     return encode
 
@@ -243,7 +249,7 @@ def _encode(vocabulary: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _encoder(vocabulary)
         for chunk in arrays.text_chunks(batches):
-            cut = pieces.bounds_around(chunk.data, chunk.offsets, _special(vocabulary))
+            cut = pieces.bounds_around(chunk.data, chunk.offsets, tuple(_special(vocabulary)))
             ids, counts = table.lookup(chunk.data, cut)
             at = pieces.text_counts(chunk.offsets, cut, counts)
             ids = np.insert(ids, at[1:], end_id)
@@ -272,7 +278,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _counter(vocabulary)
         for chunk in arrays.text_chunks(batches):
-            cut = pieces.bounds_around(chunk.data, chunk.offsets, _special(vocabulary))
+            cut = pieces.bounds_around(chunk.data, chunk.offsets, tuple(_special(vocabulary)))
             at = pieces.text_counts(chunk.offsets, cut, table.lookup(chunk.data, cut)[0])
             n = pa.array(np.diff(at) + 1, pa.int64(), mask=chunk.null)
             yield pa.record_batch([chunk.column("doc_id"), n], ["doc_id", "n_tokens"])
