@@ -1,7 +1,7 @@
 """Language of documents by bit-sliced Bloom filters of letter trigrams.
 
-A slot of the filter holds one bit for each language; a trigram's slots, combined by AND, give the
-mask of all languages that contain it. A text's bits are summed by language, what false hits would
+A slot of the filter holds one bit for each language, in words of up to 64; a trigram's slots, combined
+by AND, give the mask of all languages that contain it. A text's bits are summed by language, what false hits would
 give is taken off, and the largest sum decides.
 
 Trigrams are centred on a letter; every other character is the same blank. A language contains a
@@ -87,30 +87,36 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
+_WORD = 64
+
+
 @dataclass
 class Filters:
-    """Bit i of a slot belongs to languages[i]."""
+    """Bit i % 64 of a slot in slots[i // 64] belongs to languages[i]."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]
     false_hits: np.ndarray
     fallback: str
 
-    def masks(self, grams: np.ndarray) -> np.ndarray:
-        """The languages that contain each trigram."""
+    def masks(self, grams: np.ndarray, word: int = 0) -> np.ndarray:
+        """The languages that contain each trigram, of those in one word of the mask."""
         found = None
         for seed in range(_HASHES):
-            bits = self.slots[_slot(grams, seed)]
+            bits = self.slots[word][_slot(grams, seed)]
             found = bits if found is None else found & bits
         return found
 
+    def _hits(self, grams: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        for word in range(len(self.slots)):
+            masks = self.masks(grams, word)
+            for bit in range(len(self.languages[_WORD * word : _WORD * (word + 1)])):
+                yield arrays.sums_of(_bit(masks, bit), bounds)
+
     def decide(self, grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language (-1: no known trigram) and score of each text."""
-        masks = self.masks(grams)
         total = np.diff(bounds).astype(np.float64)
-        hits = np.column_stack(
-            [arrays.sums_of((masks >> masks.dtype.type(i)) & masks.dtype.type(1), bounds) for i in range(len(self.languages))]
-        )
+        hits = np.column_stack(list(self._hits(grams, bounds)))
         true = np.maximum(0, (hits - total[:, None] * self.false_hits) / (1 - self.false_hits))
         best = true.argmax(axis=1)
         all_true = true.sum(axis=1)
@@ -118,13 +124,17 @@ class Filters:
         return np.where(all_true > 0, best, -1), score
 
 
+def _bit(masks: np.ndarray, bit: int) -> np.ndarray:
+    return (masks >> masks.dtype.type(bit)) & masks.dtype.type(1)
+
+
 def _slot(grams: np.ndarray, seed: int) -> np.ndarray:
     return arrays.mix(grams + np.uint64((seed + 1) << 58)) & np.uint64(_SLOTS - 1)
 
 
 def train(docs: DataFrame, share: float = SHARE, part: float = PART) -> Filters | None:
     """Filters from all rows of `docs` with text and lang. At most 1 / share rows a language reach the
-    driver. Up to 64 languages; None if there are none."""
+    driver. None if there are no languages."""
     known = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = (
         known.mapInArrow(_gram_counts, "lang string, gram long, n long")
@@ -141,18 +151,20 @@ def train(docs: DataFrame, share: float = SHARE, part: float = PART) -> Filters
     if not len(rows):
         return None
     languages = sorted(rows["lang"].unique())
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages")
     rows = rows[rows["share"] >= part * rows.groupby("gram")["share"].transform("max")]
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * t().itemsize)
-    slots = np.zeros(_SLOTS, kind)
-    for i, lang in enumerate(languages):
-        grams = rows.loc[rows["lang"] == lang, "gram"].to_numpy().astype(np.uint64)
-        for seed in range(_HASHES):
-            slots[_slot(grams, seed)] |= kind(1 << i)
-    fill = np.array([np.mean((slots >> kind(i)) & kind(1)) for i in range(len(languages))])
+    grams_of = {lang: r["gram"].to_numpy().astype(np.uint64) for lang, r in rows.groupby("lang")}
+    slots, fill = [], []
+    for first in range(0, len(languages), _WORD):
+        inside = languages[first : first + _WORD]
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(inside) <= 8 * t().itemsize)
+        word = np.zeros(_SLOTS, kind)
+        for bit, lang in enumerate(inside):
+            for seed in range(_HASHES):
+                word[_slot(grams_of.get(lang, np.zeros(0, np.uint64)), seed)] |= kind(1 << bit)
+        slots.append(word)
+        fill += [np.mean(_bit(word, bit)) for bit in range(len(inside))]
     fallback = min(rows.groupby("lang")["total"].first().items(), key=lambda x: (-x[1], x[0]))[0]
-    return Filters(languages, slots, fill**_HASHES, fallback)
+    return Filters(languages, slots, np.array(fill) ** _HASHES, fallback)
 
 
 def predicted(docs: DataFrame, filters: Filters | None) -> DataFrame:

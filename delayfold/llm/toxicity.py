@@ -6,7 +6,11 @@ before it. In training those come from folds that did not see the row, as they w
 
 The label table knows one category, `toxic`. Two degrees of it come first in the chain, read off the
 labelled texts by the terms that only toxic ones use: `repeated` (three or more such terms) and
-`dense` (one or more in a hundred words). At most `MAX_LABELLED` labelled documents are used.
+`dense` (one or more in a hundred words). The terms of a fold come from the rows outside of it. At most
+`MAX_LABELLED` labelled documents are used.
+
+Features of the sample are counted by Spark, by fold and label. Only those that tell toxic texts from
+others, or are terms, come to the driver: a chain has no use for the rest.
 """
 
 from __future__ import annotations
@@ -16,17 +20,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from delayfold.llm import arrays
 from delayfold.llm.quality import labelled_sample
-from delayfold.llm.tables import text_flag
+from delayfold.llm.tables import stored, text_flag
 
 MAX_LABELLED = 12_000
 CATEGORIES = ["repeated", "dense", "toxic"]
 _SPACE_BITS = 20
 _PREFIXES = (4, 6)
 _FOLDS = 5
+# A feature tells two kinds of rows apart if it is in so many rows, and so many standard errors off.
+_LEAST_ROWS = 3
+_LEAST_ERRORS = 4.0
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -60,16 +67,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _telling(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, least: float = 4.0) -> np.ndarray:
-    """Features whose share differs between the two kinds of rows by `least` standard errors."""
+def _telling(owner: np.ndarray, feature: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features whose share differs between the two kinds of rows."""
     size = 1 << _SPACE_BITS
     positive = np.bincount(feature, y[owner], size)
     both = np.bincount(feature, minlength=size)
     n, share = len(y), both / len(y)
     expected = share * y.sum()
     error = np.sqrt(np.maximum(expected * (1 - share) * (1 - y.sum() / n), 1e-9))
-    telling = (np.abs(positive - expected) >= least * error) & (both >= 3)
-    return np.flatnonzero(telling)
+    return np.flatnonzero((np.abs(positive - expected) >= _LEAST_ERRORS * error) & (both >= _LEAST_ROWS))
+
+
+def _terms(owner: np.ndarray, feature: np.ndarray, toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Whether a feature is in enough toxic texts, and in no other text, among `rows`."""
+    size = 1 << _SPACE_BITS
+    inside = rows[owner]
+    y, found = toxic[owner[inside]], feature[inside]
+    return (np.bincount(found, y, size) >= _LEAST_ROWS) & (np.bincount(found, 1 - y, size) == 0)
 
 
 @dataclass
@@ -143,17 +157,23 @@ def train_chain(
     weight: np.ndarray | None = None,
 ) -> Chain:
     """A chain over the categories in order of `labels`; the last one's threshold is the best by F1 on
-    probabilities out of fold. Rows count by `weight`, in the models and in F1."""
+    probabilities out of fold. Rows count by `weight`, in the models and in F1.
+
+    A category has one label for each row, or a table of them: one line for each fold, told without its
+    rows, and a last line told from all rows.
+    """
     n = len(fold)
     weight = np.ones(n) if weight is None else weight
     earlier, links = np.zeros((n, 0)), []
     outside = np.zeros(n)
-    for y in labels.values():
+    for told in labels.values():
+        told = np.broadcast_to(told, (_FOLDS + 1, n))
+        y = told[-1]
         for k in range(_FOLDS):
             held = fold == k
             if not held.any() or held.all():
                 continue
-            model = _fit(*_rows_of(owner, feature, ~held), earlier[~held], y[~held], weight[~held])
+            model = _fit(*_rows_of(owner, feature, ~held), earlier[~held], told[k][~held], weight[~held])
             outside[held] = _sigmoid(model.margin(*_rows_of(owner, feature, held), earlier[held]))
         links.append(_fit(owner, feature, earlier, y, weight))
         earlier = np.column_stack([earlier, outside])
@@ -166,47 +186,91 @@ def train_chain(
     return Chain(list(labels), links, float(levels[best[len(best) // 2]]))
 
 
+_SAMPLE = "doc_id long, label long, weight double, fold int, n_words long, features array<int>"
+
+
 def _sampled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for chunk in arrays.text_chunks(batches):
         owner, feature, words = _hits(chunk)
         owner, feature = _distinct(owner, feature)
-        bounds = np.searchsorted(owner, np.arange(len(chunk) + 1))
+        bounds = np.searchsorted(owner, np.arange(len(chunk) + 1)).astype(np.int32)
+        ids = chunk.column("doc_id").to_numpy().astype(np.uint64)
+        fold = (arrays.mix(ids) % np.uint64(_FOLDS)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(feature.astype(np.int32)))
+        kept = [chunk.column(c) for c in ("doc_id", "label", "weight")]
         yield pa.record_batch(
-            [chunk.column("doc_id"), pa.array(words), arrays.binary_rows(feature.astype(np.int32), bounds)],
-            ["doc_id", "n_words", "features"],
+            [*kept, pa.array(fold), pa.array(words.astype(np.int64)), lists],
+            ["doc_id", "label", "weight", "fold", "n_words", "features"],
         )
 
 
+def _useful(sample: DataFrame) -> DataFrame:
+    """Features of the sample that the chain may use: those that tell toxic texts from others, or are terms,
+    among all rows or all but those of one fold."""
+    sizes = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+
+    def counts(label: int) -> list[Column]:
+        return [F.count_if((F.col("fold") == k) & (F.col("label") == label)).alias(f"n{label}_{k}") for k in range(_FOLDS)]
+
+    counted = sample.select("fold", "label", F.explode("features").alias("feature")).groupBy("feature")
+    counted = counted.agg(*counts(0), *counts(1))
+    useful = F.lit(False)
+    for without in range(_FOLDS + 1):
+        folds = [k for k in range(_FOLDS) if k != without]
+        n0, n1 = (sum(sizes.get((k, label), 0) for k in folds) for label in (0, 1))
+        if not n0 or not n1:
+            continue
+        clean, toxic = (sum((F.col(f"n{label}_{k}") for k in folds), F.lit(0)) for label in (0, 1))
+        share = (clean + toxic) / (n0 + n1)
+        error = F.sqrt(F.greatest(share * n1 * (1 - share) * (n0 / (n0 + n1)), F.lit(1e-9)))
+        # A little less than the models ask for, as they add up in another order.
+        off = F.abs(toxic - share * n1) >= (_LEAST_ERRORS - 1e-6) * error
+        useful = useful | (off & (clean + toxic >= _LEAST_ROWS)) | ((toxic >= _LEAST_ROWS) & (clean == 0))
+    return counted.where(useful).select("feature")
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Chain | None:
     """A chain from at most `most` labelled documents, half of each label but weighted by how many there
-    are of it; None if a label is missing.
+    are of it; None if a label is missing. Of rows that share a doc_id one counts.
 
-    The sample's ids are broadcast; its hashed features come to the driver.
+    The sample's ids are broadcast; its useful features come to the driver.
     """
-    sample = labelled_sample(labels, "toxic", most).toPandas()
-    if sample["label"].nunique() < 2:
+    chosen = labelled_sample(labels, "toxic", most).toPandas()
+    if chosen["label"].nunique() < 2:
         return None
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(sample[["doc_id"]]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id", "left_semi")
-    found = texts.mapInArrow(_sampled_features, "doc_id long, n_words long, features binary").toPandas()
-    found = found.drop_duplicates("doc_id").merge(sample, on="doc_id").sort_values("doc_id")
-    if found["label"].nunique() < 2:
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(F.broadcast(spark.createDataFrame(chosen)), "doc_id")
+    row = F.struct("n_words", "features", "label", "weight", "fold")
+    found = texts.mapInArrow(_sampled_features, _SAMPLE).groupBy("doc_id").agg(F.min(row).alias("row"))
+    sample = stored(found.select("doc_id", "row.*"), "toxicity-sample")
+    useful = np.zeros(1 << _SPACE_BITS, bool)
+    useful[_useful(sample).toPandas()["feature"].to_numpy(np.int64)] = True
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            lists = rows.column("features")
+            feature, bounds = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths()))
+            keep = useful[feature]
+            few = arrays.binary_rows(feature[keep], np.append(0, np.cumsum(keep))[bounds])
+            columns = ["doc_id", "label", "weight", "fold", "n_words"]
+            yield pa.record_batch([*(rows.column(c) for c in columns), few], [*columns, "features"])
+
+    rows = sample.mapInArrow(kept, _SAMPLE.replace("array<int>", "binary")).toPandas().sort_values("doc_id")
+    if rows["label"].nunique() < 2:
         return None
-    lists = [np.frombuffer(f, np.int32).astype(np.int64) for f in found["features"]]
+    lists = [np.frombuffer(f, np.int32).astype(np.int64) for f in rows["features"]]
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     feature = np.concatenate(lists)
-    toxic = found["label"].to_numpy(np.float64)
-    # Terms of three or more toxic texts, and of no other text.
-    size = 1 << _SPACE_BITS
-    terms = (np.bincount(feature, toxic[owner], size) >= 3) & (np.bincount(feature, 1 - toxic[owner], size) == 0)
-    terms_in = np.bincount(owner, terms[feature], len(toxic))
-    degrees = {
-        "repeated": toxic * (terms_in >= 3),
-        "dense": toxic * (100 * terms_in >= found["n_words"].to_numpy()),
-        "toxic": toxic,
-    }
-    fold = (arrays.mix(found["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(_FOLDS)).astype(np.int64)
-    return train_chain(owner, feature, degrees, fold, found["weight"].to_numpy(np.float64))
+    toxic, fold = rows["label"].to_numpy(np.float64), rows["fold"].to_numpy()
+    degrees = {"repeated": [], "dense": [], "toxic": toxic}
+    for without in range(_FOLDS + 1):
+        terms = _terms(owner, feature, toxic, fold != without)
+        terms_in = np.bincount(owner, terms[feature], len(toxic))
+        degrees["repeated"].append(toxic * (terms_in >= 3))
+        degrees["dense"].append(toxic * (100 * terms_in >= rows["n_words"].to_numpy()))
+    told = {name: np.array(degrees[name]) for name in CATEGORIES}
+    return train_chain(owner, feature, told, fold, rows["weight"].to_numpy(np.float64))
 
 
 def _judge(chunk: arrays.Chunk, chain: Chain | None, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

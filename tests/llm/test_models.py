@@ -104,6 +104,17 @@ def test_masks_hold_every_language_of_a_trigram(real):
     assert bounds.tolist() == [0, len(grams)]
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    """Each language writes in letters of its own."""
+    rows = [(i, "".join(chr(0x4E00 + 20 * i + k % 9) for k in range(60)), f"l{i:03d}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language.train(docs)
+    assert [w.dtype.itemsize for w in filters.slots] == [8, 8, 4]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predicted(docs, filters).collect()}
+    assert {i: lang for i, (lang, _) in got.items()} == {i: lang for i, _, lang in rows}
+    assert min(score for _, score in got.values()) > 0.99
+
+
 def test_toxicity_of_documents_not_seen(real, labels):
     known = labels.where("doc_id % 2 = 0")
     got = toxicity.scored(real, known).withColumnRenamed("toxic", "found").join(
@@ -113,6 +124,46 @@ def test_toxicity_of_documents_not_seen(real, labels):
     assert clean <= 0.05
 
 
+def test_most_toxic_documents_not_seen_are_found(spark):
+    """The smallest table has too few labels to learn from: all terms of its held-out rows are new."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.scored(docs, labels.where("doc_id % 2 = 0")).withColumnRenamed("toxic", "found")
+    got = got.join(labels.where("doc_id % 2 = 1"), "doc_id")
+    shares = {r.toxic: r.share for r in got.groupBy("toxic").agg(F.avg(F.col("found").cast("int")).alias("share")).collect()}
+    assert shares[0] <= 0.05 and shares[1] >= 0.7
+
+
+def test_the_driver_gets_every_feature_that_a_model_or_a_term_needs(spark):
+    pick = np.random.default_rng(5)
+    n = 400
+    label, fold = (pick.random(n) < 0.3).astype(int), pick.integers(0, 5, n)
+    rows = []
+    for i in range(n):
+        some = set(pick.integers(0, 60, 8).tolist()) | ({100 + int(pick.integers(0, 25))} if label[i] else set())
+        rows.append((i, int(label[i]), 1.0, int(fold[i]), 9, sorted(some)))
+    got = {r.feature for r in toxicity._useful(spark.createDataFrame(rows, toxicity._SAMPLE)).collect()}
+    expected = set()
+    for without in range(6):
+        inside = [r for r in rows if r[3] != without]
+        y = np.array([r[1] for r in inside], float)
+        owner = np.repeat(np.arange(len(inside)), [len(r[5]) for r in inside])
+        feature = np.concatenate([r[5] for r in inside])
+        expected |= set(toxicity._telling(owner, feature, y).tolist())
+        for f in set(feature.tolist()):
+            in_rows = [r[1] for r in inside if f in r[5]]
+            expected |= {f} if len(in_rows) >= 3 and all(in_rows) else set()
+    assert got == expected and 0 < len(got) < 85
+
+
+def test_terms_of_a_fold_come_from_the_other_rows():
+    """A term that only rows of one fold use is none without them."""
+    owner, feature = np.arange(8), np.array([5, 5, 5, 6, 6, 6, 7, 7])
+    toxic, fold = np.array([1.0] * 6 + [0, 0]), np.array([0, 0, 0, 1, 2, 3, 4, 4])
+    assert np.flatnonzero(toxicity._terms(owner, feature, toxic, fold != 9)).tolist() == [5, 6]
+    assert np.flatnonzero(toxicity._terms(owner, feature, toxic, fold != 0)).tolist() == [6]
+    assert np.flatnonzero(toxicity._terms(owner, feature, toxic, fold != 1)).tolist() == [5]
+
+
 def test_toxicity_edges(docs, no_docs, labels):
     got = toxicity.scored(docs, labels).collect()
     assert len(got) == len(ROWS)
