@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _R = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -23,7 +23,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
+        size = max(1 << n.bit_length(), CHUNK_BYTES + 4096)
         for i, base in enumerate((_R, _R_INV)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -82,7 +82,10 @@ class Chunk:
 def text_chunks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[Chunk]:
-    """Chunks of whole texts with at most `limit` bytes, or one longer text; null texts are empty."""
+    """Chunks of whole texts with at most `limit` bytes, or one longer text; null texts are empty.
+
+    Workers live on between tasks, so what Arrow keeps for later goes back when the texts are through.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -105,6 +108,7 @@ def text_chunks(
                 null[start:end],
             )
             start = end
+    pa.default_memory_pool().release_unused()
 
 
 _SPACE = np.zeros(256, bool)

@@ -35,6 +35,7 @@ from delayfold.session import work_dir
 
 _MAGIC = b"WVLTMX01"
 _BLOCK = 1 << 19  # bits
+_CHUNK = 2 << 20  # of text; a piece that comes again in it is counted once
 _BUCKETS = 4096
 
 
@@ -248,7 +249,7 @@ def _counter(vocabulary: str) -> pieces.PieceTable:
 def _encode(vocabulary: str, end_id: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _encoder(vocabulary)
-        for chunk in arrays.text_chunks(batches):
+        for chunk in arrays.text_chunks(batches, limit=_CHUNK):
             cut = pieces.bounds_around(chunk.data, chunk.offsets, tuple(_special(vocabulary)))
             ids, counts = table.lookup(chunk.data, cut)
             at = pieces.text_counts(chunk.offsets, cut, counts)
@@ -277,7 +278,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _counter(vocabulary)
-        for chunk in arrays.text_chunks(batches):
+        for chunk in arrays.text_chunks(batches, limit=_CHUNK):
             cut = pieces.bounds_around(chunk.data, chunk.offsets, tuple(_special(vocabulary)))
             at = pieces.text_counts(chunk.offsets, cut, table.lookup(chunk.data, cut)[0])
             n = pa.array(np.diff(at) + 1, pa.int64(), mask=chunk.null)
