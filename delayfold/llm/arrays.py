@@ -6,13 +6,14 @@ chunk size and the longest single text. Nothing here keeps state between tasks b
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _R = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -79,12 +80,20 @@ class Chunk:
         return self.rows.column(name)
 
 
+def hand_back() -> None:
+    """Returns memory that Arrow and the C library keep after it was freed: an idle worker needs none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES
 ) -> Iterator[Chunk]:
     """Chunks of whole texts with at most `limit` bytes, or one longer text; null texts are empty.
 
-    Workers live on between tasks, so what Arrow keeps for later goes back when the texts are through.
+    Workers live on between tasks, so what is kept for later goes back when the texts are through.
     """
     for batch in batches:
         if not batch.num_rows:
@@ -108,7 +117,7 @@ def text_chunks(
                 null[start:end],
             )
             start = end
-    pa.default_memory_pool().release_unused()
+    hand_back()
 
 
 _SPACE = np.zeros(256, bool)

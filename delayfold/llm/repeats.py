@@ -32,7 +32,7 @@ from delayfold.llm import arrays
 from delayfold.llm.tables import stored, whole_groups
 
 # Bytes worked on at a time; arrays over them take about a hundred times as much.
-_HELD_BYTES = 1 << 20
+_HELD_BYTES = 1 << 19
 
 _PLACE = "doc_id long, version long, first long, last long"
 

@@ -12,7 +12,18 @@ from delayfold.llm import arrays
 from delayfold.session import work_dir
 
 
+# Bytes of an Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session cut Arrow batches by size, for good: ten thousand long texts are more than tasks
+    should hold twice, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -58,6 +69,8 @@ def whole_groups(
             held = rows.to_batches()
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    arrays.hand_back()
 
 
 def each_group(
