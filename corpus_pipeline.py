@@ -6,31 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from delayfold.llm import ngram_join, packing, quality, repeats, toxicity
-from delayfold.llm.tables import documents, stored
+from delayfold.llm.tables import documents, small_batches, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and trees keep."""
+    small_batches(spark)
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not find toxic."""
+    small_batches(spark)
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: n-grams of five words, a similarity of 0.8 or more."""
+    small_batches(spark)
     return ngram_join.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of over 50 words, or strings of 400 bytes, that came before."""
+    small_batches(spark)
     return repeats.without_repeats(docs, words=51)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every document's tokens go."""
+    small_batches(spark)
     return packing.packed_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
