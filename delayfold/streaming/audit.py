@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,7 +22,7 @@ from delayfold.operators.lifecycle import STEPS, cancel_steps, update_steps
 from delayfold.operators.metrics import command_audit, event_counts
 from delayfold.operators.publish import fire_rows
 from delayfold.session import prepare
-from delayfold.streaming.resolve import READ, resolve_and_tell
+from delayfold.streaming.resolve import PACKED, READ, resolve_and_tell
 from delayfold.streaming.run import ORIGIN, trigger
 from delayfold.streaming.timers import FIRED, PENDING, PendingSchedules, keyed
 
@@ -37,15 +39,34 @@ TAGGED = T.StructType(
         T.StructField("closed_ms", T.LongType()),
     ]
 )
-_EMPTY = dict.fromkeys(TAGGED.fieldNames())
+_EMPTY = dict.fromkeys([*TAGGED.fieldNames(), PACKED])
 _CLOSED_BY = {"update": "superseded", "delete": "canceled", "error": "canceled_by_error"}
 
 TABLES = ("outbox", "errors", "commands", "steps", "counts")
 
 
+def tagged_rows(resolved: pa.RecordBatch, now: int) -> pa.Table:
+    """What was read, fired and closed within a micro-batch, as `TAGGED`."""
+    told = resolved.column("told")
+    fired, read = pc.is_null(told), pc.fill_null(pc.equal(told, READ), False)
+    closed = pc.invert(pc.or_(fired, read))
+    outcome = pa.array([_CLOSED_BY.get(t) for t in told.to_pylist()], pa.string())
+    kind = pc.if_else(fired, FIRED_KIND, pc.if_else(read, COMMAND, CLOSED))
+    only = {"command": read, "is_expired": read, "error": read, "closed_ms": closed}
+    columns = {n: resolved.column(n) for n in resolved.schema.names if n in TAGGED.fieldNames()}
+    for name, where in only.items():
+        column = columns[name]
+        columns[name] = pc.if_else(where, column, pa.nulls(len(column), column.type))
+    columns |= {"kind": kind, "outcome": outcome}
+    columns["fired_ms"] = pc.if_else(fired, pa.scalar(now, pa.int64()), pa.scalar(None, pa.int64()))
+    return pa.table({n: columns[n] for n in TAGGED.fieldNames()})
+
+
 class TellingSchedules(PendingSchedules):
     """The same state; its rows are tagged, and a schedule that is closed says so."""
 
+    output = TAGGED
+
     def _tagged(self, kind: str, row: Row, **more) -> Row:
         known = {n: row[n] for n in PENDING.fieldNames()}
         return Row(**{**_EMPTY, **known, "kind": kind, **more})
@@ -57,15 +78,6 @@ class TellingSchedules(PendingSchedules):
         outcome = _CLOSED_BY[by["closed_by"]]
         yield self._tagged(CLOSED, schedule, outcome=outcome, closed_ms=by["seen_ms"])
 
-    def _passes(self, row: Row, now: int) -> Row:
-        if row["told"] == READ:
-            return self._tagged(
-                COMMAND, row, command=row["command"], is_expired=row["is_expired"], error=row["error"]
-            )
-        if row["told"] is not None:
-            return self._tagged(CLOSED, row, outcome=_CLOSED_BY[row["told"]], closed_ms=row["closed_ms"])
-        return self._fired(row, now)
-
 
 def told_stream(commands: DataFrame, waiting: DataFrame | None = None, held: bool = False) -> DataFrame:
     """Stream of commands to stream of tagged rows; see `fire_stream` for `waiting` and `held`.
@@ -73,7 +85,7 @@ def told_stream(commands: DataFrame, waiting: DataFrame | None = None, held: boo
     All commands take part: those without an ID and the reports of fired schedules are only told. Rows
     without an ID are dealt evenly.
     """
-    tagged = keyed(resolve_and_tell(commands, held), TellingSchedules(held), TAGGED, waiting)
+    tagged = keyed(resolve_and_tell(commands, tagged_rows, held), TellingSchedules(held), waiting)
     return tagged.withColumn("out_headers", F.map_from_entries("out_headers"))
 
 

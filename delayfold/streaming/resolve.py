@@ -3,14 +3,15 @@
 All commands of an ID in a micro-batch meet in one task, which works on them as columns: they are put in
 the order of operators/ordered, and the next command of each update is known, so it fires first or is
 closed. Only the first and the last command matter to what was stored before and to what comes later, so
-the keyed state sees at most two rows per ID and micro-batch, however many commands came. Fired rows
-travel on lanes of their own, spread evenly and apart from the ID's state. A task holds its share of a
-micro-batch in memory; the sources bound micro-batches.
+the keyed state sees at most two rows per ID and micro-batch, however many commands came. IDs are dealt to
+many small groups, and a task holds one group at a time in memory. Fired rows travel on lanes of their own,
+spread evenly and apart from the ID's state. The state has nothing to do with them and takes rows one by
+one, so they pass it packed, many in one row, and are unpacked behind it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,11 @@ from delayfold.model import COMMANDS, ERROR, HEADERS, LANE, MAX_DELAY_MS
 from delayfold.operators.decode import effective
 
 STATE_LANE = 0
+# Groups of IDs, each worked on at once, and lanes beside that of the state.
+GROUPS = 1024
+# Bytes of the rows that pass the state as one, before compression; an Arrow batch of such rows stays small.
+PACK_BYTES = 32_768
+PACKED = "packed"
 CLOSER = "closer"
 PAYLOAD = ("due_ms", "target_topic", "out_key", "out_value", "out_headers")
 _FROM_COMMAND = ("schedule_id", *LANE, "offset", "arrival_ms", "command", *PAYLOAD)
@@ -58,6 +64,11 @@ TOLD = T.StructType(
     ]
 )
 
+# What the keyed state reads: a command on the state lane, or packed rows on another one.
+KEYED = T.StructType(
+    [*RESOLVED.fields, T.StructField("closed_by", T.StringType()), T.StructField(PACKED, T.BinaryType())]
+)
+
 
 def stateful(schedules: DataFrame) -> DataFrame:
     """Schedules with their headers as a list."""
@@ -174,32 +185,98 @@ def _settle(
         yield from pa.Table.from_arrays(piece.columns, schema=schema).to_batches()
 
 
-def _together(commands: DataFrame, columns: tuple[str, ...], by: Column) -> tuple[DataFrame, int]:
-    """Rows that one task shall see together, and the number of lanes."""
-    lanes = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Fixed for a micro-batch.
+# Rows that have left the state's way, as the stream hands them on; given the ms of the micro-batch.
+Shape = Callable[[pa.RecordBatch, int], pa.Table]
+
+
+def _plain(table: pa.Table) -> pa.Table:
+    schema = pa.schema([f.with_nullable(True) for f in table.schema])
+    return pa.Table.from_arrays(table.columns, schema=schema)
+
+
+def _pack(table: pa.Table) -> Iterator[bytes]:
+    options = pa.ipc.IpcWriteOptions(compression="lz4")
+    for batch in table.to_batches(max_chunksize=max(1, PACK_BYTES * len(table) // max(1, table.nbytes))):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+            writer.write_batch(batch)
+        yield sink.getvalue().to_pybytes()
+
+
+def _keyed_rows(columns: dict[str, pa.Array], like: pa.Schema, rows: int) -> pa.Table:
+    """Rows of `KEYED`; other columns than the given ones are null."""
+    types = {"closed_by": pa.string(), PACKED: pa.binary()}
+    names = KEYED.fieldNames()
+    types |= {n: like.field(n).type for n in names if n not in types}
+    return _plain(pa.table({n: columns.get(n, pa.nulls(rows, types[n])) for n in names}))
+
+
+def _settle_group(group: int, table: pa.Table, held: bool, layout: T.StructType, shape: Shape) -> pa.Table:
+    """Settles all commands of a group of IDs: `KEYED` rows."""
+    now = table.column("now_ms")[0].as_py()
+    pieces, packs = [], []
+    for batch in _settle(iter(table.to_batches()), GROUPS, held, layout):
+        on_state = pc.equal(batch.column("lane"), STATE_LANE)
+        state, apart = batch.filter(on_state), batch.filter(pc.invert(on_state))
+        if state.num_rows:
+            pieces.append(
+                _keyed_rows(dict(zip(state.schema.names, state.columns)), batch.schema, len(state))
+            )
+        if apart.num_rows:
+            packs += _pack(shape(apart, now))
+            like = batch.schema
+    if packs:
+        columns = {
+            "state_id": pa.array([""] * len(packs), pa.string()),
+            "lane": pa.array([1 + (group + i) % GROUPS for i in range(len(packs))], pa.int32()),
+            PACKED: pa.array(packs, pa.binary()),
+        }
+        pieces.append(_keyed_rows(columns, like, len(packs)))
+    return pa.concat_tables(pieces)
+
+
+def _settled(
+    commands: DataFrame,
+    columns: tuple[str, ...],
+    owner: Column,
+    held: bool,
+    layout: T.StructType,
+    shape: Shape,
+) -> DataFrame:
+    # Fixed for a micro-batch, and the time that the state sees too.
     now = F.unix_millis(F.current_timestamp())
-    return stateful(commands).withColumn("now_ms", now).select(*columns, "now_ms").repartition(by), lanes
+    group = F.pmod(F.xxhash64(owner), F.lit(GROUPS)).cast("int")
+    rows = stateful(commands).withColumns({"now_ms": now, "_group": group})
 
+    def settle(key, table):
+        return _settle_group(key[0].as_py(), table, held, layout, shape)
 
-def resolve_within_batch(commands: DataFrame, held: bool = False) -> DataFrame:
-    """Micro-batch commands reduced to what the keyed state needs; see `RESOLVED`."""
-    named = effective(commands).where(F.col("schedule_id").isNotNull())
-    together, lanes = _together(named, _FROM_COMMAND, F.col("schedule_id"))
+    return rows.select(*columns, "now_ms", "_group").groupBy("_group").applyInArrow(settle, KEYED)
 
-    def settle(batches):
-        return _settle(batches, lanes, held)
 
-    return together.mapInArrow(settle, RESOLVED)
+def resolve_within_batch(commands: DataFrame, shape: Shape, held: bool = False) -> DataFrame:
+    """Micro-batch commands reduced to what the keyed state needs (`KEYED`), and what `shape` makes of the
+    fired ones (`RESOLVED`), packed."""
+    named = effective(commands).where(F.col("schedule_id").isNotNull())
+    return _settled(named, _FROM_COMMAND, F.col("schedule_id"), held, RESOLVED, shape)
 
 
-def resolve_and_tell(commands: DataFrame, held: bool = False) -> DataFrame:
-    """The same, with every command and every closed schedule on lanes of their own; see `TOLD`."""
-    nameless = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*LANE, "offset"), F.lit(1024)))
+def resolve_and_tell(commands: DataFrame, shape: Shape, held: bool = False) -> DataFrame:
+    """The same, with every command and every closed schedule among what is packed; see `TOLD`."""
+    nameless = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*LANE, "offset"), F.lit(GROUPS)))
     columns = (*_FROM_COMMAND, "is_expired", "error")
-    together, lanes = _together(commands, columns, F.coalesce("schedule_id", nameless))
+    return _settled(commands, columns, F.coalesce("schedule_id", nameless), held, TOLD, shape)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The rows behind the state, each by itself again."""
+    layout = T.StructType([f for f in rows.schema if f.name != PACKED])
 
-    def settle(batches):
-        return _settle(batches, lanes, held, TOLD)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packs = batch.column(PACKED)
+            yield batch.filter(pc.is_null(packs)).select(layout.fieldNames())
+            for pack in packs.drop_null():
+                yield from pa.ipc.open_stream(pack.as_buffer())
 
-    return together.mapInArrow(settle, TOLD)
+    return rows.mapInArrow(unpack, layout)

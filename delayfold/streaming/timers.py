@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from delayfold.model import LANE
 from delayfold.streaming.resolve import (
     CLOSER,
+    PACKED,
     PAYLOAD,
     RESOLVED,
     STATE_LANE,
     resolve_within_batch,
     stateful,
+    unpacked,
 )
 
 _KEPT = ("schedule_id", *LANE, "offset", "arrival_ms", *PAYLOAD, "seen_ms", "fire_ms")
@@ -27,6 +30,12 @@ FIRED = T.StructType([*PENDING, T.StructField("fired_ms", T.LongType())])
 _LATER_MS = 1_000
 
 
+def fired_rows(resolved: pa.RecordBatch, now: int) -> pa.Table:
+    """Schedules that fired within a micro-batch, as `FIRED`."""
+    rows = pa.table(resolved.select(PENDING.fieldNames()))
+    return rows.append_column("fired_ms", pa.array([now] * len(rows), pa.int64()))
+
+
 class PendingSchedules(StatefulProcessor):
     """An update replaces the pending schedule, any other command cancels it, its timer fires it.
 
@@ -34,6 +43,8 @@ class PendingSchedules(StatefulProcessor):
     set again.
     """
 
+    output = FIRED
+
     def __init__(self, held: bool = False):
         self.held = held
 
@@ -42,15 +53,15 @@ class PendingSchedules(StatefulProcessor):
         self.pending = handle.getValueState(PENDING_STATE, PENDING)
 
     def _fired(self, schedule: Row, now: int) -> Row:
-        return Row(**{n: schedule[n] for n in PENDING.fieldNames()}, fired_ms=now)
+        return Row(**{n: schedule[n] for n in PENDING.fieldNames()}, fired_ms=now, **{PACKED: None})
 
     def _closed(self, schedule: Row, by: Row) -> Iterable[Row]:
         """Rows for a schedule that the next command of its ID closes."""
         return ()
 
-    def _passes(self, row: Row, now: int) -> Row:
-        """What becomes of a row on a lane of its own."""
-        return self._fired(row, now)
+    def _passes(self, row: Row) -> Row:
+        """Packed rows, on a lane of their own."""
+        return Row(**dict.fromkeys(self.output.fieldNames()), **{PACKED: row[PACKED]})
 
     def _load(self) -> Row | None:
         value = self.pending.get()
@@ -67,7 +78,7 @@ class PendingSchedules(StatefulProcessor):
         now = timerValues.getCurrentProcessingTimeInMs()
         if key[1] != STATE_LANE:
             for row in rows:
-                yield self._passes(row, now)
+                yield self._passes(row)
             return
         # At most two rows: the last command of the micro-batch, and a first one that closes.
         first = last = None
@@ -103,9 +114,7 @@ class PendingSchedules(StatefulProcessor):
         pass
 
 
-def keyed(
-    resolved: DataFrame, processor: PendingSchedules, output: T.StructType, waiting: DataFrame | None
-) -> DataFrame:
+def keyed(resolved: DataFrame, processor: PendingSchedules, waiting: DataFrame | None) -> DataFrame:
     """Runs the processor over resolved rows, by ID and lane, from the schedules that wait at the start."""
     initial = None
     if waiting is not None:
@@ -115,8 +124,11 @@ def keyed(
             .withColumn("lane", F.lit(STATE_LANE))
             .groupBy("state_id", "lane")
         )
-    return resolved.groupBy("state_id", "lane").transformWithState(
-        processor, output, "append", "processingTime", initial
+    output = T.StructType([*processor.output, T.StructField(PACKED, T.BinaryType())])
+    return unpacked(
+        resolved.groupBy("state_id", "lane").transformWithState(
+            processor, output, "append", "processingTime", initial
+        )
     )
 
 
@@ -129,5 +141,6 @@ def fire_stream(
     that point). They are loaded before the first batch, so nothing fires ahead of a command that
     was already in the log. held: nothing fires at all; for catching up after a stop (`run.resume`).
     """
-    fired = keyed(resolve_within_batch(commands, held), PendingSchedules(held), FIRED, waiting)
+    resolved = resolve_within_batch(commands, fired_rows, held)
+    fired = keyed(resolved, PendingSchedules(held), waiting)
     return fired.withColumn("out_headers", F.map_from_entries("out_headers"))

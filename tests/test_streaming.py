@@ -9,14 +9,14 @@ from delayfold.model import COMMANDS
 from delayfold.operators import lifecycle as life, metrics, state
 from delayfold.operators.decode import decode_json
 from delayfold.sources import logs
-from delayfold.streaming.resolve import _FROM_COMMAND, RESOLVED, _settle
+from delayfold.streaming.resolve import _FROM_COMMAND, GROUPS, KEYED, RESOLVED, _settle, _settle_group
 from delayfold.streaming.run import drain, has_run, read_outbox, resume, start_outbox
-from delayfold.streaming.timers import fire_stream
+from delayfold.streaming.timers import FIRED, fire_stream, fired_rows
 from frames import b64, commands, payload, records
 
 
-def settle(rows, now=10**6, held=False):
-    """Runs one task's share; rows are (id, arrival, offset, command, due)."""
+def share(rows, now=10**6):
+    """One task's share; rows are (id, arrival, offset, command, due)."""
     columns = {n: [None] * len(rows) for n in _FROM_COMMAND}
     columns |= {
         "schedule_id": [r[0] for r in rows],
@@ -29,8 +29,12 @@ def settle(rows, now=10**6, held=False):
         "out_key": pa.array([b"k"] * len(rows), pa.binary()),
         "now_ms": pa.array([now] * len(rows), pa.int64()),
     }
-    table = pa.table(columns)
-    out = [b for b in _settle(iter(table.to_batches(max_chunksize=3)), 4, held)]
+    return pa.table(columns)
+
+
+def settle(rows, now=10**6, held=False):
+    """Runs one task's share."""
+    out = [b for b in _settle(iter(share(rows, now).to_batches(max_chunksize=3)), 4, held)]
     return [r for b in out for r in b.to_pylist()]
 
 
@@ -75,6 +79,29 @@ def test_settle_sends_at_most_two_rows_of_an_id_to_the_state():
     assert {r["lane"] for r in got if r["lane"]} <= {1, 2, 3, 4}
 
 
+def test_what_fires_within_a_batch_passes_the_state_packed():
+    """The state takes rows one by one and keeps what it gives out for a key: it sees few and small ones."""
+    rows = [("a", 2 * i, i, "update", 2 * i + 1) for i in range(60_000)]
+    got = _settle_group(GROUPS - 1, share(rows), False, RESOLVED, fired_rows)
+    assert got.column_names == KEYED.fieldNames()
+    kept = got.to_pylist()
+    packs = [r for r in kept if r["packed"] is not None]
+    assert sorted(r["offset"] for r in kept if r["lane"] == 0) == [0, 59_999] and len(packs) == len(kept) - 2
+    assert 100 < len(packs) < 600 and max(len(r["packed"]) for r in packs) < 40_000
+    assert len({r["lane"] for r in packs}) == len(packs) and {r["state_id"] for r in packs} == {""}
+    fired = pa.concat_tables(pa.ipc.open_stream(r["packed"]).read_all() for r in packs)
+    assert fired.column_names == FIRED.fieldNames() and set(fired.column("fired_ms").to_pylist()) == {10**6}
+    assert fired.column("offset").to_pylist() == list(range(59_999))
+
+
+def test_a_pack_of_long_values_holds_few_rows():
+    table = share([("a", 2 * i, i, "update", 2 * i + 1) for i in range(500)])
+    table = table.drop("out_value").append_column("out_value", pa.array([bytes(10_000)] * 500, pa.binary()))
+    got = _settle_group(0, table.select(share(ROWS).column_names), False, RESOLVED, fired_rows)
+    packs = [p for p in got.column("packed").to_pylist() if p is not None]
+    assert sum(pa.ipc.open_stream(p).read_all().num_rows for p in packs) == 499 and len(packs) > 150
+
+
 def test_settle_of_nothing():
     assert settle([]) == [] and list(_settle(iter([]), 4, False)) == []
 
