@@ -44,9 +44,13 @@ def position() -> Column:
     return F.struct(*POSITION)
 
 
+_POWERS = [2**bit for bit in reversed(range(31))]
+
+
 def passed(cuts: str, at: Column) -> Column:
-    """How many of the sorted `cuts` are at or before `at`, found by halving steps."""
-    steps = F.transform(F.sequence(F.lit(30), F.lit(0)), lambda bit: F.pow(2, bit).cast("int"))
+    """How many of the sorted `cuts` are at or before `at`, found by halving steps, as many as it takes."""
+    bits = F.length(F.bin(F.size(cuts)))
+    steps = F.slice(F.array(*map(F.lit, _POWERS)), F.lit(len(_POWERS) + 1) - bits, bits)
     return F.aggregate(
         steps,
         F.lit(0),
@@ -56,6 +60,43 @@ def passed(cuts: str, at: Column) -> Column:
     )
 
 
+# Cuts are told apart by so many at a time.
+_FAN = 256
+
+
+def placed(
+    rows: DataFrame, cuts: DataFrame, group: list[str], at: Column, name: str, expected: int
+) -> DataFrame:
+    """Adds as `name` how many of the cuts of its group a row is at or after; 0 in a group without cuts.
+
+    The cuts (`_cuts`) are broadcast as a tree. On its way down a row meets short arrays, never all cuts of its
+    group: its cost does not grow with their number. expected: about the most cuts of a group, which sets
+    the height; with more of them only the array at the root is longer.
+    """
+    height = 0
+    while 2 * _FAN ** (height + 1) < expected:  # a root of two blocks saves a level
+        height += 1
+    found = rows.withColumn("_block", F.lit(0))
+    for level in reversed(range(height + 1)):
+        # Every so many'th cut; those that a level above has told apart already are left out.
+        step = _FAN**level
+        here = cuts.where(F.col("_number") % step == 0)
+        number, block = F.expr(f"cast(_number div {step} as int)"), F.lit(0)
+        if level < height:
+            here = here.where(number % _FAN != 0)
+            block = F.expr(f"cast(_number div {step * _FAN} as int)")
+        blocks = here.groupBy(*group, block.alias("_block")).agg(
+            F.array_sort(F.collect_list("_cut")).alias("_cuts")
+        )
+        inside = F.when(F.col("_cuts").isNull(), 0).otherwise(passed("_cuts", at))
+        found = (
+            found.join(F.broadcast(blocks), [*group, "_block"], "left")
+            .withColumn("_block", F.col("_block") * (_FAN if level < height else 1) + inside)
+            .drop("_cuts")
+        )
+    return found.withColumnRenamed("_block", name)
+
+
 class Ordered:
     """Commands with the slice of each row, ready for neighbour columns."""
 
@@ -104,13 +145,12 @@ class Ordered:
 
 
 def _cuts(sample: DataFrame, group: list[str], order: Column, samples: int) -> DataFrame:
-    """Every so many'th sampled row of each group is a cut; groups without one are left out."""
+    """Every so many'th sampled row of each group is a cut, `_cut` with its `_number` from 1."""
     number = F.row_number().over(Window.partitionBy(*group).orderBy(order))
     return (
         sample.withColumn("_n", number)
         .where(F.col("_n") % samples == 0)
-        .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(order)).alias("_cuts"))
+        .select(*group, order.alias("_cut"), F.expr(f"cast(_n div {samples} as int)").alias("_number"))
     )
 
 
@@ -139,16 +179,13 @@ def split(commands: DataFrame, rows: int | None = None, slicing: Slicing = Slici
     # Any points of the order will do as cuts, so record times stand in for `seen_ms`.
     point = F.struct(F.col("arrival_ms").alias("seen_ms"), *LANE, "offset")
     cuts = _cuts(sample, [ID], point, slicing.samples)
-    hot_ids = cuts.select(ID)
+    hot_ids = cuts.where(F.col("_number") == 1).select(ID)
+    expected = rows // (every * slicing.samples) + 1
     cold = with_seen(named.join(F.broadcast(hot_ids), ID, "left_anti"))
 
     lane_cuts = _cuts(sample, [ID, *LANE], F.col("offset"), slicing.samples)
-    hot = (
-        named.join(F.broadcast(hot_ids), ID, "left_semi")
-        .join(F.broadcast(lane_cuts), [ID, *LANE], "left")
-        .withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(passed("_cuts", F.col("offset"))))
-        .drop("_cuts")
-    )
+    hot = named.join(F.broadcast(hot_ids), ID, "left_semi")
+    hot = placed(hot, lane_cuts, [ID, *LANE], F.col("offset"), "_part", expected)
     parts = hot.groupBy(ID, *LANE, "_part").agg(F.max("arrival_ms").alias("_most"))
     earlier = (
         Window.partitionBy(ID, *LANE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,11 +196,9 @@ def split(commands: DataFrame, rows: int | None = None, slicing: Slicing = Slici
         .join(F.broadcast(before), [ID, *LANE, "_part"])
         .withColumn("seen_ms", F.greatest("seen_ms", "_before"))
         .drop("_part", "_before")
-        .join(F.broadcast(cuts), ID)
         .withColumn("_at", position())
-        .withColumn("_slice", passed("_cuts", F.col("_at")))
-        .drop("_cuts", "_at")
     )
+    seen = placed(seen, cuts, [ID], F.col("_at"), "_slice", expected).drop("_at")
     return [Ordered(cold.withColumn("_slice", F.lit(0)), False), Ordered(seen, True)]
 
 

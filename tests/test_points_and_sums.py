@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from delayfold.operators import lifecycle as life, metrics, state
-from delayfold.operators.ordered import Slicing
+from delayfold.operators.ordered import Slicing, placed
 from delayfold.operators.running import running_sum
 from frames import commands, formatted_plan
 from replay_model import in_order, replay
@@ -58,6 +58,23 @@ def test_points_find_what_waits(spark, slicing, gate):
     assert all((r.due_ms is not None) == r.found for r in got)
 
 
+@pytest.mark.parametrize("expected", [1, 600, 200_000])
+def test_rows_are_placed_among_many_cuts_by_short_arrays(spark, expected):
+    pick, n = random.Random(2), 70_000
+    cuts = spark.range(1, n + 1).selectExpr("'hot' as id", "id * 2 as _cut", "cast(id as int) as _number")
+    few = [("a", 5, 1), ("a", 5, 2), ("a", 9, 3)]
+    cuts = cuts.unionByName(spark.createDataFrame(few, "id string, _cut long, _number int"))
+    ats = [0, 1, 2, 3, 511, 512, 513, 1024, 131_071, 131_072, 2 * n - 1, 2 * n, 2 * n + 9]
+    ats += [pick.randrange(2 * n) for _ in range(300)]
+    rows = [("hot", at) for at in ats] + [("a", 4), ("a", 5), ("a", 9), ("cold", 7)]
+    frame = spark.createDataFrame(rows, "id string, at long")
+    got = placed(frame, cuts, ["id"], F.col("at"), "n", expected)
+    wanted = [("hot", at, min(n, at // 2)) for at in ats] + [("a", 4, 0), ("a", 5, 2), ("a", 9, 3), ("cold", 7, 0)]
+    assert sorted(map(tuple, got.select("id", "at", "n").collect())) == sorted(wanted)
+    if expected > 70_000:
+        assert formatted_plan(got).count("BroadcastHashJoin") >= 2
+
+
 def test_points_of_empty_tables(spark):
     log, _ = random_log(spark, 1, 20)
     none = spark.createDataFrame([], POINTS)
