@@ -12,52 +12,73 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
 from delayfold.llm import arrays
 
-_LETTER, _NUMBER, _SPACE = 1, 2, 3
-_WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_kinds: np.ndarray | None = None
+_OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
+_WHITE_SPACE = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
+_kinds = np.full(0x110000, _UNKNOWN, np.uint8)  # of the code points seen so far
 
 
-def _kind_table() -> np.ndarray:
-    global _kinds
-    if _kinds is None:
-        initials = "".join(unicodedata.category(chr(c))[0] for c in range(0x110000))
-        letters = np.frombuffer(initials.encode(), np.uint8)
-        table = np.zeros(0x110000, np.uint8)
-        table[letters == ord("L")] = _LETTER
-        table[letters == ord("N")] = _NUMBER
-        table[_WHITE_SPACE] = _SPACE
-        _kinds = table
-    return _kinds
+def _kind(code: int) -> int:
+    if code in _WHITE_SPACE:
+        return _SPACE
+    return {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(code))[0], _OTHER)
+
+
+_kinds[:0x80] = [_kind(c) for c in range(0x80)]
+
+
+def _kinds_of(codes: np.ndarray) -> np.ndarray:
+    kinds = _kinds[codes]
+    unknown = kinds == _UNKNOWN
+    if unknown.any():
+        for code in np.unique(codes[unknown]).tolist():
+            _kinds[code] = _kind(code)
+        kinds = _kinds[codes]
+    return kinds
 
 
 def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte offsets at which pieces start, and the end of the data."""
-    if not len(data):
+    """Byte offsets at which pieces start, and the end of the data.
+
+    Works on bytes: those of a character share its kind, and only beyond ASCII are characters decoded.
+    """
+    n = len(data)
+    if not n:
         return np.zeros(1, np.int64)
-    code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    byte_of = np.flatnonzero((data & 0xC0) != 0x80)
-    n = len(code)
-    kind = _kind_table()[code]
+    kind = _kinds[data]
+    beyond = np.flatnonzero(data & 0x80)
+    if len(beyond):
+        raw = data[beyond]
+        codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        leads = (raw & 0xC0) != 0x80
+        kind[beyond] = _kinds_of(codes)[np.cumsum(leads) - 1]
     first = np.zeros(n + 4, bool)  # of a text; beyond the end counts as a text of its own
-    first[np.searchsorted(byte_of, offsets)] = True
+    first[offsets] = True
     first[n:] = True
-    kind_next = np.append(kind[1:], _SPACE)
     run = first[:n].copy()
     run[1:] |= kind[1:] != kind[:-1]
     space = kind == _SPACE
     after_blank = np.zeros(n, bool)
-    after_blank[1:] = (code[:-1] == 0x20) & ~first[1:n]
-    last_of_space = space & (kind_next != _SPACE) & ~first[1 : n + 1]
-    start = np.where(space, run | last_of_space, run & ~after_blank)
+    after_blank[1:] = (data[:-1] == 0x20) & ~first[1:n]
+    last_of_space = space.copy()
+    last_of_space[:-1] &= ~space[1:]
+    last_of_space &= ~first[1 : n + 1]
+    if len(beyond):  # from the last byte of a character to its first one
+        moved = beyond[last_of_space[beyond]]
+        last_of_space[moved] = False
+        lead = beyond[leads]
+        last_of_space[lead[np.searchsorted(lead, moved, side="right") - 1]] = True
+    start = np.zeros(n + 3, bool)
+    start[:n] = (run & (space | ~after_blank)) | last_of_space
     # Contractions: an apostrophe that starts a piece, and one or two given letters.
-    padded = np.concatenate([code, np.zeros(3, np.uint32)])
-    mark = np.flatnonzero((code == ord("'")) & start & (space | ~after_blank))
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    mark = np.flatnonzero((data == ord("'")) & start[:n])
     one, two = padded[mark + 1], padded[mark + 2]
     inside, inside_two = ~first[mark + 1], ~first[mark + 1] & ~first[mark + 2]
     short = inside & np.isin(one, [ord(c) for c in "stmd"])
@@ -66,11 +87,10 @@ def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         | ((one == ord("v")) & (two == ord("e")))
         | ((one == ord("l")) & (two == ord("l")))
     )
-    start = np.append(start, np.ones(3, bool))
     start[mark[short | long] + 1] = False
     start[mark[short] + 2] = True
     start[mark[long] + 3] = True
-    return np.append(byte_of[start[:n]], len(data))
+    return np.append(np.flatnonzero(start[:n]), n)
 
 
 def special_spans(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...]) -> list[tuple[int, int]]:
@@ -96,10 +116,41 @@ def bounds_around(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, .
     return cut[~inside]
 
 
+_WORD = 8  # bytes
+_WORD_BYTES = np.array([(1 << 8 * i) - 1 for i in range(_WORD + 1)], np.uint64)
+_BY_WORDS = 256  # bytes of a piece that are hashed word by word
+
+
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, none of them 0; equal bytes give equal hashes everywhere. Most pieces
+    are a word or two, so a hash takes what a piece has, not sums over all of the data."""
+    padded = np.concatenate([data, np.zeros(_WORD, np.uint8)])
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    length = ends - starts
+    hashes = words[starts] & _WORD_BYTES[np.minimum(length, _WORD)]
+    hashes = arrays.mix(hashes ^ (length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    more, done = np.flatnonzero(length > _WORD), _WORD
+    while len(more) and done < _BY_WORDS:
+        word = words[starts[more] + done] & _WORD_BYTES[np.minimum(length[more] - done, _WORD)]
+        hashes[more] = arrays.mix(hashes[more] ^ word)
+        done += _WORD
+        more = more[length[more] > done]
+    if len(more):
+        hashes[more] = arrays.RangeHash(data)(starts[more], ends[more])
+    return np.maximum(hashes, np.uint64(1))
+
+
+_SLOT_BITS = 20
+
+
 class PieceTable:
-    """Distinct pieces seen so far: hash to a range of `values`. Sorted runs, merged when alike in size."""
+    """Distinct pieces seen so far: hash to a range of `values`. Sorted runs, merged when alike in size.
+
+    The first piece that comes to a slot, given by its hash, is found there without a search; frequent
+    pieces come early. Only the rest are sorted and searched for.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], dtype, limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]], dtype, limit: int = 1_500_000):
         self._encode, self._dtype, self._limit = encode, dtype, limit
         self._clear()
 
@@ -107,6 +158,9 @@ class PieceTable:
         self._runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._values = np.zeros(1 << 16, self._dtype)
         self._used = 0
+        self._slot_key = np.zeros(1 << _SLOT_BITS, np.uint64)  # 0: free
+        self._slot_start = np.zeros(1 << _SLOT_BITS, np.int64)
+        self._slot_count = np.zeros(1 << _SLOT_BITS, np.int64)
 
     def _find(self, keys: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         missing = np.ones(len(keys), bool)
@@ -117,15 +171,18 @@ class PieceTable:
             missing &= ~hit
         return np.flatnonzero(missing)
 
-    def _add(self, keys: np.ndarray, encoded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        count = np.array([len(e) for e in encoded], np.int64)
+    def _add(self, keys: np.ndarray, encoded: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+        count = np.fromiter(map(len, encoded), np.int64, len(encoded))
         where = self._used + np.cumsum(count) - count
         need = self._used + int(count.sum())
         if need > len(self._values):
             grown = np.zeros(max(need, 2 * len(self._values)), self._dtype)
             grown[: self._used] = self._values[: self._used]
             self._values = grown
-        self._values[self._used : need] = np.concatenate(encoded)
+        if isinstance(encoded[0], np.ndarray):
+            self._values[self._used : need] = np.concatenate(encoded)
+        else:
+            self._values[self._used : need] = np.fromiter(chain.from_iterable(encoded), self._dtype, int(count.sum()))
         self._used = need
         self._runs.append((keys, where, count))
         while len(self._runs) > 1 and 2 * len(self._runs[-1][0]) > len(self._runs[-2][0]):
@@ -134,23 +191,43 @@ class PieceTable:
             self._runs.append(tuple(x[order] for x in both))
         return where, count
 
-    def lookup(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of all pieces in text order, and how many each piece has."""
-        if len(bounds) < 2:
-            return np.zeros(0, self._dtype), np.zeros(0, np.int64)
-        hashes = arrays.RangeHash(data)(bounds[:-1], bounds[1:])
-        keys, place, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if sum(len(r[0]) for r in self._runs) > self._limit:
-            self._clear()
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _search(
+        self, data: np.ndarray, bounds: np.ndarray, hashes: np.ndarray, rest: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Range and count of the pieces numbered `rest`; new ones are encoded."""
+        keys, place, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
+        place = rest[place]
         start, length = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         missing = self._find(keys, start, length)
         if len(missing):
             raw, low, high = data.tobytes(), bounds[place[missing]], bounds[place[missing] + 1]
             encoded = self._encode([raw[a:b] for a, b in zip(low.tolist(), high.tolist())])
             start[missing], length[missing] = self._add(keys[missing], encoded)
-        counts = length[which]
+        # Of the keys for one free slot, the first.
+        slot, first = np.unique(self._slot(keys), return_index=True)
+        free = self._slot_key[slot] == 0
+        slot, first = slot[free], first[free]
+        self._slot_key[slot], self._slot_start[slot], self._slot_count[slot] = keys[first], start[first], length[first]
+        return start[which], length[which]
+
+    def lookup(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all pieces in text order, and how many each piece has."""
+        if len(bounds) < 2:
+            return np.zeros(0, self._dtype), np.zeros(0, np.int64)
+        if sum(len(r[0]) for r in self._runs) > self._limit:
+            self._clear()
+        hashes = piece_hashes(data, bounds[:-1], bounds[1:])
+        slot = self._slot(hashes)
+        start, counts = self._slot_start[slot], self._slot_count[slot]
+        rest = np.flatnonzero(self._slot_key[slot] != hashes)
+        if len(rest):
+            start[rest], counts[rest] = self._search(data, bounds, hashes, rest)
         total = np.cumsum(counts)
-        at = np.repeat(start[which] - (total - counts), counts)
+        at = np.repeat(start - (total - counts), counts)
         at += np.arange(len(at))
         return self._values[at], counts
 

@@ -207,7 +207,7 @@ def _special(vocabulary: str) -> dict[bytes, int]:
         return {t["content"].encode(): t["id"] for t in json.load(f)["added_tokens"]}
 
 
-def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[np.ndarray]]:
+def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[list[int]]]:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -215,12 +215,12 @@ def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[np.ndarray]]
     tokenizer.encode_special_tokens = True  # looking for them in every piece takes time; they are cut out
     special = _special(vocabulary)
 
-    def encode(found: list[bytes]) -> list[np.ndarray]:
+    def encode(found: list[bytes]) -> list[list[int]]:
         batch = tokenizer.encode_batch_fast([p.decode() for p in found], add_special_tokens=False)
-        ids = [np.array(e.ids, np.uint32) for e in batch]
+        ids = [e.ids for e in batch]
         for i, piece in enumerate(found):
             if piece in special:
-                ids[i] = np.array([special[piece]], np.uint32)
+                ids[i] = [special[piece]]
         return ids
 
     return encode
@@ -241,7 +241,7 @@ def _counter(vocabulary: str) -> pieces.PieceTable:
     if vocabulary not in _counters:
         encode = _piece_encoder(vocabulary)
         _counters[vocabulary] = pieces.PieceTable(
-            lambda found: [np.array([len(e)]) for e in encode(found)], np.uint32, 500_000
+            lambda found: [[len(e)] for e in encode(found)], np.uint32, 500_000
         )
     return _counters[vocabulary]
 

@@ -40,6 +40,47 @@ def test_pieces_equal_the_pattern():
         assert got == [p for t in texts for p in pattern.findall(t)]
 
 
+def test_white_space_of_several_bytes():
+    import regex
+
+    pattern, pick = regex.compile(public_tokenizers.PATTERN), random.Random(6)
+    for _ in range(500):
+        texts = ["".join(pick.choices("a's \n\x85\xa0\u2028\u3000é日", k=pick.randrange(12))) for _ in range(4)]
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        bounds = pieces.piece_bounds(data, offsets)
+        got = [data[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [p for t in texts for p in pattern.findall(t)]
+
+
+def _as_bounds(found):
+    return np.frombuffer(b"".join(found), np.uint8), np.cumsum([0, *map(len, found)])
+
+
+def test_known_pieces_are_found_without_sorting(monkeypatch):
+    words = [b"a" * n for n in (1, 7, 8, 9, 16, 17, 255, 256, 257, 2_000)] + [b"a\0", b"a\0\0", b"ab", b"b", b"b" * 300]
+    seen = []
+    table = pieces.PieceTable(lambda found: seen.extend(found) or [list(p) for p in found], np.uint32)
+    for order in (words, words[::-1], words[3:] + words):
+        values, counts = table.lookup(*_as_bounds(order))
+        assert bytes(values.tolist()) == b"".join(order) and counts.tolist() == [len(w) for w in order]
+    assert sorted(seen) == sorted(words)  # each of them encoded once
+    monkeypatch.setattr(pieces.np, "unique", None)
+    values, _ = table.lookup(*_as_bounds(words * 3))
+    assert bytes(values.tolist()) == b"".join(words * 3)
+
+
+def test_pieces_that_share_a_slot(monkeypatch):
+    monkeypatch.setattr(pieces, "_SLOT_BITS", 1)
+    table = pieces.PieceTable(lambda found: [list(p) for p in found], np.uint32, limit=50)
+    pick = random.Random(7)
+    for _ in range(20):
+        words = [bytes(pick.choices(b"abc", k=pick.randrange(1, 6))) for _ in range(40)]
+        values, counts = table.lookup(*_as_bounds(words))
+        assert bytes(values.tolist()) == b"".join(words) and counts.tolist() == [len(w) for w in words]
+
+
 def test_contraction_equals_the_library(bpe, reference):
     pick = random.Random(5)
     words = ["".join(pick.choices("abcdeé' ñ日", k=pick.randrange(1, 40))).encode() for _ in range(400)]
