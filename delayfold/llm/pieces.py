@@ -21,7 +21,7 @@ from delayfold.llm import arrays
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = range(5)
 _WHITE_SPACE = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
-_kinds = np.full(0x110000, _UNKNOWN, np.uint8)  # of the code points seen so far
+_kinds: np.ndarray | None = None  # of the code points seen so far; made where it is used, as globals travel
 
 
 def _kind(code: int) -> int:
@@ -30,17 +30,21 @@ def _kind(code: int) -> int:
     return {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(code))[0], _OTHER)
 
 
-_kinds[:0x80] = [_kind(c) for c in range(0x80)]
+def _kind_table() -> np.ndarray:
+    global _kinds
+    if _kinds is None:
+        _kinds = np.full(0x110000, _UNKNOWN, np.uint8)
+        _kinds[:0x80] = [_kind(c) for c in range(0x80)]
+    return _kinds
 
 
 def _kinds_of(codes: np.ndarray) -> np.ndarray:
-    kinds = _kinds[codes]
-    unknown = kinds == _UNKNOWN
+    table = _kind_table()
+    unknown = table[codes] == _UNKNOWN
     if unknown.any():
         for code in np.unique(codes[unknown]).tolist():
-            _kinds[code] = _kind(code)
-        kinds = _kinds[codes]
-    return kinds
+            table[code] = _kind(code)
+    return table[codes]
 
 
 def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -51,7 +55,7 @@ def piece_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(1, np.int64)
-    kind = _kinds[data]
+    kind = _kind_table()[data]
     beyond = np.flatnonzero(data & 0x80)
     if len(beyond):
         raw = data[beyond]

@@ -19,6 +19,8 @@ from __future__ import annotations
 import functools
 import json
 import os
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -197,7 +199,10 @@ def _write_bytes(path: str, data: bytes) -> None:
         f.write(data)
 
 
-_encoders: dict[str, pieces.PieceTable] = {}
+def _kept() -> dict:
+    """What a Python worker keeps from task to task. The package's functions travel by value, each time with
+    globals of their own; a module by this name stays."""
+    return vars(sys.modules.setdefault("_delayfold_kept", types.ModuleType("_delayfold_kept")))
 
 
 @functools.cache
@@ -228,16 +233,17 @@ def _piece_encoder(vocabulary: str) -> Callable[[list[bytes]], list[list[int]]]:
 
 def _encoder(vocabulary: str) -> pieces.PieceTable:
     """One for each Python worker: reading a vocabulary takes longer than encoding a text."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = pieces.PieceTable(_piece_encoder(vocabulary), np.uint32)
-    return _encoders[vocabulary]
+    encoders = _kept().setdefault("encoders", {})
+    if vocabulary not in encoders:
+        encoders[vocabulary] = pieces.PieceTable(_piece_encoder(vocabulary), np.uint32)
+    return encoders[vocabulary]
 
 
 _counters: dict[str, pieces.PieceTable] = {}
 
 
 def _counter(vocabulary: str) -> pieces.PieceTable:
-    """The same for numbers of ids: one small number for each piece."""
+    """The same for numbers of ids: one small number for each piece, and only for a task."""
     if vocabulary not in _counters:
         encode = _piece_encoder(vocabulary)
         _counters[vocabulary] = pieces.PieceTable(

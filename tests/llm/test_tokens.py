@@ -1,8 +1,10 @@
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -131,6 +133,17 @@ def test_special_strings_have_their_id(spark):
     assert [r.n_tokens for r in sorted(counts)] == [len(e) for e in expected]
 
 
+def test_a_worker_keeps_its_encoder_between_tasks(spark):
+    def known(batches):
+        for batch in batches:
+            list(token_files._encode(HF, 2, np.zeros(0, np.int64))(iter([batch])))
+        yield pa.record_batch([[os.getpid()], [id(token_files._encoder(HF))]], ["pid", "table"])
+
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    seen = {tuple(r) for _ in range(2) for r in frame.repartition(8).mapInArrow(known, "pid long, table long").collect()}
+    assert len(seen) == len({pid for pid, _ in seen})
+
+
 def test_token_files_of_nothing(no_docs):
     assert token_files.write_tokens(no_docs, HF, 2).count() == 0
 
