@@ -135,13 +135,14 @@ def test_special_strings_have_their_id(spark):
 
 def test_a_worker_keeps_its_encoder_between_tasks(spark):
     def known(batches):
-        for batch in batches:
-            list(token_files._encode(HF, 2, np.zeros(0, np.int64))(iter([batch])))
-        yield pa.record_batch([[os.getpid()], [id(token_files._encoder(HF))]], ["pid", "table"])
-
-    frame = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
-    seen = {tuple(r) for _ in range(2) for r in frame.repartition(8).mapInArrow(known, "pid long, table long").collect()}
-    assert len(seen) == len({pid for pid, _ in seen})
+        before = len(token_files._encoder(HF)._runs)
+        encoded = list(token_files._encode(HF, 2, np.zeros(0, np.int64))(batches))
+        yield pa.record_batch([[os.getpid()], [before], [len(encoded)]], ["pid", "known", "batches"])
+
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(32)
+    seen = [r for _ in range(2) for r in frame.mapInArrow(known, "pid long, known long, batches long").collect()]
+    fresh = [r.pid for r in seen if r.known == 0]
+    assert all(r.batches for r in seen) and len(fresh) == len(set(fresh))
 
 
 def test_token_files_of_nothing(no_docs):
